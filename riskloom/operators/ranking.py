@@ -9,7 +9,11 @@ The scalable form used here:
    by the tie-break columns, so one hot value does not land in one task);
 2. ``sortWithinPartitions(order)`` and ``monotonically_increasing_id()`` give the row's position
    inside its slice without another shuffle (the id is ``partition << 33 | row``);
-3. a count per slice (``n`` rows, a proven bound) is prefix-summed and broadcast back as offsets.
+3. the numbered slices are checkpointed once (shared checkpoint folder): range bounds are sampled
+   from the input, and an input that comes out of a shuffle has no fixed row order, so two
+   evaluations could slice differently. After the checkpoint every use - and every retry after an
+   executor loss - sees the same slices;
+4. a count per slice (``n`` rows, a proven bound) is prefix-summed and broadcast back as offsets.
 
 Row number = offset + position. NTILE and quantiles are derived from it arithmetically.
 """
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import idiv
+from riskloom.session import checkpoint_dir
 
 _PID, _MID, _CNT, _OFF, _N = "__rl_pid", "__rl_mid", "__rl_cnt", "__rl_off", "__rl_n"
 
@@ -50,6 +55,8 @@ def global_row_number(
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())
     )
+    checkpoint_dir(df.sparkSession)
+    ordered = ordered.checkpoint(eager=True)
     counts = ordered.groupBy(_PID).agg(F.count(F.lit(1)).alias(_CNT))
     prior = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

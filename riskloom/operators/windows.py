@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.numeric import pct_change, round_ratio
+from riskloom.functions.numeric import rint_dp, round_ratio
 
 
 def period_over_period(
@@ -39,8 +39,9 @@ def add_changes(
 ) -> DataFrame:
     """Master change metrics against the previous row of the same (firm, category).
 
-    complaints_change_abs = value - prev (double), complaints_change_pct = exact 1-dp percentage,
-    null unless prev > 0; upheld_change_ppts = rate - prev rate (from integer tenths, so exact).
+    complaints_change_abs = value - prev (double); complaints_change_pct = (value - prev) / prev * 100
+    rounded half-to-even at 1 dp (as the cleaning stage's numpy rounding), null unless prev > 0;
+    upheld_change_ppts = rate - prev rate (from integer tenths, so exact).
     """
     w = Window.partitionBy(*by).orderBy(order)
     prev_v, prev_r = F.lag(value).over(w), F.lag(rate_tenths).over(w)
@@ -48,7 +49,10 @@ def add_changes(
     return out.select(
         *df.columns,
         (F.col(value) - F.col("__prev_v")).cast("double").alias("complaints_change_abs"),
-        F.when(F.col("__prev_v") > 0, pct_change(value, "__prev_v")).alias("complaints_change_pct"),
+        F.when(
+            F.col("__prev_v") > 0,
+            rint_dp((F.col(value) - F.col("__prev_v")).cast("double") / F.col("__prev_v").cast("double") * F.lit(100.0), 1),
+        ).alias("complaints_change_pct"),
         round_ratio(F.col(rate_tenths) - F.col("__prev_r"), F.lit(10), dp=1).alias("upheld_change_ppts"),
     )
 

@@ -55,3 +55,94 @@ register("k1_overview", _on_fact(Q.k1_overview), O.SQL["k1_overview"])
 register("k2_danger_list", _on_fact(Q.k2_danger_list), O.SQL["k2_danger_list"])
 register("k3_duty_shift", _on_fact(Q.k3_duty_shift), O.SQL["k3_duty_shift"])
 register("k4_worsened", _on_fact(Q.k4_worsened), O.SQL["k4_worsened"])
+
+
+# ------------------------------------------------------------------ master, marts, notebook, risk
+from riskloom.operators.reshape import keep_first  # noqa: E402
+from riskloom.functions.rules import classify  # noqa: E402
+from riskloom.plans import dashboard as D  # noqa: E402
+from riskloom.plans import master as M  # noqa: E402
+from riskloom.plans import notebook as N  # noqa: E402
+from riskloom.plans import oracles_marts as OM  # noqa: E402
+from riskloom.plans import risk as R  # noqa: E402
+from riskloom.operators import stats as ST  # noqa: E402
+from riskloom.sources import sheets as SH  # noqa: E402
+from riskloom.sources.tables import read_table  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def _with_labels(fn):
+    def build(spark, sf_dir):
+        fact = complaint_fact(spark, sf_dir)
+        return fn(fact, N.period_labels(fact))
+
+    return build
+
+
+def _master(spark, sf_dir):
+    return M.master_changes(complaint_fact(spark, sf_dir))
+
+
+def _firm_slope(fact):
+    rated = fact.filter(F.col(K.UPHELD_T).isNotNull())
+    return ST.trend_slope(rated, [K.FIRM], K.ORDER, K.UPHELD_T)
+
+
+def _firm_growth(fact):
+    return ST.growth_pct(fact, [K.FIRM], K.ORDER, K.OPENED)
+
+
+def _sheets_long(spark, sf_dir):
+    fact = complaint_fact(spark, sf_dir)
+    sheets = SH.fixture_sheets(fact, N.categories(fact))
+    return fact, SH.melt_sheets(sheets, categories=N.categories(fact))
+
+
+def _unpivot_sheets(spark, sf_dir):
+    _, long = _sheets_long(spark, sf_dir)
+    return SH.unpivot_long(long)
+
+
+def _assemble(spark, sf_dir):
+    fact, long = _sheets_long(spark, sf_dir)
+    return SH.assemble_measures(long, SH.fact_manifest(fact))
+
+
+def _dedup(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    rest = [c for c in li.columns if c not in ("l_orderkey", "l_linenumber")]
+    return keep_first(li, ["l_orderkey", "l_linenumber"], rest)
+
+
+def _classify_parts(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    return part.select("p_partkey", "p_name", classify("p_name", OM.PART_NAME_RULES, OM.PART_NAME_DEFAULT).alias("name_class"))
+
+
+register("master_changes", _master, OM.SQL["master_changes"])
+register("pivot_volume", _with_labels(M.pivot_volume), OM.SQL["pivot_volume"])
+register("pivot_upheld", _with_labels(M.pivot_upheld), OM.SQL["pivot_upheld"])
+register("category_summary", _on_fact(M.category_summary), OM.SQL["category_summary"])
+register("period_totals", _on_fact(N.n1_period_totals), OM.SQL["period_totals"])
+register("top15_firms", _on_fact(N.n2_top_firms), OM.SQL["top15_firms"])
+register("box_summary_by_type", _on_fact(N.n3_box_by_type), OM.SQL["box_summary_by_type"])
+register("category_pre_post_matrix", _on_fact(N.n4_category_pre_post), OM.SQL["category_pre_post_matrix"])
+register("upheld_heat_matrix", _on_fact(N.n5_heat_matrix), OM.SQL["upheld_heat_matrix"])
+register("median_quadrant", _on_fact(N.n6_median_quadrant), OM.SQL["median_quadrant"])
+register("group_trajectory", _on_fact(N.n7_group_trajectory), OM.SQL["group_trajectory"])
+register("firm_slope", _on_fact(_firm_slope), OM.SQL["firm_slope"])
+register("firm_growth", _on_fact(_firm_growth), OM.SQL["firm_growth"])
+register("risk_index", _on_fact(R.risk_index), OM.SQL["risk_index"])
+register("risk_top15", _on_fact(lambda f: R.risk_table(R.risk_index(f), 15)), OM.SQL["risk_top15"])
+register("type_pre_post", _on_fact(N.n9_type_pre_post), OM.SQL["type_pre_post"])
+register("category_stack", _on_fact(N.n10_category_stack), OM.SQL["category_stack"])
+register("summary_totals", _on_fact(N.n11_summary), OM.SQL["summary_totals"])
+register("exec_top12", _on_fact(D.exec_top_firms), OM.SQL["exec_top12"])
+register("exec_sector_share", _on_fact(D.exec_sector_share), OM.SQL["exec_sector_share"])
+register("firm_drilldown", _on_fact(D.firm_drilldown), OM.SQL["firm_drilldown"])
+register("diagonal_pairs", _on_fact(D.diagonal_pairs), OM.SQL["diagonal_pairs"])
+register("findings_table", _on_fact(D.findings_table), None)
+register("unpivot_sheets", _unpivot_sheets, OM.SQL["unpivot_sheets"])
+register("assemble_measures", _assemble, OM.SQL["assemble_measures"])
+register("dedup_keep_first", _dedup, OM.SQL["dedup_keep_first"])
+register("classify_keywords", _classify_parts, OM.SQL["classify_keywords"])
