@@ -21,13 +21,18 @@ from riskloom.sources.fixture import complaint_fact
 class Entry:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    on_fact: Callable[[DataFrame], DataFrame] | None = None
 
 
 def _on_fact(fn, **kw):
+    def over_fact(fact: DataFrame) -> DataFrame:
+        return fn(fact, **kw)
+
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(complaint_fact(spark, sf_dir), **kw)
+        return over_fact(complaint_fact(spark, sf_dir))
 
     build.__name__ = getattr(fn, "__name__", "query")
+    build.over_fact = over_fact
     return build
 
 
@@ -35,7 +40,9 @@ REGISTRY: dict[str, Entry] = {}
 
 
 def register(name: str, build, sql: str | None) -> None:
-    REGISTRY[name] = Entry(build, sql)
+    """Register a query; builders made by ``_on_fact`` also expose the fact-level function, so a
+    caller holding a materialised master table can run the query over it directly."""
+    REGISTRY[name] = Entry(build, sql, getattr(build, "over_fact", None))
 
 
 register("a1_volume_by_firm", _on_fact(Q.a1_volume_by_firm), O.SQL["a1_volume_by_firm"])
@@ -72,15 +79,17 @@ from pyspark.sql import functions as F  # noqa: E402
 
 
 def _with_labels(fn):
-    def build(spark, sf_dir):
-        fact = complaint_fact(spark, sf_dir)
+    def over_fact(fact):
         return fn(fact, N.period_labels(fact))
 
+    def build(spark, sf_dir):
+        return over_fact(complaint_fact(spark, sf_dir))
+
+    build.over_fact = over_fact
     return build
 
 
-def _master(spark, sf_dir):
-    return M.master_changes(complaint_fact(spark, sf_dir))
+_master = _on_fact(M.master_changes)
 
 
 def _firm_slope(fact):
@@ -92,20 +101,21 @@ def _firm_growth(fact):
     return ST.growth_pct(fact, [K.FIRM], K.ORDER, K.OPENED)
 
 
-def _sheets_long(spark, sf_dir):
-    fact = complaint_fact(spark, sf_dir)
-    sheets = SH.fixture_sheets(fact, N.categories(fact))
-    return fact, SH.melt_sheets(sheets, categories=N.categories(fact))
+def _sheets_long(fact):
+    cats = N.categories(fact)
+    return SH.melt_sheets(SH.fixture_sheets(fact, cats), categories=cats)
+
+
+def _unpivot_fact(fact):
+    return SH.unpivot_long(_sheets_long(fact))
 
 
-def _unpivot_sheets(spark, sf_dir):
-    _, long = _sheets_long(spark, sf_dir)
-    return SH.unpivot_long(long)
+def _assemble_fact(fact):
+    return SH.assemble_measures(_sheets_long(fact), SH.fact_manifest(fact))
 
 
-def _assemble(spark, sf_dir):
-    fact, long = _sheets_long(spark, sf_dir)
-    return SH.assemble_measures(long, SH.fact_manifest(fact))
+_unpivot_sheets = _on_fact(_unpivot_fact)
+_assemble = _on_fact(_assemble_fact)
 
 
 def _dedup(spark, sf_dir):

@@ -71,7 +71,7 @@ def harmonise_columns(df: DataFrame, rules=K.HEADER_RULES) -> DataFrame:
     new = [harmonised_name(c, rules) for c in df.columns]
     seen: dict[str, str] = {}
     for old, target in zip(df.columns, new):
-        if target in seen and target != old:
+        if target in seen:
             raise ValueError(f"columns {seen[target]!r} and {old!r} both map to {target!r}")
         seen[target] = old
     return df.toDF(*new)
