@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.numeric import idiv
 from riskloom.session import checkpoint_dir
 
-_PID, _MID, _CNT, _OFF, _N = "__rl_pid", "__rl_mid", "__rl_cnt", "__rl_off", "__rl_n"
+_PID, _MID, _CNT, _OFF, _N, _FIRST = "__rl_pid", "__rl_mid", "__rl_cnt", "__rl_off", "__rl_n", "__rl_first"
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -43,33 +43,45 @@ def global_row_number(
     name: str = "rn",
     total_name: str | None = None,
     num_partitions: int | None = None,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Add a 1-based global row number in ``order`` (and optionally the total row count).
+    """Add a 1-based row number in ``order`` (and optionally the row count), globally or within
+    each ``partition_by`` group.
 
-    ``order`` should end in unique tie-break columns for a deterministic numbering.
+    ``order`` should end in unique tie-break columns for a deterministic numbering. With
+    ``partition_by`` the range partitioning runs on (groups, order), so every group is a contiguous
+    run of slices; the offset table has at most ``slices + groups`` rows and is broadcast - use it
+    for a handful of groups (measures of a table), not for an entity-sized key.
     """
     n = _partitions(df, num_partitions)
+    groups = list(partition_by)
+    keys = [F.asc(g) for g in groups] + list(order)
     ordered = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        df.repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())
     )
     checkpoint_dir(df.sparkSession)
     ordered = ordered.checkpoint(eager=True)
-    counts = ordered.groupBy(_PID).agg(F.count(F.lit(1)).alias(_CNT))
-    prior = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = ordered.groupBy(*groups, _PID).agg(F.count(F.lit(1)).alias(_CNT), F.min(_MID).alias(_FIRST))
+    prior = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
     offsets = counts.select(
+        *groups,
         _PID,
+        _FIRST,
         F.coalesce(F.sum(_CNT).over(prior), F.lit(0)).alias(_OFF),
         F.sum(_CNT).over(everything).alias(_N),
     )
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("bigint"), 33) + F.lit(1)
-    out = ordered.join(F.broadcast(offsets), _PID).withColumn(name, F.col(_OFF) + local)
+    # position inside the (group, slice) run: ids are consecutive within a slice
+    local = F.col(_MID) - F.col(_FIRST) + F.lit(1)
+    out = ordered.join(F.broadcast(offsets), [*groups, _PID]).withColumn(name, F.col(_OFF) + local)
     if total_name:
         out = out.withColumn(total_name, F.col(_N))
-    return out.drop(_PID, _MID, _OFF, _N)
+    return out.drop(_PID, _MID, _OFF, _N, _FIRST)
 
 
 def ntile_of(rn: Column | str, total: Column | str, k: int) -> Column:

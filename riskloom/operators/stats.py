@@ -35,8 +35,25 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], names: Sequenc
     ``hi = ceil(pos)``: ``q = x[lo] + (x[hi] - x[lo]) * (pos - lo)``.
     """
     names = list(names) if names else [_pname(p) for p in probs]
-    vals = df.select(F.col(column).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    ranked = global_row_number(vals, [F.asc("__v")], name="__rn", total_name="__n", num_partitions=num_partitions)
+    wide = multi_quantiles(df, [column], probs, names, num_partitions)
+    return wide.select(*[F.col(f"{column}__{nm}").alias(nm) for nm in names])
+
+
+def multi_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    names: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Exact quantiles of several columns in one ranking pass: one row, ``<column>__<name>``.
+
+    The columns are unpivoted into (measure, value) and numbered within each measure by the
+    range-partitioned row number, so one sort serves all of them.
+    """
+    names = list(names) if names else [_pname(p) for p in probs]
+    long = (
+        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        .unpivot([], list(columns), "__m", "__v")
+        .filter(F.col("__v").isNotNull())
+    )
+    ranked = global_row_number(long, [F.asc("__v")], name="__rn", total_name="__n", num_partitions=num_partitions,
+                               partition_by=["__m"])
     i = F.col("__rn") - 1
     aggs: list[Column] = []
     for p, nm in zip(probs, names):
@@ -45,12 +62,16 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], names: Sequenc
         aggs.append(F.max(F.when(i == lo, F.col("__v"))).alias(f"__lo_{nm}"))
         aggs.append(F.max(F.when(i == hi, F.col("__v"))).alias(f"__hi_{nm}"))
         aggs.append(F.max(pos - lo).alias(f"__fr_{nm}"))
-    picked = ranked.agg(*aggs)
-    return picked.select(
+    per_measure = ranked.groupBy("__m").agg(*aggs).select(
+        "__m",
         *[
             (F.col(f"__lo_{nm}") + (F.col(f"__hi_{nm}") - F.col(f"__lo_{nm}")) * F.col(f"__fr_{nm}")).alias(nm)
             for nm in names
-        ]
+        ],
+    )
+    # one row per measure -> one row with a column per (measure, quantile)
+    return per_measure.agg(
+        *[F.max(F.when(F.col("__m") == c, F.col(nm))).alias(f"{c}__{nm}") for c in columns for nm in names]
     )
 
 
@@ -159,21 +180,24 @@ def growth_pct(df: DataFrame, by: Sequence[str], order: str, value: str, name: s
 
 
 def winsorise(df: DataFrame, columns: Sequence[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    """Clip each column to its own exact ``lo``/``hi`` quantiles (bounds are scalar subqueries)."""
-    out = df
-    for c in columns:
-        q = quantiles(df, c, [lo, hi], names=["lo", "hi"])
-        out = out.withColumn(c, clip(c, q.select("lo").scalar(), q.select("hi").scalar()))
-    return out
+    """Clip each column to its own exact ``lo``/``hi`` quantiles.
+
+    The 2 x columns bounds come from one ranking pass and are read back as one small row (a
+    bounded driver round trip), then applied as literals.
+    """
+    b = multi_quantiles(df, columns, [lo, hi], names=["lo", "hi"]).first()
+    return df.select(
+        *[clip(c, F.lit(b[f"{c}__lo"]), F.lit(b[f"{c}__hi"])).alias(c) if c in columns else F.col(c) for c in df.columns]
+    )
 
 
 def minmax(df: DataFrame, columns: Sequence[str], suffix: str = "_score", lo: float = 0.0, hi: float = 100.0) -> DataFrame:
-    """Min-max scale each column to ``[lo, hi]`` as ``column + suffix``; constant column -> ``lo``."""
-    bounds = df.agg(*[F.min(c).alias(f"{c}__min") for c in columns], *[F.max(c).alias(f"{c}__max") for c in columns])
-    out = df
-    for c in columns:
-        out = out.withColumn(
-            c + suffix,
-            minmax_scale(c, bounds.select(f"{c}__min").scalar(), bounds.select(f"{c}__max").scalar(), lo, hi),
-        )
-    return out
+    """Min-max scale each column to ``[lo, hi]`` as ``column + suffix``; constant column -> ``lo``.
+
+    Column minima and maxima are one aggregate row read back once and applied as literals.
+    """
+    b = df.agg(*[F.min(c).alias(f"{c}__min") for c in columns], *[F.max(c).alias(f"{c}__max") for c in columns]).first()
+    return df.select(
+        "*",
+        *[minmax_scale(c, F.lit(b[f"{c}__min"]), F.lit(b[f"{c}__max"]), lo, hi).alias(c + suffix) for c in columns],
+    )

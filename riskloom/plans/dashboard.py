@@ -81,19 +81,28 @@ def diagonal_pairs(fact: DataFrame) -> DataFrame:
 
 
 def findings_table(fact: DataFrame, min_total: int = K.MIN_TOTAL) -> DataFrame:
-    """The four key findings as one table ``(finding, ord, row_json)`` in report order."""
+    """The four key findings as one table ``(finding, ord, row_json)`` in report order.
+
+    Regime summaries (one row per regime) and the top-10 list are numbered with a plain window;
+    the danger list grows with the number of firms, so it gets the range-partitioned numbering.
+    """
     parts = [
-        ("industry_overview", Q.k1_overview(fact), [K.DUTY]),
-        ("danger_quadrant", Q.k2_danger_list(fact, min_total), [F.desc("avg_upheld"), K.FIRM, K.TYPE]),
-        ("duty_uphold_shift", Q.k3_duty_shift(fact), [K.DUTY]),
-        ("worsened_post_duty", Q.k4_worsened(fact), [F.desc("change_ppts"), K.FIRM]),
+        ("industry_overview", Q.k1_overview(fact), [K.DUTY], True),
+        ("danger_quadrant", Q.k2_danger_list(fact, min_total), [F.desc("avg_upheld"), K.FIRM, K.TYPE], False),
+        ("duty_uphold_shift", Q.k3_duty_shift(fact), [K.DUTY], True),
+        ("worsened_post_duty", Q.k4_worsened(fact), [F.desc("change_ppts"), K.FIRM], True),
     ]
     out = None
-    for name, df, order in parts:
+    for name, df, order, bounded in parts:
         cols = df.columns
-        numbered = global_row_number(df, order, name="ord")
+        if bounded:
+            numbered = df.withColumn("ord", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+        else:
+            numbered = global_row_number(df, order, name="ord")
         one = numbered.select(
-            F.lit(name).alias("finding"), "ord", F.to_json(F.struct(*[F.col(c) for c in cols])).alias("row_json")
+            F.lit(name).alias("finding"),
+            "ord",
+            F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"}).alias("row_json"),
         )
         out = one if out is None else out.unionByName(one)
     return out

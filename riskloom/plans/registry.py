@@ -151,7 +151,7 @@ register("exec_top12", _on_fact(D.exec_top_firms), OM.SQL["exec_top12"])
 register("exec_sector_share", _on_fact(D.exec_sector_share), OM.SQL["exec_sector_share"])
 register("firm_drilldown", _on_fact(D.firm_drilldown), OM.SQL["firm_drilldown"])
 register("diagonal_pairs", _on_fact(D.diagonal_pairs), OM.SQL["diagonal_pairs"])
-register("findings_table", _on_fact(D.findings_table), None)
+register("findings_table", _on_fact(D.findings_table), OM.SQL["findings_table"])
 register("unpivot_sheets", _unpivot_sheets, OM.SQL["unpivot_sheets"])
 register("assemble_measures", _assemble, OM.SQL["assemble_measures"])
 register("dedup_keep_first", _dedup, OM.SQL["dedup_keep_first"])

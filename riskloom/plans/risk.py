@@ -6,10 +6,10 @@ volume growth - each winsorised to its own 5th/95th percentile, min-max scaled t
 combined with weights 0.30/0.35/0.20/0.15; the index is rounded half-to-even at 1 dp.
 
 Plan: the firm base, slope and growth are three aggregates of the fact keyed by firm_name, so the
-two joins between them reuse one hash partitioning; the firm base is then checkpointed once (it
-feeds eight scalar subqueries: four pairs of exact quantiles, then min/max), instead of
-re-deriving it from the fact for each. The original per-firm loops (two full scans per firm) become
-two grouped passes.
+two joins between them reuse one hash partitioning; the firm base is then checkpointed once and
+feeds one ranking pass for all eight clip bounds (exact quantiles of four measures) and one
+min/max aggregate - two bounded rows read back and applied as literals. The original per-firm loops
+(two full scans per firm) become two grouped passes.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from riskloom import contract as K
 from riskloom.functions.numeric import exact_mean, rint_dp
-from riskloom.operators.stats import growth_pct, minmax, quantiles, trend_slope, winsorise
+from riskloom.operators.stats import growth_pct, minmax, multi_quantiles, trend_slope, winsorise
 
 MEASURES = ("total_opened", "avg_upheld", "upheld_trend", "volume_growth")
 SCORES = tuple(m + "_score" for m in MEASURES)
@@ -57,7 +57,7 @@ def risk_index(
     """All firms of the base with clipped measures, scores, the index and the high-risk flag."""
     base = _materialise(risk_base(fact, min_total).withColumn("total_opened", F.col("total_opened").cast("double")),
                         checkpoint)
-    clipped = _materialise(winsorise(base, MEASURES, *clip_q), checkpoint)
+    clipped = winsorise(base, MEASURES, *clip_q)
     scored = minmax(clipped, MEASURES)
     w = [F.lit(float(x)) for x in weights]
     idx = (
@@ -94,8 +94,8 @@ def firm_scatter(fact: DataFrame, min_total: int = K.MIN_TOTAL, by=(K.FIRM, K.TY
 def median_quadrant(fact: DataFrame, min_total: int = K.MIN_TOTAL, by=(K.FIRM, K.TYPE)) -> DataFrame:
     """Danger quadrant by medians: strictly above the median volume and the median uphold rate."""
     scatter = firm_scatter(fact, min_total, by)
-    mv = quantiles(scatter, "total_opened", [0.5], names=["m"]).select("m").scalar()
-    mu = quantiles(scatter, "avg_upheld", [0.5], names=["m"]).select("m").scalar()
+    med = multi_quantiles(scatter, ["total_opened", "avg_upheld"], [0.5], names=["m"]).first()
+    mv, mu = F.lit(med["total_opened__m"]), F.lit(med["avg_upheld__m"])
     return scatter.select(
         "*",
         mv.alias("vol_threshold"),

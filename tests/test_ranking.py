@@ -53,3 +53,14 @@ def test_rank_within_top_equals_global_rank(spark):
     full = {r.firm: r.r for r in df.withColumn("r", F.rank().over(Window.orderBy(F.desc("total")))).collect()}
     assert len(top) == 10
     assert all(full[r.firm] == r.r for r in top)
+
+
+def test_grouped_row_number_equals_partitioned_window(spark):
+    df = spark.range(0, 3000, 1, 4).select(
+        (F.col("id") % 3).cast("string").alias("g"), ((F.col("id") * 7919) % 1013).alias("v"), "id"
+    )
+    got = global_row_number(df, [F.asc("v"), F.asc("id")], name="rn", total_name="n", num_partitions=7, partition_by=["g"])
+    exp = df.withColumn("e", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
+    joined = got.join(exp.select("id", "e"), "id")
+    assert joined.filter(F.col("rn") != F.col("e")).count() == 0
+    assert {r.g: r.n for r in got.select("g", "n").distinct().collect()} == {"0": 1000, "1": 1000, "2": 1000}
