@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: ranking, windows, side comparisons, reshape, statistics."""

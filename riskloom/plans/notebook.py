@@ -32,6 +32,11 @@ def categories(fact: DataFrame) -> list[str]:
     return [r[0] for r in fact.select(K.CAT).distinct().orderBy(K.CAT).collect()]
 
 
+def regime_records(fact: DataFrame) -> DataFrame:
+    """Rows and total volume per regime (the notebook's load check)."""
+    return fact.groupBy(K.DUTY).agg(F.count(K.OPENED).alias("records"), F.sum(K.OPENED).alias("total_complaints"))
+
+
 def n1_period_totals(fact: DataFrame) -> DataFrame:
     return (
         fact.groupBy(K.LABEL, K.ORDER, K.DUTY)

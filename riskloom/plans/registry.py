@@ -156,3 +156,6 @@ register("unpivot_sheets", _unpivot_sheets, OM.SQL["unpivot_sheets"])
 register("assemble_measures", _assemble, OM.SQL["assemble_measures"])
 register("dedup_keep_first", _dedup, OM.SQL["dedup_keep_first"])
 register("classify_keywords", _classify_parts, OM.SQL["classify_keywords"])
+register("regime_records", _on_fact(N.regime_records), OM.SQL["regime_records"])
+register("c2_rising_upheld_chronological", _on_fact(Q.c2_rising_upheld, mode="chronological"),
+         OM.SQL["c2_rising_upheld_chronological"])

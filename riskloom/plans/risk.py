@@ -102,3 +102,16 @@ def median_quadrant(fact: DataFrame, min_total: int = K.MIN_TOTAL, by=(K.FIRM, K
         mu.alias("upheld_threshold"),
         ((F.col("total_opened") > mv) & (F.col("avg_upheld") > mu)).cast("int").alias("in_danger"),
     )
+
+
+def danger_quadrant(fact: DataFrame, min_total: int = K.MIN_TOTAL, method: str = "quartile") -> DataFrame:
+    """Both published definitions: ``"quartile"`` (top volume and top uphold quartile, the SQL
+    module) or ``"median"`` (strictly above both medians, the notebook)."""
+    if method == "quartile":
+        from riskloom.plans.named_queries import k2_danger_list
+
+        return k2_danger_list(fact, min_total)
+    if method == "median":
+        q = median_quadrant(fact, min_total)
+        return q.filter(F.col("in_danger") == 1).select(K.FIRM, K.TYPE, "total_opened", "avg_upheld")
+    raise ValueError(f"unknown method {method!r}")

@@ -15,6 +15,7 @@ Deliberate deviations from the original cleaning stage (documented):
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from riskloom import contract as K
 from riskloom.functions.numeric import rint_dp
-from riskloom.functions.rules import classify, harmonised_name
+from riskloom.functions.rules import classify, harmonised_name, unify_names
 from riskloom.operators.reshape import melt_measure
 
 MEASURE_VALUE = {
@@ -118,11 +119,13 @@ def assemble_measures(
     source_col: str = "source",
     rules=K.FIRM_TYPE_RULES,
     default_type: str = K.FIRM_TYPE_DEFAULT,
+    alias_map: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Base = opened rows with a usable firm name; closed / upheld / 3-day rates left-joined on the
     shared keys; period columns from the manifest; rates to 1-dp percentages; firm type by the
     keyword rules unless the sheet carries it. Emits the master columns (before change metrics)
-    plus the integer-tenth helpers.
+    plus the integer-tenth helpers. ``alias_map`` unifies firm spellings after assembly, so every
+    later analysis sees the same firms (the original only unified them in the notebook).
     """
     base = long["opened"]
     if "group" not in base.columns:
@@ -148,7 +151,7 @@ def assemble_measures(
     with_period = typed.join(manifest, typed[source_col] == manifest[K.LABEL]) if source_col != K.LABEL else typed.join(manifest, K.LABEL)
     upheld = rint_dp(F.col("upheld_rate") * F.lit(100.0), 1)
     three = rint_dp(F.col("pct_closed_3days_raw") * F.lit(100.0), 1)
-    return with_period.select(
+    out = with_period.select(
         "firm_name",
         F.coalesce(F.trim(F.col("group")), F.lit("")).alias(K.GROUP),
         K.CAT,
@@ -167,6 +170,7 @@ def assemble_measures(
         F.rint(upheld * F.lit(10.0)).cast("bigint").alias(K.UPHELD_T),
         F.rint(three * F.lit(10.0)).cast("bigint").alias(K.CLOSED3_T),
     )
+    return unify_names(out, alias_map) if alias_map else out
 
 
 # ---------------------------------------------------------------------- manifests and test sheets
@@ -219,3 +223,77 @@ def fixture_sheets(fact: DataFrame, categories: Sequence[str], suppressed: str =
             *[F.col(f"`{c}_{measure}`").alias(c) for c in categories],
         )
     return sheets
+
+
+# ------------------------------------------------------------------------ file-based period scan
+
+
+def _list_dir(spark: SparkSession, path: str) -> list[str] | None:
+    """Names in a folder on any Hadoop file system (local, HDFS, object stores); None if absent."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return None
+    return sorted(st.getPath().getName() for st in fs.listStatus(hpath))
+
+
+def workbook_catalog(spark: SparkSession, base_dir: str, manifest=K.PERIOD_MANIFEST) -> DataFrame:
+    """Sheet catalog ``(source, sheet_name, sheet_pos, path)`` of the period files present.
+
+    Layout: ``<base_dir>/<file stem>/<sheet name>.csv`` - one folder per period workbook, one CSV
+    export per sheet, sheet order = name order. A missing period folder is skipped with a warning;
+    no folder at all is an error.
+    """
+    import warnings
+
+    rows = []
+    for file, label, *_ in manifest:
+        folder = os.path.join(base_dir, file.rsplit(".", 1)[0])
+        names = _list_dir(spark, folder)
+        if names is None:
+            warnings.warn(f"period file not found, skipped: {folder}")
+            continue
+        sheets = [n for n in names if n.lower().endswith(".csv")]
+        rows += [(label, n[: -len(".csv")], i, os.path.join(folder, n)) for i, n in enumerate(sheets)]
+    if not rows:
+        raise ValueError(f"no period files found under {base_dir}")
+    return spark.createDataFrame(rows, "source string, sheet_name string, sheet_pos int, path string")
+
+
+def load_workbooks(
+    spark: SparkSession,
+    base_dir: str,
+    manifest=K.PERIOD_MANIFEST,
+    pre_periods=K.PRE_DUTY_PERIODS,
+    categories: Sequence[str] = K.PRODUCT_CATS,
+    sheet_rules: Mapping[str, Sequence[str]] = K.SHEET_KEYWORDS,
+    alias_map: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Manifest-driven scan of every period's sheets into assembled master rows.
+
+    The resolved sheet list is metadata (at most four sheets per period file) and is the only thing
+    brought to the driver; every sheet is then a lazy all-string CSV scan, harmonised and unpivoted,
+    and all periods are unioned into one plan.
+    """
+    catalog = workbook_catalog(spark, base_dir, manifest)
+    resolved = resolve_sheets(catalog.drop("path"), sheet_rules).join(
+        catalog.select("source", "sheet_name", "path"), ["source", "sheet_name"]
+    ).collect()
+    per_measure: dict[str, list[DataFrame]] = {}
+    for row in sorted(resolved, key=lambda r: (r["source"], r["measure"])):
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(row["path"])
+        sheet = harmonise_columns(raw).withColumn("source", F.lit(row["source"]))
+        long = melt_measure(sheet, MEASURE_VALUE[row["measure"]], ids=("source", "firm_name", "group", K.TYPE),
+                            categories=categories)
+        if long is not None:
+            per_measure.setdefault(row["measure"], []).append(long)
+    long_by_measure = {}
+    for measure, frames in per_measure.items():
+        out = frames[0]
+        for df in frames[1:]:
+            out = out.unionByName(df, allowMissingColumns=True)
+        long_by_measure[measure] = out
+    if "opened" not in long_by_measure:
+        raise ValueError("no readable 'opened' sheet in any period: nothing to assemble")
+    return assemble_measures(long_by_measure, manifest_df(spark, manifest, pre_periods), alias_map=alias_map)

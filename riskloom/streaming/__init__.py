@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The original application has no stream, watermark, window-over-time or late-data logic: every
+period file is complete when it is read, and each analysis is a batch over the whole master.
+New half-years arrive as new period files and are ingested by ``sources.sheets.load_workbooks``;
+nothing here re-aims that as a stream, since no operator of the original needs state across
+micro-batches.
+"""
