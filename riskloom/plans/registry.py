@@ -103,7 +103,7 @@ def _firm_growth(fact):
 
 def _sheets_long(fact):
     cats = N.categories(fact)
-    return SH.melt_sheets(SH.fixture_sheets(fact, cats), categories=cats)
+    return SH.melt_sheets(SH.fixture_sheets(fact, cats, materialise=True), categories=cats)
 
 
 def _unpivot_fact(fact):

@@ -195,12 +195,15 @@ FIXTURE_HEADERS = {
 }
 
 
-def fixture_sheets(fact: DataFrame, categories: Sequence[str], suppressed: str = "*") -> dict[str, DataFrame]:
+def fixture_sheets(fact: DataFrame, categories: Sequence[str], suppressed: str = "*",
+                   materialise: bool = False) -> dict[str, DataFrame]:
     """Wide all-string sheets per measure derived from a fact (one pivot, one scan).
 
     Every sheet holds all periods (``source`` = period label) - the stacked equivalent of one file
     per period. Rates are 0-1 fractions; a suppressed rate is ``'*'``; an absent (firm, category)
     cell is null. Firm names on the upheld sheet are padded to exercise trimming.
+    ``materialise`` checkpoints the pivot once (the stand-in for writing the sheet files), so the
+    four sheets are reads of stored data rather than four recomputations of the pivot.
     """
     wide = (
         fact.groupBy(F.col(K.LABEL).alias("source"), K.FIRM, K.GROUP, K.TYPE)
@@ -212,6 +215,11 @@ def fixture_sheets(fact: DataFrame, categories: Sequence[str], suppressed: str =
             F.first(F.coalesce((F.col(K.CLOSED3_T) / F.lit(1000.0)).cast("string"), F.lit(suppressed))).alias("threeday"),
         )
     )
+    if materialise:
+        from riskloom.session import checkpoint_dir
+
+        checkpoint_dir(fact.sparkSession)
+        wide = wide.checkpoint(eager=True)
     sheets = {}
     for measure, (firm_h, group_h) in FIXTURE_HEADERS.items():
         name = F.concat(F.lit("  "), F.col(K.FIRM), F.lit(" ")) if measure == "upheld" else F.col(K.FIRM)
