@@ -55,3 +55,32 @@ def test_named_tables_and_query_sink(spark, small_fact, scratch_dir):
     assert spark.read.parquet(paths["k1"]).count() == 2
     out = SK.run_query("a4_industry", Q.a4_industry(small_fact), os.path.join(scratch_dir, "sql_outputs"))
     assert spark.read.option("header", True).csv(out).count() == 14
+
+
+def test_three_stages_end_to_end(spark, small_fact, scratch_dir):
+    from riskloom.plans import stages
+
+    periods = small_fact.select(K.LABEL, K.ORDER, "period_start", "period_end").distinct().orderBy(K.ORDER).collect()
+    manifest = [(f"p{p[K.ORDER]:02d}.xlsx", p[K.LABEL], p[K.ORDER], str(p["period_start"]), str(p["period_end"]))
+                for p in periods]
+    pre = [p[K.LABEL] for p in periods if p[K.ORDER] <= K.FIXTURE_CUTOVER_ORDER]
+    cats = sorted(r[0] for r in small_fact.select(K.CAT).distinct().collect())
+    base = os.path.join(scratch_dir, "stage_sheets")
+    sheets = {m: df.toPandas() for m, df in SH.fixture_sheets(small_fact, cats).items()}
+    for file, label, *_ in manifest:
+        folder = os.path.join(base, file.rsplit(".", 1)[0])
+        os.makedirs(folder, exist_ok=True)
+        for measure, pdf in sheets.items():
+            pdf[pdf["source"] == label].drop(columns=["source"]).to_csv(
+                os.path.join(folder, SHEET_NAMES[measure] + ".csv"), index=False)
+    out = os.path.join(scratch_dir, "stages")
+    master_path = stages.clean_stage(spark, base, out, manifest=manifest, pre_periods=pre, categories=cats)
+    master = spark.read.parquet(master_path)
+    assert master.count() == small_fact.count() and len(master.columns) == 23
+    sql_out = stages.sql_stage(spark, master_path, os.path.join(out, "sql_outputs"), min_first=K.FIXTURE_MIN_FIRST)
+    assert len(sql_out) == 13
+    a1 = spark.read.option("header", True).csv(sql_out[0])
+    assert a1.count() == 30
+    nb_out = stages.notebook_stage(spark, master_path, os.path.join(out, "notebook"))
+    assert len(nb_out) == 12
+    assert spark.read.option("header", True).csv(nb_out[10]).count() == 15
