@@ -145,7 +145,8 @@ def assemble_measures(
         right = right.withColumn("firm_name", F.trim(F.col("firm_name")))
         avail = [k for k in keys if k in right.columns]
         r = right.select(*[F.col(k).alias(f"__r_{k}") for k in avail], col)
-        cond = [base[k].eqNullSafe(r[f"__r_{k}"]) for k in avail]
+        # only the group may be null on both sides (firm names and categories are filtered/non-null)
+        cond = [base[k].eqNullSafe(r[f"__r_{k}"]) if k == "group" else (base[k] == r[f"__r_{k}"]) for k in avail]
         base = base.join(r, cond, "left").drop(*[f"__r_{k}" for k in avail])
     typed = base if K.TYPE in base.columns else base.withColumn(K.TYPE, classify("firm_name", rules, default_type))
     with_period = typed.join(manifest, typed[source_col] == manifest[K.LABEL]) if source_col != K.LABEL else typed.join(manifest, K.LABEL)

@@ -88,3 +88,24 @@ def test_median_quadrant_strictly_above(spark):
     rows = [(f, "T", "c", 1, v, t) for f, v, t in [("a", 2000, 300), ("b", 3000, 400), ("c", 4000, 500), ("d", 5000, 600)]]
     got = {r.firm_name: r.in_danger for r in N.n6_median_quadrant(fact_rows(spark, rows)).collect()}
     assert got == {"a": 0, "b": 0, "c": 1, "d": 1}
+
+
+def test_c2_boundary_exactly_ten_points_is_moderate(spark):
+    fact = fact_rows(spark, [("ten", "T", "c", 1, 100, 300), ("ten", "T", "c", 2, 100, 400),
+                             ("five", "T", "c", 1, 100, 300), ("five", "T", "c", 2, 100, 350)])
+    got = {r.firm_name: r.trend_verdict for r in Q.c2_rising_upheld(fact).collect()}
+    assert got == {"ten": K.C2_VERDICTS[1], "five": K.C2_VERDICTS[2]}
+
+
+def test_results_invariant_under_partitioning_and_input_order(spark, small_fact):
+    ref = sorted(Q.c3_danger_quadrant(small_fact).collect())
+    shuffled = small_fact.repartition(13, "period_label").orderBy(F.rand(7))
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = sorted(Q.c3_danger_quadrant(shuffled).collect())
+        master_a = M.master_changes(shuffled).select("record_id", "firm_name", "product_category", "period_order")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    master_b = M.master_changes(small_fact).select("record_id", "firm_name", "product_category", "period_order")
+    assert ref == again
+    assert master_a.exceptAll(master_b).count() == 0
