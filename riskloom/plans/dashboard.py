@@ -27,8 +27,9 @@ def exec_top_firms(fact: DataFrame, top: int = 12) -> DataFrame:
 
 
 def exec_sector_share(fact: DataFrame) -> DataFrame:
-    """Executive page: each sector's share of all complaints (1 dp), grand total as a scalar subquery."""
-    grand = fact.agg(F.sum(K.OPENED).alias("g")).scalar()
+    """Executive page: each sector's share of all complaints (1 dp); the grand total is one
+    aggregate row read back once and applied as a literal."""
+    grand = F.lit(fact.agg(F.sum(K.OPENED).alias("g")).first()["g"]).cast("bigint")
     return (
         fact.groupBy(K.TYPE)
         .agg(F.sum(K.OPENED).alias("total_opened"), F.countDistinct(K.FIRM).alias("firms"))
