@@ -1,9 +1,10 @@
 """Master fact (M1) and its summary marts (M2 volume pivot, M3 upheld pivot, M4 category summary).
 
-M1 = dedup on (firm, category, period) -> record_id in (firm, category, period order) ->
-period-on-period changes per (firm, category) -> flag and band. The record id comes from the
-range-partitioned global row number (no single-partition window over the fact); the change window
-is partitioned by (firm, category), whose size is bounded by the number of periods.
+M1 = dedup on (firm, category, period) -> period-on-period changes per (firm, category) ->
+record_id in (firm, category, period order) -> flag and band. Dedup and the change window need the
+firm distribution the bucketed master already has; the record id comes from the range-partitioned
+global row number (no single-partition window over the fact). The change window is partitioned by
+(firm, category), whose size is bounded by the number of periods.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ MASTER_OUT = [*K.MASTER_COLUMNS, K.UPHELD_T, K.CLOSED3_T]
 
 
 def master_changes(fact: DataFrame, dedup: bool = True) -> DataFrame:
+    # dedup and the change window both run on the firm distribution the master already has
+    # (bucketed by firm: no shuffle); only the record id needs the range-partitioned numbering
     df = keep_first(fact, [K.FIRM, K.CAT, K.LABEL], [K.ORDER]) if dedup else fact
-    df = global_row_number(df, [F.asc(K.FIRM), F.asc(K.CAT), F.asc(K.ORDER)], name="record_id")
     w_prev = add_changes(df, (K.FIRM, K.CAT), K.ORDER, K.OPENED, K.UPHELD_T)
-    out = w_prev
+    out = global_row_number(w_prev, [F.asc(K.FIRM), F.asc(K.CAT), F.asc(K.ORDER)], name="record_id")
     return out.select(
         *[c for c in MASTER_OUT if c not in ("high_uphold_flag", "upheld_band")],
         flag_at_least(K.UPHELD, K.HIGH_UPHOLD_THRESHOLD).alias("high_uphold_flag"),

@@ -5,8 +5,9 @@ measures - total volume, mean uphold rate, uphold-rate slope over the period ord
 volume growth - each winsorised to its own 5th/95th percentile, min-max scaled to 0-100 and
 combined with weights 0.30/0.35/0.20/0.15; the index is rounded half-to-even at 1 dp.
 
-Plan: the firm base, slope and growth are three aggregates of the fact keyed by firm_name, so the
-two joins between them reuse one hash partitioning; the firm base is then checkpointed once and
+Plan: the firm base (volume, mean, periods, slope moments, first/last volume) is one two-level
+aggregation of the fact - per (firm, period), then per firm - with no join and, over the master
+bucketed by firm, no shuffle; it is then checkpointed once and
 feeds one ranking pass for all eight clip bounds (exact quantiles of four measures) and one
 min/max aggregate - two bounded rows read back and applied as literals. The original per-firm loops
 (two full scans per firm) become two grouped passes.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from riskloom import contract as K
 from riskloom.functions.numeric import exact_mean, rint_dp
-from riskloom.operators.stats import growth_pct, minmax, multi_quantiles, trend_slope, winsorise
+from riskloom.operators.stats import minmax, multi_quantiles, winsorise
 
 MEASURES = ("total_opened", "avg_upheld", "upheld_trend", "volume_growth")
 SCORES = tuple(m + "_score" for m in MEASURES)
@@ -30,20 +31,59 @@ def _materialise(df: DataFrame, checkpoint: bool) -> DataFrame:
 
 
 def risk_base(fact: DataFrame, min_total: int = K.MIN_TOTAL, degenerate: str = "min_norm") -> DataFrame:
-    rated = fact.filter(F.col(K.UPHELD_T).isNotNull())
-    base = (
-        rated.groupBy(K.FIRM)
-        .agg(
-            F.sum(K.OPENED).alias("total_opened"),
-            exact_mean(K.UPHELD_T, 10).alias("avg_upheld"),
-            F.min(K.TYPE).alias(K.TYPE),
-            F.countDistinct(K.LABEL).alias("periods"),
-        )
-        .filter(F.col("total_opened") > min_total)
+    """Per firm: volume and mean uphold rate over rated rows, periods, slope and growth.
+
+    One pass over the fact: it is aggregated per (firm, period) once - volume of all rows, and the
+    rated rows' volume, count and integer moments - then per firm. The slope comes from the exact
+    moments (``operators.stats.trend_slope`` semantics, including the degenerate rule), the growth
+    from the first and last period volume of all rows (``growth_pct`` semantics). No join.
+    """
+    t = F.col(K.UPHELD_T)
+    rated = t.isNotNull()
+    x = F.col(K.ORDER).cast("bigint")
+    per_period = fact.groupBy(K.FIRM, K.ORDER).agg(
+        F.sum(K.OPENED).alias("v_all"),
+        F.sum(F.when(rated, F.col(K.OPENED))).alias("v_rated"),
+        F.count(t).alias("n"),
+        F.sum(t).alias("sy"),
+        F.min(K.TYPE).alias(K.TYPE),
+    )
+    o = F.col(K.ORDER).cast("bigint")
+    has = F.col("n") > 0
+    m = per_period.groupBy(K.FIRM).agg(
+        F.sum("v_rated").alias("total_opened"),
+        F.sum("sy").alias("__sy"),
+        F.sum("n").alias("__n"),
+        F.sum(o * F.col("n")).alias("__sx"),
+        F.sum(o * o * F.col("n")).alias("__sxx"),
+        F.sum(o * F.col("sy")).alias("__sxy"),
+        F.min(F.when(has, o)).alias("__xmin"),
+        F.count(F.when(has, F.lit(1))).alias("periods"),
+        F.min(F.when(has, F.col(K.TYPE))).alias(K.TYPE),
+        F.min_by("v_all", K.ORDER).alias("__first"),
+        F.max_by("v_all", K.ORDER).alias("__last"),
+        F.count(F.lit(1)).alias("__k"),
+    )
+    n, sx, sy, sxx, sxy = (F.col(c) for c in ("__n", "__sx", "__sy", "__sxx", "__sxy"))
+    den = n * sxx - sx * sx
+    regular = (n * sxy - sx * sy).cast("double") / den.cast("double") / F.lit(10.0)
+    if degenerate == "min_norm":
+        degen = sy.cast("double") / (n * F.col("__xmin") * F.lit(20)).cast("double")
+    elif degenerate == "zero":
+        degen = F.lit(0.0)
+    else:
+        raise ValueError(f"unknown degenerate rule {degenerate!r}")
+    first, last = F.col("__first"), F.col("__last")
+    growth = (last - first).cast("double") / first.cast("double") * F.lit(100.0)
+    return m.filter((n > 0) & (F.col("total_opened") > min_total)).select(
+        K.FIRM,
+        "total_opened",
+        (sy.cast("double") / (n * F.lit(10))).alias("avg_upheld"),
+        K.TYPE,
+        "periods",
+        F.when(n < 2, F.lit(0.0)).when(den == 0, degen).otherwise(regular).alias("upheld_trend"),
+        F.when((F.col("__k") < 2) | (first == 0), F.lit(0.0)).otherwise(growth).alias("volume_growth"),
     )
-    slope = trend_slope(rated, [K.FIRM], K.ORDER, K.UPHELD_T, degenerate=degenerate).drop("n_points")
-    growth = growth_pct(fact, [K.FIRM], K.ORDER, K.OPENED)
-    return base.join(slope, K.FIRM).join(growth, K.FIRM)
 
 
 def risk_index(
