@@ -179,13 +179,14 @@ def growth_pct(df: DataFrame, by: Sequence[str], order: str, value: str, name: s
     return fl.select(*by, F.when((F.col("__k") < 2) | (first == 0), F.lit(0.0)).otherwise(g).alias(name))
 
 
-def winsorise(df: DataFrame, columns: Sequence[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
+def winsorise(df: DataFrame, columns: Sequence[str], lo: float = 0.05, hi: float = 0.95, bounds=None) -> DataFrame:
     """Clip each column to its own exact ``lo``/``hi`` quantiles.
 
     The 2 x columns bounds come from one ranking pass and are read back as one small row (a
-    bounded driver round trip), then applied as literals.
+    bounded driver round trip), then applied as literals. ``bounds`` (a row or mapping with
+    ``<column>__lo`` / ``<column>__hi``) skips the pass when the caller already has them.
     """
-    b = multi_quantiles(df, columns, [lo, hi], names=["lo", "hi"]).first()
+    b = bounds if bounds is not None else multi_quantiles(df, columns, [lo, hi], names=["lo", "hi"]).first()
     return df.select(
         *[clip(c, F.lit(b[f"{c}__lo"]), F.lit(b[f"{c}__hi"])).alias(c) if c in columns else F.col(c) for c in df.columns]
     )

@@ -174,18 +174,23 @@ def n11_summary(fact: DataFrame, min_total: int = K.MIN_TOTAL, risk: DataFrame |
         (F.sum(F.when(pre, t)).cast("double") / (F.count(F.when(pre, t)) * 10)).alias("pre_upheld"),
         (F.sum(F.when(post, t)).cast("double") / (F.count(F.when(post, t)) * 10)).alias("post_upheld"),
     )
-    # three scalars, each a bounded one-row result read back once and applied as a literal
-    quad = R.median_quadrant(fact, min_total, by=(K.FIRM,))
-    danger = quad.agg(F.sum("in_danger").cast("bigint").alias("d")).first()["d"] or 0
-    ri = risk if risk is not None else R.risk_index(fact, min_total)
-    top1 = R.risk_table(ri, 1).first()
+    # danger count and top risk firm: one firm base, one ranking pass (bounded rows read back)
+    if risk is None:
+        base = R.prepared_base(fact, min_total).checkpoint(eager=True)
+        extra = R.summary_from_base(base)
+    else:
+        quad = R.median_quadrant(fact, min_total, by=(K.FIRM,))
+        top1 = R.risk_table(risk, 1).first()
+        extra = {"danger_count": quad.agg(F.sum("in_danger")).first()[0] or 0,
+                 "top_risk_firm": top1[K.FIRM] if top1 else None,
+                 "top_risk_index": top1["risk_index"] if top1 else None}
     return totals.select(
         "*",
         ((F.col("post_total") - F.col("pre_total")).cast("double") / F.col("pre_total").cast("double") * F.lit(100.0)).alias(
             "change_pct"
         ),
         (F.col("post_upheld") - F.col("pre_upheld")).alias("upheld_change_ppts"),
-        F.lit(danger).cast("bigint").alias("danger_count"),
-        F.lit(top1[K.FIRM] if top1 else None).cast("string").alias("top_risk_firm"),
-        F.lit(top1["risk_index"] if top1 else None).cast("double").alias("top_risk_index"),
+        F.lit(extra["danger_count"]).cast("bigint").alias("danger_count"),
+        F.lit(extra["top_risk_firm"]).cast("string").alias("top_risk_firm"),
+        F.lit(extra["top_risk_index"]).cast("double").alias("top_risk_index"),
     )

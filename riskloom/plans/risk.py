@@ -95,9 +95,24 @@ def risk_index(
     checkpoint: bool = True,
 ) -> DataFrame:
     """All firms of the base with clipped measures, scores, the index and the high-risk flag."""
-    base = _materialise(risk_base(fact, min_total).withColumn("total_opened", F.col("total_opened").cast("double")),
-                        checkpoint)
-    clipped = winsorise(base, MEASURES, *clip_q)
+    base = _materialise(prepared_base(fact, min_total), checkpoint)
+    return index_from_base(base, weights=weights, clip_q=clip_q, high=high)
+
+
+def prepared_base(fact: DataFrame, min_total: int = K.MIN_TOTAL) -> DataFrame:
+    return risk_base(fact, min_total).withColumn("total_opened", F.col("total_opened").cast("double"))
+
+
+def index_from_base(
+    base: DataFrame,
+    weights: tuple[float, float, float, float] = K.RISK_WEIGHTS,
+    clip_q: tuple[float, float] = K.RISK_CLIP,
+    high: float = K.RISK_HIGH,
+    bounds=None,
+) -> DataFrame:
+    """Clip -> scale -> weight over a (materialised) firm base. ``bounds`` may carry the clip
+    quantiles already computed (``<measure>__lo`` / ``__hi``) to skip the ranking pass."""
+    clipped = winsorise(base, MEASURES, *clip_q, bounds=bounds)
     scored = minmax(clipped, MEASURES)
     w = [F.lit(float(x)) for x in weights]
     idx = (
@@ -108,6 +123,22 @@ def risk_index(
     ).select(K.FIRM, K.TYPE, "periods", *MEASURES, *SCORES, "risk_index", "high_risk")
 
 
+def summary_from_base(base: DataFrame, clip_q: tuple[float, float] = K.RISK_CLIP) -> dict:
+    """Danger count by medians and the top risk firm, from one ranking pass over the base.
+
+    The median quadrant of the notebook summary uses the same firms (rated rows, volume above the
+    threshold, grouped by firm) and the same two measures as the risk base, so its medians come
+    from the same ranking as the clip bounds.
+    """
+    lo, hi = clip_q
+    q = multi_quantiles(base, list(MEASURES), [lo, 0.5, hi], names=["lo", "m", "hi"]).first()
+    mv, mu = q["total_opened__m"], q["avg_upheld__m"]
+    danger = base.filter((F.col("total_opened") > F.lit(mv)) & (F.col("avg_upheld") > F.lit(mu))).count() if mv is not None else 0
+    top = risk_table(index_from_base(base, clip_q=clip_q, bounds=q), 1).first()
+    return {"danger_count": danger, "top_risk_firm": top[K.FIRM] if top else None,
+            "top_risk_index": top["risk_index"] if top else None}
+
+
 def risk_table(index: DataFrame, top: int = 15) -> DataFrame:
     """The saved top table: clipped inputs next to the index, highest first."""
     return (
