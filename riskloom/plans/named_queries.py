@@ -27,7 +27,6 @@ from riskloom.functions.numeric import (
     rounded_mean_int,
     tenths_to_pct,
 )
-from riskloom.functions.rules import band
 from riskloom.operators.compare import compare_sides, first_last
 from riskloom.operators.ranking import ntile, rank_within_top
 from riskloom.operators.windows import period_over_period
