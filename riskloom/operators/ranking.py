@@ -31,12 +31,6 @@ from riskloom.session import checkpoint_dir
 _PID, _MID, _CNT, _OFF, _N, _FIRST = "__rl_pid", "__rl_mid", "__rl_cnt", "__rl_off", "__rl_n", "__rl_first"
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def global_row_number(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -53,11 +47,13 @@ def global_row_number(
     run of slices; the offset table has at most ``slices + groups`` rows and is broadcast - use it
     for a handful of groups (measures of a table), not for an entity-sized key.
     """
-    n = _partitions(df, num_partitions)
     groups = list(partition_by)
     keys = [F.asc(g) for g in groups] + list(order)
+    # without an explicit count the slices follow spark.sql.shuffle.partitions and AQE may merge
+    # small neighbours - merged slices stay contiguous and in order, so the numbering holds
+    ranged = df.repartitionByRange(int(num_partitions), *keys) if num_partitions else df.repartitionByRange(*keys)
     ordered = (
-        df.repartitionByRange(n, *keys)
+        ranged
         .sortWithinPartitions(*keys)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())

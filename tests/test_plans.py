@@ -15,9 +15,10 @@ def plan_text(df) -> str:
 
 
 @pytest.mark.parametrize("name", list(REGISTRY))
-def test_no_python_udf_in_any_query(spark, name):
+def test_no_python_udf_and_no_cartesian_in_any_query(spark, name):
     text = plan_text(REGISTRY[name].build(spark, SF_SMALL))
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text and "PythonUDF" not in text
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_lineitem_scan_is_pruned(spark):

@@ -64,3 +64,13 @@ def test_grouped_row_number_equals_partitioned_window(spark):
     joined = got.join(exp.select("id", "e"), "id")
     assert joined.filter(F.col("rn") != F.col("e")).count() == 0
     assert {r.g: r.n for r in got.select("g", "n").distinct().collect()} == {"0": 1000, "1": 1000, "2": 1000}
+
+
+def test_row_number_with_adaptive_slices(spark):
+    # default slice count: AQE may merge neighbouring range slices; numbering must not change
+    base = spark.range(0, 5000, 1, 6).select((F.col("id") % 1201).alias("g"), "id")
+    agg = base.groupBy("g").agg(F.count("*").alias("c"))
+    got = global_row_number(agg, [F.asc("c"), F.asc("g")], name="rn", total_name="n")
+    exp = agg.withColumn("e", F.row_number().over(Window.orderBy("c", "g")))
+    joined = got.join(exp.select("g", "e"), "g")
+    assert joined.filter(F.col("rn") != F.col("e")).count() == 0 and joined.count() == 1201
