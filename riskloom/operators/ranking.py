@@ -9,10 +9,10 @@ The scalable form used here:
    by the tie-break columns, so one hot value does not land in one task);
 2. ``sortWithinPartitions(order)`` and ``monotonically_increasing_id()`` give the row's position
    inside its slice without another shuffle (the id is ``partition << 33 | row``);
-3. the numbered slices are checkpointed once (shared checkpoint folder): range bounds are sampled
-   from the input, and an input that comes out of a shuffle has no fixed row order, so two
-   evaluations could slice differently. After the checkpoint every use - and every retry after an
-   executor loss - sees the same slices;
+3. the numbered slices are written once as a Parquet table in the shared checkpoint folder: range
+   bounds are sampled from the input, and an input that comes out of a shuffle has no fixed row
+   order, so two evaluations could slice differently. After the write every use - and every retry
+   after an executor loss - sees the same slices, and the count pass reads two columns only;
 4. a count per slice (``n`` rows, a proven bound) is prefix-summed and broadcast back as offsets.
 
 Row number = offset + position. NTILE and quantiles are derived from it arithmetically.
@@ -20,17 +20,30 @@ Row number = offset + position. NTILE and quantiles are derived from it arithmet
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import idiv
-from riskloom.session import checkpoint_dir
+from riskloom.session import scratch_path
 
 _PID, _MID, _CNT, _OFF, _N, _FIRST = "__rl_pid", "__rl_mid", "__rl_cnt", "__rl_off", "__rl_n", "__rl_first"
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Write the numbered slices once as a Parquet table in the shared checkpoint folder.
+
+    Columnar and compressed: the per-slice count pass reads two columns only, and the lineage is
+    cut, so retries and later uses see exactly the stored slices.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"ranked-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def global_row_number(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -58,8 +71,7 @@ def global_row_number(
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())
     )
-    checkpoint_dir(df.sparkSession)
-    ordered = ordered.checkpoint(eager=True)
+    ordered = _materialise(ordered)
     counts = ordered.groupBy(*groups, _PID).agg(F.count(F.lit(1)).alias(_CNT), F.min(_MID).alias(_FIRST))
     prior = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(
