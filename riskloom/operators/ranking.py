@@ -20,30 +20,17 @@ Row number = offset + position. NTILE and quantiles are derived from it arithmet
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import idiv
-from riskloom.session import scratch_path
+from riskloom.session import materialise
 
 _PID, _MID, _CNT, _OFF, _N, _FIRST = "__rl_pid", "__rl_mid", "__rl_cnt", "__rl_off", "__rl_n", "__rl_first"
 
 
-def _materialise(df: DataFrame) -> DataFrame:
-    """Write the numbered slices once as a Parquet table in the shared checkpoint folder.
-
-    Columnar and compressed: the per-slice count pass reads two columns only, and the lineage is
-    cut, so retries and later uses see exactly the stored slices.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, f"ranked-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def global_row_number(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -71,7 +58,7 @@ def global_row_number(
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())
     )
-    ordered = _materialise(ordered)
+    ordered = materialise(ordered, "ranked")
     counts = ordered.groupBy(*groups, _PID).agg(F.count(F.lit(1)).alias(_CNT), F.min(_MID).alias(_FIRST))
     prior = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(

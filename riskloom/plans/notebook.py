@@ -19,6 +19,7 @@ from riskloom.operators.reshape import pivot_measure
 from riskloom.operators.windows import stack_offsets
 from riskloom.plans import risk as R
 from riskloom.operators.stats import box_summary
+from riskloom.session import materialise
 
 
 def period_labels(fact: DataFrame) -> list[str]:
@@ -171,7 +172,7 @@ def n11_summary(fact: DataFrame, min_total: int = K.MIN_TOTAL, risk: DataFrame |
     )
     # danger count and top risk firm: one firm base, one ranking pass (bounded rows read back)
     if risk is None:
-        base = R.prepared_base(fact, min_total).checkpoint(eager=True)
+        base = materialise(R.prepared_base(fact, min_total), "summary-base")
         extra = R.summary_from_base(base)
     else:
         quad = R.median_quadrant(fact, min_total, by=(K.FIRM,))

@@ -7,7 +7,7 @@ combined with weights 0.30/0.35/0.20/0.15; the index is rounded half-to-even at
 
 Plan: the firm base (volume, mean, periods, slope moments, first/last volume) is one two-level
 aggregation of the fact - per (firm, period), then per firm - with no join and, over the master
-bucketed by firm, no shuffle; it is then checkpointed once and
+bucketed by firm, no shuffle; it is then written once to the shared checkpoint folder and
 feeds one ranking pass for all eight clip bounds (exact quantiles of four measures) and one
 min/max aggregate - two bounded rows read back and applied as literals. The original per-firm loops
 (two full scans per firm) become two grouped passes.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from riskloom import contract as K
 from riskloom.functions.numeric import exact_mean, rint_dp
+from riskloom.session import materialise
 from riskloom.operators.stats import minmax, multi_quantiles, winsorise
 
 MEASURES = ("total_opened", "avg_upheld", "upheld_trend", "volume_growth")
@@ -27,7 +28,7 @@ SCORES = tuple(m + "_score" for m in MEASURES)
 
 
 def _materialise(df: DataFrame, checkpoint: bool) -> DataFrame:
-    return df.checkpoint(eager=True) if checkpoint else df
+    return materialise(df, "risk-base") if checkpoint else df
 
 
 def risk_base(fact: DataFrame, min_total: int = K.MIN_TOTAL, degenerate: str = "min_norm") -> DataFrame:

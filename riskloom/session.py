@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -71,3 +72,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a materialised intermediate table inside the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
+
+    This cuts the lineage (every later use and every retry after an executor loss sees the same
+    stored rows) with a columnar, compressed copy, so later passes read only the columns they use.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

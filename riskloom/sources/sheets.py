@@ -203,7 +203,7 @@ def fixture_sheets(fact: DataFrame, categories: Sequence[str], suppressed: str =
     Every sheet holds all periods (``source`` = period label) - the stacked equivalent of one file
     per period. Rates are 0-1 fractions; a suppressed rate is ``'*'``; an absent (firm, category)
     cell is null. Firm names on the upheld sheet are padded to exercise trimming.
-    ``materialise`` checkpoints the pivot once (the stand-in for writing the sheet files), so the
+    ``materialise`` stores the pivot once (the stand-in for writing the sheet files), so the
     four sheets are reads of stored data rather than four recomputations of the pivot.
     """
     wide = (
@@ -217,10 +217,9 @@ def fixture_sheets(fact: DataFrame, categories: Sequence[str], suppressed: str =
         )
     )
     if materialise:
-        from riskloom.session import checkpoint_dir
+        from riskloom.session import materialise as store
 
-        checkpoint_dir(fact.sparkSession)
-        wide = wide.checkpoint(eager=True)
+        wide = store(wide, "fixture-sheets")
     sheets = {}
     for measure, (firm_h, group_h) in FIXTURE_HEADERS.items():
         name = F.concat(F.lit("  "), F.col(K.FIRM), F.lit(" ")) if measure == "upheld" else F.col(K.FIRM)
