@@ -16,10 +16,12 @@ closed3_tenths         the same with f
 
 Plan shape (what matters at 100 TB): lineitem is joined to orders and part on their keys (the two
 unavoidable lineitem-sized shuffles, planned as sort-merge or, under AQE, broadcast when a side is
-measured small), then aggregated by (o_custkey, p_type, year, half) with map-side partial
-aggregation *before* the customer join, so customer and nation only meet the aggregate. A second,
-fact-sized aggregation on the output keys keeps the grain exact even if two customer keys shared a
-name. A hot customer (a third of all lines) is absorbed by the partial aggregation.
+measured small), then aggregated once by (o_custkey, p_type, year, half) with map-side partial
+aggregation *before* the customer join, so customer and nation only meet the aggregate and add
+attributes (the customer name labels one customer key; the master's keep-first dedup enforces the
+firm grain downstream). A hot customer (a third of all lines) is spread over its type x period
+groups and reduced by the partial aggregation; after it, no key holds more than types x periods
+rows.
 """
 
 from __future__ import annotations
@@ -71,18 +73,16 @@ def complaint_fact(
     agg = (
         per_customer.join(customer, per_customer.o_custkey == customer.c_custkey)
         .join(nation, customer.c_nationkey == nation.n_nationkey)
-        .groupBy(
+        .select(
             F.col("c_name").alias(K.FIRM),
             F.col("c_mktsegment").alias(K.TYPE),
             F.col("n_name").alias(K.GROUP),
             F.col("p_type").alias(K.CAT),
             "year",
             "half",
-        )
-        .agg(
-            F.sum("q").cast("bigint").alias("q"),
-            F.sum("f").cast("bigint").alias("f"),
-            F.sum("u").cast("bigint").alias("u"),
+            F.col("q").cast("bigint").alias("q"),
+            F.col("f").cast("bigint").alias("f"),
+            F.col("u").cast("bigint").alias("u"),
         )
     )
     order = (F.col("year") - F.lit(base_year)) * 2 + F.col("half")
