@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from riskloom import contract as K
 from riskloom.functions.numeric import exact_mean
 from riskloom.functions.rules import replace_chain, traffic_light
+from riskloom.operators.compare import compare_sides
 from riskloom.operators.reshape import pivot_measure
 from riskloom.operators.windows import stack_offsets
 from riskloom.plans import risk as R
@@ -74,17 +75,17 @@ def n3_box_by_type(fact: DataFrame) -> DataFrame:
 
 
 def n4_category_pre_post(fact: DataFrame) -> DataFrame:
+    """Category x regime volume and mean uphold rate side by side, 0 where a side is absent."""
     cat_duty = fact.groupBy(K.CAT, K.DUTY).agg(
         F.sum(K.OPENED).alias("total_opened"), exact_mean(K.UPHELD_T, 10).alias("avg_upheld")
     )
-    sides = [K.PRE_LABEL, K.POST_LABEL]
-    vol = pivot_measure(cat_duty, [K.CAT], K.DUTY, sides, "total_opened", agg="first", fill=0)
-    up = pivot_measure(cat_duty, [K.CAT], K.DUTY, sides, "avg_upheld", agg="first", fill=0.0)
-    return vol.select(
-        K.CAT, F.col(f"`{K.PRE_LABEL}`").alias("pre_volume"), F.col(f"`{K.POST_LABEL}`").alias("post_volume")
-    ).join(
-        up.select(K.CAT, F.col(f"`{K.PRE_LABEL}`").alias("pre_upheld"), F.col(f"`{K.POST_LABEL}`").alias("post_upheld")),
+    sides = compare_sides(cat_duty, [K.CAT], {"volume": "total_opened", "upheld": "avg_upheld"})
+    return sides.select(
         K.CAT,
+        F.coalesce("pre_volume", F.lit(0).cast("bigint")).alias("pre_volume"),
+        F.coalesce("post_volume", F.lit(0).cast("bigint")).alias("post_volume"),
+        F.coalesce("pre_upheld", F.lit(0.0)).alias("pre_upheld"),
+        F.coalesce("post_upheld", F.lit(0.0)).alias("post_upheld"),
     )
 
 
