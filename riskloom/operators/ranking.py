@@ -79,6 +79,23 @@ def global_row_number(
     return out.drop(_PID, _MID, _OFF, _N, _FIRST)
 
 
+def row_number_by_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    name: str = "rn",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """``global_row_number`` for a wide table whose ``keys`` are unique and carry the whole order.
+
+    Only the key columns are range-partitioned, stored and numbered; the ids are joined back on the
+    keys. The wide rows then cross the network once (the join) instead of being range-shuffled,
+    written and re-read.
+    """
+    ids = global_row_number(df.select(*keys), order, name=name, num_partitions=num_partitions)
+    return df.join(ids, list(keys))
+
+
 def ntile_of(rn: Column | str, total: Column | str, k: int) -> Column:
     """SQL ``NTILE(k)`` bucket of 1-based row ``rn`` among ``total`` rows.
 

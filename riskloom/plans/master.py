@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from riskloom import contract as K
 from riskloom.functions.numeric import idiv, round_ratio
 from riskloom.functions.rules import flag_at_least, upheld_band
-from riskloom.operators.ranking import global_row_number
+from riskloom.operators.ranking import row_number_by_keys
 from riskloom.operators.reshape import keep_first, pivot_measure
 from riskloom.operators.windows import add_changes
 
@@ -29,7 +29,8 @@ def master_changes(fact: DataFrame, dedup: bool = True) -> DataFrame:
     # (bucketed by firm: no shuffle); only the record id needs the range-partitioned numbering
     df = keep_first(fact, [K.FIRM, K.CAT, K.LABEL], [K.ORDER]) if dedup else fact
     w_prev = add_changes(df, (K.FIRM, K.CAT), K.ORDER, K.OPENED, K.UPHELD_T)
-    out = global_row_number(w_prev, [F.asc(K.FIRM), F.asc(K.CAT), F.asc(K.ORDER)], name="record_id")
+    out = row_number_by_keys(w_prev, [K.FIRM, K.CAT, K.ORDER], [F.asc(K.FIRM), F.asc(K.CAT), F.asc(K.ORDER)],
+                             name="record_id")
     return out.select(
         *[c for c in MASTER_OUT if c not in ("high_uphold_flag", "upheld_band")],
         flag_at_least(K.UPHELD, K.HIGH_UPHOLD_THRESHOLD).alias("high_uphold_flag"),
