@@ -96,3 +96,13 @@ def test_pivot_then_unpivot_roundtrip(spark, small_fact):
     )
     a = small_fact.select("firm_name", "product_category", "period_label", F.col("complaints_opened").alias("v"))
     assert back.exceptAll(a).count() == 0 and a.exceptAll(back).count() == 0
+
+
+def test_missing_optional_sheets_leave_measures_null(spark):
+    opened = sheet(spark, ["source", "Firm Name", *CATS], [("H2 2023", "Tesco Bank", "40", "2")])
+    upheld = sheet(spark, ["source", "firm_name", *CATS], [("H2 2023", "Tesco Bank", "0.25", "0.5")])
+    long = SH.melt_sheets({"opened": opened, "upheld": upheld}, categories=CATS, ids=("source", "firm_name", "group"))
+    rows = {r.product_category: r for r in SH.assemble_measures(long, _manifest(spark)).collect()}
+    assert rows[CATS[0]].upheld_pct == 25.0 and rows[CATS[1]].upheld_pct == 50.0
+    assert rows[CATS[0]].firm_group == "" and rows[CATS[0]].complaints_closed is None
+    assert rows[CATS[0]].pct_closed_3days is None and rows[CATS[0]].pre_post_duty == "Post-Duty"

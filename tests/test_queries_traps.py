@@ -109,3 +109,11 @@ def test_results_invariant_under_partitioning_and_input_order(spark, small_fact)
     master_b = M.master_changes(small_fact).select("record_id", "firm_name", "product_category", "period_order")
     assert ref == again
     assert master_a.exceptAll(master_b).count() == 0
+
+
+def test_danger_quadrant_methods(spark):
+    rows = [(f"f{i}", "T", "c", 1, 2000 + 500 * i, 300 + 20 * i) for i in range(8)]
+    fact = fact_rows(spark, rows)
+    quart = {r.firm_name for r in R.danger_quadrant(fact, method="quartile").collect()}
+    med = {r.firm_name for r in R.danger_quadrant(fact, method="median").collect()}
+    assert quart == {"f6", "f7"} and med == {"f4", "f5", "f6", "f7"}
