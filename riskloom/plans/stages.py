@@ -29,18 +29,18 @@ from riskloom.sources import sheets as SH
 from riskloom.sources import sinks as SK
 
 SQL_OUTPUTS = {
-    "A1_volume_by_firm": Q.a1_volume_by_firm,
-    "A2_period_on_period": Q.a2_period_on_period,
-    "A3_fastest_growing": Q.a3_fastest_growing,
-    "A4_pre_vs_post_industry": Q.a4_industry,
-    "B1_volume_by_category": Q.b1_category_volume,
-    "B2_category_post_duty": Q.b2_category_shift,
-    "C1_uphold_rate_ranked": Q.c1_upheld_ranked,
-    "C2_rising_uphold_firms": Q.c2_rising_upheld,
-    "C3_danger_quadrant": Q.c3_danger_quadrant,
-    "C4_uphold_pre_post_duty": Q.c4_pre_post,
-    "D1_resolution_speed": Q.d1_resolution,
-    "D2_resolution_pre_post": Q.d2_resolution_duty,
+    "a1_volume_by_firm": Q.a1_volume_by_firm,
+    "a2_period_on_period": Q.a2_period_on_period,
+    "a3_fastest_growing": Q.a3_fastest_growing,
+    "a4_industry": Q.a4_industry,
+    "b1_category_volume": Q.b1_category_volume,
+    "b2_category_shift": Q.b2_category_shift,
+    "c1_upheld_ranked": Q.c1_upheld_ranked,
+    "c2_rising_upheld": Q.c2_rising_upheld,
+    "c3_danger_quadrant": Q.c3_danger_quadrant,
+    "c4_pre_post": Q.c4_pre_post,
+    "d1_resolution": Q.d1_resolution,
+    "d2_resolution_duty": Q.d2_resolution_duty,
 }
 
 
@@ -56,11 +56,20 @@ def summary_tables(master: DataFrame, labels: list[str] | None = None) -> dict[s
 
 
 def clean_stage(spark: SparkSession, sheets_dir: str, out_dir: str, manifest=K.PERIOD_MANIFEST,
-                pre_periods=K.PRE_DUTY_PERIODS, categories=K.PRODUCT_CATS, alias_map=None) -> str:
+                pre_periods=K.PRE_DUTY_PERIODS, categories=K.PRODUCT_CATS, alias_map=None,
+                table: str | None = None, buckets: int = 0) -> str:
+    """Build and store the master, then the summary tables.
+
+    With ``table`` and ``buckets`` the master is also saved as a catalog table bucketed by firm -
+    the layout the analyses should read at scale (per-firm aggregations and windows then need no
+    shuffle); the Parquet folder partitioned by period stays the portable export.
+    """
     assembled = SH.load_workbooks(spark, sheets_dir, manifest, pre_periods, categories, alias_map=alias_map)
     master_path = os.path.join(out_dir, "master")
     SK.write_master(M.master_changes(assembled), master_path)
     master = SK.read_master(spark, master_path)
+    if table and buckets:
+        master = SK.save_bucketed(master, table, buckets)
     SK.write_tables({k: v for k, v in summary_tables(master).items() if k != "all_data"}, out_dir)
     return master_path
 
@@ -71,7 +80,7 @@ def sql_stage(spark: SparkSession, master_path: str, out_dir: str, min_first: in
     for name, fn in SQL_OUTPUTS.items():
         df = fn(master, min_first=min_first) if fn is Q.a3_fastest_growing else fn(master)
         written.append(SK.run_query(name, df, out_dir))
-    written.append(SK.run_query("KEY_FINDINGS", D.findings_table(master), out_dir))
+    written.append(SK.run_query("findings_table", D.findings_table(master), out_dir))
     return written
 
 
@@ -81,18 +90,18 @@ def notebook_stage(spark: SparkSession, master_path: str, out_dir: str, alias_ma
     df = unify_names(SK.read_master(spark, master_path), alias_map)
     risk = R.risk_index(df)
     outputs = {
-        "chart_01_period_totals": N.n1_period_totals(df),
-        "chart_02_top15_firms": N.n2_top_firms(df),
-        "chart_03_box_by_type": N.n3_box_by_type(df),
-        "chart_04_category_pre_post": N.n4_category_pre_post(df),
-        "chart_05_heat_matrix": N.n5_heat_matrix(df),
-        "chart_06_median_quadrant": N.n6_median_quadrant(df),
-        "chart_07_group_trajectory": N.n7_group_trajectory(df, K.GROUP_SUBSIDIARIES),
-        "chart_08_risk_top20": R.risk_table(risk, 20),
-        "chart_09_type_pre_post": N.n9_type_pre_post(df),
-        "chart_10_category_stack": N.n10_category_stack(df),
-        "consumer_duty_risk_index": R.risk_table(risk, 15),
-        "summary": N.n11_summary(df, risk=risk),
+        "period_totals": N.n1_period_totals(df),
+        "top15_firms": N.n2_top_firms(df),
+        "box_summary_by_type": N.n3_box_by_type(df),
+        "category_pre_post_matrix": N.n4_category_pre_post(df),
+        "upheld_heat_matrix": N.n5_heat_matrix(df),
+        "median_quadrant": N.n6_median_quadrant(df),
+        "group_trajectory": N.n7_group_trajectory(df, K.GROUP_SUBSIDIARIES),
+        "risk_top20": R.risk_table(risk, 20),
+        "type_pre_post": N.n9_type_pre_post(df),
+        "category_stack": N.n10_category_stack(df),
+        "risk_top15": R.risk_table(risk, 15),
+        "summary_totals": N.n11_summary(df, risk=risk),
     }
     return [SK.run_query(name, out, out_dir) for name, out in outputs.items()]
 

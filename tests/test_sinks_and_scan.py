@@ -89,3 +89,26 @@ def test_three_stages_end_to_end(spark, small_fact, scratch_dir):
     nb_out = stages.notebook_stage(spark, master_path, os.path.join(out, "notebook"))
     assert len(nb_out) == 12
     assert spark.read.option("header", True).csv(nb_out[10]).count() == 15
+
+
+def test_clean_stage_can_save_a_bucketed_master(spark, small_fact, scratch_dir):
+    from riskloom.plans import stages
+
+    periods = small_fact.select(K.LABEL, K.ORDER, "period_start", "period_end").distinct().orderBy(K.ORDER).collect()
+    manifest = [(f"b{p[K.ORDER]:02d}.xlsx", p[K.LABEL], p[K.ORDER], str(p["period_start"]), str(p["period_end"]))
+                for p in periods[:3]]
+    cats = sorted(r[0] for r in small_fact.select(K.CAT).distinct().collect())
+    base = os.path.join(scratch_dir, "bucket_sheets")
+    sheets = {m: df.toPandas() for m, df in SH.fixture_sheets(small_fact, cats).items()}
+    for file, label, *_ in manifest:
+        folder = os.path.join(base, file.rsplit(".", 1)[0])
+        os.makedirs(folder, exist_ok=True)
+        for measure, pdf in sheets.items():
+            pdf[pdf["source"] == label].drop(columns=["source"]).to_csv(
+                os.path.join(folder, SHEET_NAMES[measure] + ".csv"), index=False)
+    stages.clean_stage(spark, base, os.path.join(scratch_dir, "bucket_out"), manifest=manifest,
+                       pre_periods=[manifest[0][1]], categories=cats, table="master_bucketed", buckets=4)
+    t = spark.table("master_bucketed")
+    assert t.count() == small_fact.filter(F.col(K.ORDER) <= 3).count()
+    plan = t.groupBy("firm_name").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
