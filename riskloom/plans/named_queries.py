@@ -30,6 +30,7 @@ from riskloom.functions.numeric import (
 from riskloom.operators.compare import compare_sides, first_last
 from riskloom.operators.ranking import ntile, rank_within_top
 from riskloom.operators.windows import period_over_period
+from riskloom.session import materialise
 
 FT = [K.FIRM, K.TYPE]
 
@@ -265,6 +266,10 @@ def firm_upheld_summary(fact: DataFrame, min_total: int = K.MIN_TOTAL) -> DataFr
 
 
 def with_quartiles(summary: DataFrame, scalable: bool = True) -> DataFrame:
+    if scalable:
+        # the range partitioning samples its input before shuffling it: store the (firm-sized)
+        # summary once instead of aggregating the fact twice
+        summary = materialise(summary, "firm-summary")
     q = ntile(summary, 4, [F.asc("total_opened"), *FT], name="volume_quartile", scalable=scalable)
     return ntile(q, 4, [F.asc("avg_upheld_pct"), *FT], name="uphold_quartile", scalable=scalable)
 

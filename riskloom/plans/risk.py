@@ -165,7 +165,8 @@ def firm_scatter(fact: DataFrame, min_total: int = K.MIN_TOTAL, by=(K.FIRM, K.TY
 
 def median_quadrant(fact: DataFrame, min_total: int = K.MIN_TOTAL, by=(K.FIRM, K.TYPE)) -> DataFrame:
     """Danger quadrant by medians: strictly above the median volume and the median uphold rate."""
-    scatter = firm_scatter(fact, min_total, by)
+    # stored once: the ranking samples and shuffles it, and the flags read it again
+    scatter = materialise(firm_scatter(fact, min_total, by), "scatter")
     med = multi_quantiles(scatter, ["total_opened", "avg_upheld"], [0.5], names=["m"]).first()
     mv, mu = F.lit(med["total_opened__m"]), F.lit(med["avg_upheld__m"])
     return scatter.select(
