@@ -23,10 +23,12 @@ def test_matches_oracle(spark, con, name):
     assert r["status"] == "MATCH", r
 
 
-@pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows_only_queries_run(spark, name):
-    df = REGISTRY[name].build(spark, SF_SMALL)
-    assert df.count() >= 0
+if ROWS_ONLY:  # every query has an oracle today; keep the weaker check ready for ones that cannot
+
+    @pytest.mark.parametrize("name", ROWS_ONLY)
+    def test_rows_only_queries_run(spark, name):
+        df = REGISTRY[name].build(spark, SF_SMALL)
+        assert df.count() >= 0
 
 
 def test_entry_smoke(spark):
