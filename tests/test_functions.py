@@ -109,3 +109,28 @@ def test_replace_chain_shortens_names(spark):
     got = one_col(spark, ["Acme Insurance Services Limited"]).select(replace_chain("x")).first()[0]
     assert got == "Acme Ins. Svcs"
     assert K.SHORT_NAME_REPLACEMENTS[0] == (" Limited", "")
+
+
+def test_round_ratio_equals_rational_rounding(spark):
+    """Property: round_ratio == round-half-away of the exact fraction, for many integer pairs."""
+    from fractions import Fraction
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    def expected(n, d, dp, scale):
+        q = Fraction(n * scale * 10**dp, d)
+        mag = (abs(q.numerator) * 2 + abs(q.denominator)) // (2 * abs(q.denominator))
+        return (mag if q >= 0 else -mag) / 10**dp
+
+    pairs = st.lists(st.tuples(st.integers(-10**12, 10**12), st.integers(-10**6, 10**6).filter(lambda d: d != 0)),
+                     min_size=1, max_size=200)
+
+    @settings(max_examples=5, deadline=None)
+    @given(pairs, st.sampled_from([0, 1, 2]), st.sampled_from([1, 100]))
+    def check(rows, dp, scale):
+        df = spark.createDataFrame(rows, "n bigint, d bigint")
+        got = [r[0] for r in df.select(round_ratio("n", "d", dp=dp, scale=scale)).collect()]
+        assert got == [expected(n, d, dp, scale) for n, d in rows]
+
+    check()
