@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts of one call of a per-text function: rows of an Arrow batch are handed on in slices of at most this size.
-SLICE_ROWS = 512
+#: A per-text function gets at most so many texts at once, and no more bytes unless a single text is longer.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -56,8 +56,7 @@ def map_text(
         inner = target.field(out).type
         apply = None
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 texts = [x or b"" for x in part.column(part.num_columns - 1).to_pylist()]
                 apply = apply or make()
                 got = apply(texts)
@@ -69,6 +68,40 @@ def map_text(
     return source.mapInArrow(run, schema), out
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch whose last column is binary, bounded by SLICE_ROWS and SLICE_BYTES."""
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0))
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(total, total[at] + SLICE_BYTES, side="right")) - 1
+        end = min(max(end, at + 1), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def hash_share(column, share: float):
+    """Condition that holds for about ``share`` of the values of a column, by their hash (the same rows every time)."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, text, label) of about ``bound`` labelled documents, chosen by a hash of their ids.
+
+    Rows without id or label are left out; of an id with several labels the largest counts. The chosen labels are
+    at most a little over ``bound`` narrow rows, so they are broadcast; the documents are scanned once, not shuffled.
+    """
+    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(doc_id, label)
+    n = known.count()
+    if n > bound:
+        known = known.where(hash_share(doc_id, bound / n))
+    known = known.groupBy(doc_id).agg(F.max(label).cast("int").alias("known_label"))
+    rows = docs.select(F.col(doc_id), F.col("text")).join(F.broadcast(known), doc_id)
+    return rows.select(doc_id, "text", F.col("known_label").alias("label"))
+
+
 # -- words and hashes on bytes ---------------------------------------------------------------------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -6,20 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontamination, warc
+from riskloom.llm import decontamination, langid, quality_model, warc
 from riskloom.sources.tables import read_table
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return decontamination.contamination_report(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return quality_model.quality_report(docs, read_table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
 }
