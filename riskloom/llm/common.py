@@ -142,18 +142,26 @@ def word_bounds(data: np.ndarray, separator: np.ndarray = _ASCII_SPACE) -> tuple
     return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, without a loop over words.
+class RangeHash:
+    """64-bit hashes of byte ranges of one text, without a loop over ranges.
 
-    Prefix sums of byte values times powers of an odd base; a word is the difference of two prefix sums, shifted back
+    Prefix sums of byte values times powers of an odd base; a range is the difference of two prefix sums, shifted back
     by the inverse power, and mixed with its length.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + mix64((ends - starts).astype(np.uint64)))
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[:-1], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = mix64((ends - starts).astype(np.uint64))
+        return mix64((self.total[ends] - self.total[starts]) * self.down[starts] + size)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    return RangeHash(data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontamination, langid, quality_model, warc
+from riskloom.llm import decontamination, langid, packing, quality_model, toxicity, warc
 from riskloom.sources.tables import read_table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return toxicity.toxicity_report(docs, read_table(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
@@ -28,9 +33,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
