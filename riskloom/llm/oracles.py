@@ -32,6 +32,34 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+wins AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS win FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
+twice AS (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM twice, unnest(range(i, i + 8)) AS u(p) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper_letters, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters,
+         length(regexp_replace(t, '[^!?]', '', 'g')) AS marks, length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits,
+         len(string_split(t, chr(10))) AS all_lines
+  FROM d LEFT JOIN repeats USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND 2 * n_symbols <= n_words
+         AND 2 * n_dup_lines <= all_lines AND 10 * upper_letters <= 7 * letters AND 2 * marks <= n_words
+         AND 2 * digits <= word_chars AS kept
+FROM judged
+"""
+
 OP9 = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -43,4 +71,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM q
 """
 
-ORACLES: dict[str, str] = {"op7_benchmark_decontamination": OP7, "op9_warc": OP9}
+ORACLES: dict[str, str] = {"op5_quality_rules": OP5, "op7_benchmark_decontamination": OP7, "op9_warc": OP9}

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontamination, langid, packing, quality_model, toxicity, warc
+from riskloom.llm import decontamination, langid, packing, quality_model, quality_rules, secrets, toxicity, warc
 from riskloom.sources.tables import read_table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return toxicity.toxicity_report(docs, read_table(spark, sf_dir, "labels"))
@@ -19,6 +23,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules_report(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return decontamination.contamination_report(docs, read_table(spark, sf_dir, "benchmark"))
@@ -38,8 +46,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_quality_rules": op5_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
