@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontamination, langid, packing, quality_model, quality_rules, secrets, toxicity, warc
+from riskloom.llm import decontamination, jaccard_join, langid, packing, quality_model, quality_rules, secrets, toxicity, warc
 from riskloom.sources.tables import read_table
 
 
@@ -14,6 +14,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return jaccard_join.similar_components(docs, width=4, percent=85)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return toxicity.toxicity_report(docs, read_table(spark, sf_dir, "labels"))
@@ -47,6 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
