@@ -29,12 +29,12 @@ from riskloom.llm.langid import held_out
 from riskloom.session import materialise
 
 #: Bound of the sample of labelled rows that mining and training use.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 THRESHOLD = 0.7
 MINED, FEATURES, PRIOR = 38, 2_000, 0.05
 #: The label model is fitted in EM_STEPS steps for each grouping of the voters; voters correlated over LINKED are grouped.
 EM_STEPS, REGROUPINGS, LINKED = 3, 2, 0.25
-#: A mined term occurs in toxic rows at least so many times as often as in others, and in so many toxic rows.
+#: A mined term is at least LIFT times as frequent in toxic rows as in others, and in SUPPORT toxic rows (and 0.5 % of them).
 LIFT, SUPPORT = 40, 4
 #: General English insults that vote from the start.
 INSULTS = (
@@ -88,12 +88,13 @@ def mine_voters(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Feature hashes that vote: the fixed insults, then terms far more frequent in toxic rows (chi-squared order);
     a term that occurs in nearly the same toxic rows as a chosen one is skipped."""
     chosen = [word_feature(w) for w in INSULTS]
+    support = max(SUPPORT, -(-int(y.sum()) // 200))
     toxic = [r for r, label in zip(rows, y, strict=True) if label]
     clean = [r for r, label in zip(rows, y, strict=True) if not label]
     if not toxic or not clean:
         return np.array(chosen, np.uint64)
     terms, n1 = np.unique(np.concatenate(toxic), return_counts=True)
-    terms, n1 = terms[n1 >= SUPPORT], n1[n1 >= SUPPORT]
+    terms, n1 = terms[n1 >= support], n1[n1 >= support]
     everything, counts = np.unique(np.concatenate(clean), return_counts=True)
     n0 = np.zeros(len(terms), np.int64)
     at = np.minimum(np.searchsorted(everything, terms), max(0, len(everything) - 1))
@@ -255,12 +256,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", row
 
     sample = labelled_sample(docs, labels, label, rows)
     found, f = map_text(sample, make, "features binary, patterns array<boolean>", keep=["doc_id", "label"], out="seen")
-    got = sorted((r.doc_id, r.label, bytes(r.features), r.patterns) for r in found.select("doc_id", "label", f"{f}.*").collect())
-    known = [np.frombuffer(x, np.uint64) for _, _, x, _ in got]
-    y = np.array([label for _, label, _, _ in got], int)
+    got = found.select("doc_id", "label", f"{f}.*").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    known = [np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("features")]
+    y = np.array(got.column("label").to_pylist(), int)
     voters = mine_voters(known, y)
     n = len(voters) + len(PATTERNS)
-    known_masks = np.array([vote_mask(x, p, voters) for x, (_, _, _, p) in zip(known, got, strict=True)], np.int64)
+    known_masks = np.array([vote_mask(x, p, voters) for x, p in zip(known, got.column("patterns").to_pylist(), strict=True)], np.int64)
     masks = count_masks(docs, voters)
     model = fit_label_model(masks, bits_of(known_masks, n), y, n)
     return train_linear(known, model.posterior(bits_of(known_masks, n)))
