@@ -103,7 +103,7 @@ class ArchiveWriter:
         fs.create_dir(folder, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.zst"
         self.path, self.records, self.raw, self.size = f"{self.folder.rstrip('/')}/{name}", 0, 0, 0
-        self.stream = fs.open_output_stream(f"{folder.rstrip('/')}/{name}")
+        self.stream = fs.open_output_stream(folder.rstrip("/") + "/" + name, compression=None)  # not by the file's name
         words = train_dictionary(self.waiting)
         data = words.as_bytes()
         self.size += self.stream.write(struct.pack("<II", SKIPPABLE, len(data)) + data) or 0
@@ -133,7 +133,7 @@ def open_archive(uri: str):
     import zstandard
 
     fs, path = file_system(uri)
-    stream = fs.open_input_stream(path, buffer_size=1 << 20)
+    stream = fs.open_input_stream(path, compression=None, buffer_size=1 << 20)
     magic, size = struct.unpack("<II", stream.read(8))
     if magic != SKIPPABLE:
         raise ValueError(f"{uri}: no dictionary frame")
