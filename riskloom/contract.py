@@ -152,6 +152,15 @@ GROUP_SUBSIDIARIES = [
     "Coutts & Company",
 ]
 
+# Order in which the category chart stacks its bars, from the bottom up.
+CATEGORY_STACK = [
+    "Banking & Credit Cards",
+    "Insurance & Pure Protection",
+    "Investments",
+    "Home Finance",
+    "Decumulation & Pensions",
+]
+
 # Composite risk index: weights for volume, upheld, trend, growth; clip quantiles; chart threshold.
 RISK_WEIGHTS = (0.30, 0.35, 0.20, 0.15)
 RISK_CLIP = (0.05, 0.95)
@@ -169,6 +178,7 @@ FIXTURE_BASE_YEAR = 1995
 FIXTURE_CUTOVER_ORDER = 7
 FIXTURE_MIN_VOLUME = 15
 FIXTURE_MIN_FIRST = 75
+FIXTURE_FIRM = "Customer#000000001"
 
 # ---------------------------------------------------------------------------------------------
 # Column names
@@ -186,6 +196,8 @@ UPHELD = "upheld_pct"
 CLOSED3 = "pct_closed_3days"
 UPHELD_T = "upheld_tenths"
 CLOSED3_T = "closed3_tenths"
+#: Position of a row in the sheet it was read from (bigint, ascending); orders duplicates, and is no master column.
+ROW_POS = "sheet_row"
 
 FACT_SCHEMA = T.StructType([
     T.StructField(FIRM, T.StringType(), False),

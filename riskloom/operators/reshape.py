@@ -69,9 +69,12 @@ def pivot_measure(
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per ``keys``: the first by ``order`` (ascending, nulls first).
 
-    Implemented as ``min(struct(order..., rest...))`` per key - a hash aggregate with map-side
-    partial aggregation, so a key holding a third of all rows is reduced on every mapper before
-    the shuffle (a ``row_number`` window would sort that key's rows in one task).
+    ``order`` should name a row within its key, e.g. end with the position that the row had in its input (``ROW_POS``); rows
+    that tie in it are ordered by their other columns, so that the result is the same every time.
+
+    Implemented as ``min(struct(order..., rest...))`` per key. The struct makes it a sort-based aggregate (its buffer
+    cannot be updated in place), but a partial one: a key that holds a third of all rows is reduced on every mapper
+    before the shuffle, where a ``row_number`` window would bring all of its rows to one task.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])

@@ -38,9 +38,22 @@ def exec_sector_share(fact: DataFrame) -> DataFrame:
     )
 
 
-def firm_drilldown(fact: DataFrame) -> DataFrame:
-    """Firm page: per firm and period, volume, mean uphold rate and change against the previous
-    reported period, with a direction arrow. Filter on ``firm_name`` for one firm."""
+def firm_category(fact: DataFrame, firm: str | None = None) -> DataFrame:
+    """Firm page: volume, share of the firm's volume and mean uphold rate by category, for one firm or for all of them."""
+    rows = fact if firm is None else fact.filter(F.col(K.FIRM) == firm)
+    per = rows.groupBy(K.FIRM, K.TYPE, K.CAT).agg(
+        F.sum(K.OPENED).alias("total_opened"),
+        rounded_mean(K.UPHELD_T, 10, 1).alias("avg_upheld_pct"),
+        F.countDistinct(K.LABEL).alias("periods"),
+    )
+    whole = F.sum("total_opened").over(Window.partitionBy(K.FIRM))  # at most one row for each category and type
+    return per.select("*", round_ratio(F.col("total_opened"), whole, dp=1, scale=100).alias("share_pct"))
+
+
+def firm_drilldown(fact: DataFrame, firm: str | None = None) -> DataFrame:
+    """Firm page: per firm and period, volume, mean uphold rate and change against the previous reported period, with a
+    direction arrow; ``firm`` selects one firm (the filter reaches the scan of a stored master)."""
+    fact = fact if firm is None else fact.filter(F.col(K.FIRM) == firm)
     per = fact.groupBy(K.FIRM, K.TYPE, K.LABEL, K.ORDER, K.DUTY).agg(
         F.sum(K.OPENED).alias("total_opened"),
         rounded_mean_int(K.UPHELD_T, 10, 1).alias("__t"),

@@ -27,7 +27,9 @@ MASTER_OUT = [*K.MASTER_COLUMNS, K.UPHELD_T, K.CLOSED3_T]
 def master_changes(fact: DataFrame, dedup: bool = True) -> DataFrame:
     # dedup and the change window both run on the firm distribution the master already has
     # (bucketed by firm: no shuffle); only the record id needs the range-partitioned numbering
-    df = keep_first(fact, [K.FIRM, K.CAT, K.LABEL], [K.ORDER]) if dedup else fact
+    # of rows with the same key the first one counts, by file (a period is a file) and row of its sheet
+    order = [K.ORDER, *([K.ROW_POS] if K.ROW_POS in fact.columns else [])]
+    df = keep_first(fact, [K.FIRM, K.CAT, K.LABEL], order) if dedup else fact
     w_prev = add_changes(df, (K.FIRM, K.CAT), K.ORDER, K.OPENED, K.UPHELD_T)
     out = row_number_by_keys(w_prev, [K.FIRM, K.CAT, K.ORDER], [F.asc(K.FIRM), F.asc(K.CAT), F.asc(K.ORDER)],
                              name="record_id")

@@ -149,8 +149,13 @@ def n9_type_pre_post(fact: DataFrame) -> DataFrame:
 
 
 def n10_category_stack(fact: DataFrame, cats: Sequence[str] | None = None) -> DataFrame:
-    """Period x category volumes, zero-filled, with stacked-bar offsets in ``cats`` order."""
-    cats = list(cats) if cats is not None else categories(fact)
+    """Period x category volumes, zero-filled, with stacked-bar offsets.
+
+    Bars are stacked in ``cats`` order as far as the data has those categories, then the others by name.
+    """
+    present = categories(fact)
+    cats = [c for c in cats or () if c in present]
+    cats += [c for c in present if c not in cats]
     per = fact.groupBy(K.LABEL, K.ORDER, K.CAT).agg(F.sum(K.OPENED).alias(K.OPENED))
     wide = pivot_measure(per, [K.LABEL, K.ORDER], K.CAT, cats, K.OPENED, agg="first", fill=0)
     long = wide.unpivot([K.LABEL, K.ORDER], [F.col(f"`{c}`") for c in cats], K.CAT, K.OPENED)

@@ -71,6 +71,7 @@ from riskloom.plans import dashboard as D  # noqa: E402
 from riskloom.plans import master as M  # noqa: E402
 from riskloom.plans import notebook as N  # noqa: E402
 from riskloom.plans import oracles_marts as OM  # noqa: E402
+from riskloom.plans import planted as PL  # noqa: E402
 from riskloom.plans import risk as R  # noqa: E402
 from riskloom.operators import stats as ST  # noqa: E402
 from riskloom.sources import sheets as SH  # noqa: E402
@@ -111,7 +112,7 @@ def _unpivot_fact(fact):
 
 
 def _assemble_fact(fact):
-    return SH.assemble_measures(_sheets_long(fact), SH.fact_manifest(fact))
+    return SH.assemble_measures(_sheets_long(fact), SH.fact_manifest(fact)).drop(K.ROW_POS)
 
 
 _unpivot_sheets = _on_fact(_unpivot_fact)
@@ -140,16 +141,20 @@ register("category_pre_post_matrix", _on_fact(N.n4_category_pre_post), OM.SQL["c
 register("upheld_heat_matrix", _on_fact(N.n5_heat_matrix), OM.SQL["upheld_heat_matrix"])
 register("median_quadrant", _on_fact(N.n6_median_quadrant), OM.SQL["median_quadrant"])
 register("group_trajectory", _on_fact(N.n7_group_trajectory), OM.SQL["group_trajectory"])
+register("group_trajectory_list", _on_fact(N.n7_group_trajectory, firms=OM.FIXTURE_FIRMS), OM.SQL["group_trajectory_list"])
 register("firm_slope", _on_fact(_firm_slope), OM.SQL["firm_slope"])
 register("firm_growth", _on_fact(_firm_growth), OM.SQL["firm_growth"])
 register("risk_index", _on_fact(R.risk_index), OM.SQL["risk_index"])
 register("risk_top15", _on_fact(lambda f: R.risk_table(R.risk_index(f), 15)), OM.SQL["risk_top15"])
 register("type_pre_post", _on_fact(N.n9_type_pre_post), OM.SQL["type_pre_post"])
-register("category_stack", _on_fact(N.n10_category_stack), OM.SQL["category_stack"])
+register("category_stack", _on_fact(N.n10_category_stack, cats=OM.FIXTURE_STACK), OM.SQL["category_stack"])
 register("summary_totals", _on_fact(N.n11_summary), OM.SQL["summary_totals"])
 register("exec_top12", _on_fact(D.exec_top_firms), OM.SQL["exec_top12"])
 register("exec_sector_share", _on_fact(D.exec_sector_share), OM.SQL["exec_sector_share"])
 register("firm_drilldown", _on_fact(D.firm_drilldown), OM.SQL["firm_drilldown"])
+register("firm_page_one", _on_fact(D.firm_drilldown, firm=K.FIXTURE_FIRM), OM.SQL["firm_page_one"])
+register("firm_category", _on_fact(D.firm_category), OM.SQL["firm_category"])
+register("firm_category_one", _on_fact(D.firm_category, firm=K.FIXTURE_FIRM), OM.SQL["firm_category_one"])
 register("diagonal_pairs", _on_fact(D.diagonal_pairs), OM.SQL["diagonal_pairs"])
 register("findings_table", _on_fact(D.findings_table), OM.SQL["findings_table"])
 register("unpivot_sheets", _unpivot_sheets, OM.SQL["unpivot_sheets"])
@@ -159,3 +164,5 @@ register("classify_keywords", _classify_parts, OM.SQL["classify_keywords"])
 register("regime_records", _on_fact(N.regime_records), OM.SQL["regime_records"])
 register("c2_rising_upheld_chronological", _on_fact(Q.c2_rising_upheld, mode="chronological"),
          OM.SQL["c2_rising_upheld_chronological"])
+for _name in ("ingest_duplicates", "ingest_missing_group", "ingest_sheet_order", "name_rules"):
+    register(_name, getattr(PL, _name), PL.SQL[_name])

@@ -57,25 +57,38 @@ def summary_tables(master: DataFrame, labels: list[str] | None = None) -> dict[s
 
 def clean_stage(spark: SparkSession, sheets_dir: str, out_dir: str, manifest=K.PERIOD_MANIFEST,
                 pre_periods=K.PRE_DUTY_PERIODS, categories=K.PRODUCT_CATS, alias_map=None,
-                table: str | None = None, buckets: int = 0) -> str:
+                table: str | None = None, buckets: int = 0, csv_export: bool = False) -> str:
     """Build and store the master, then the summary tables.
 
     With ``table`` and ``buckets`` the master is also saved as a catalog table bucketed by firm -
     the layout the analyses should read at scale (per-firm aggregations and windows then need no
-    shuffle); the Parquet folder partitioned by period stays the portable export.
+    shuffle); the Parquet folder partitioned by period stays the portable export, and ``csv_export`` adds the master
+    as CSV. The other stages read any of the three (:func:`read_stage_master`).
     """
     assembled = SH.load_workbooks(spark, sheets_dir, manifest, pre_periods, categories, alias_map=alias_map)
     master_path = os.path.join(out_dir, "master")
     SK.write_master(M.master_changes(assembled), master_path)
     master = SK.read_master(spark, master_path)
+    if csv_export:
+        SK.write_tables({"master_csv": master}, out_dir, fmt="csv")
     if table and buckets:
         master = SK.save_bucketed(master, table, buckets)
     SK.write_tables({k: v for k, v in summary_tables(master).items() if k != "all_data"}, out_dir)
     return master_path
 
 
-def sql_stage(spark: SparkSession, master_path: str, out_dir: str, min_first: int = K.MIN_FIRST_VOLUME) -> list[str]:
-    master = SK.register_view(SK.read_master(spark, master_path))
+def read_stage_master(spark: SparkSession, master_path: str | None = None, table: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """The master that a stage reads: the (bucketed) catalog table if one is named, else the Parquet or CSV folder."""
+    if table:
+        return spark.table(table)
+    if not master_path:
+        raise ValueError("name the master's folder or table")
+    return SK.read_master(spark, master_path, fmt)
+
+
+def sql_stage(spark: SparkSession, master_path: str | None, out_dir: str, min_first: int = K.MIN_FIRST_VOLUME,
+              table: str | None = None, fmt: str = "parquet") -> list[str]:
+    master = SK.register_view(read_stage_master(spark, master_path, table, fmt))
     written = []
     for name, fn in SQL_OUTPUTS.items():
         df = fn(master, min_first=min_first) if fn is Q.a3_fastest_growing else fn(master)
@@ -84,10 +97,11 @@ def sql_stage(spark: SparkSession, master_path: str, out_dir: str, min_first: in
     return written
 
 
-def notebook_stage(spark: SparkSession, master_path: str, out_dir: str, alias_map=K.NAME_ALIASES) -> list[str]:
+def notebook_stage(spark: SparkSession, master_path: str | None, out_dir: str, alias_map=K.NAME_ALIASES,
+                   table: str | None = None, fmt: str = "parquet", stack_order=K.CATEGORY_STACK) -> list[str]:
     from riskloom.functions.rules import unify_names
 
-    df = unify_names(SK.read_master(spark, master_path), alias_map)
+    df = unify_names(read_stage_master(spark, master_path, table, fmt), alias_map)
     risk = R.risk_index(df)
     outputs = {
         "period_totals": N.n1_period_totals(df),
@@ -99,7 +113,7 @@ def notebook_stage(spark: SparkSession, master_path: str, out_dir: str, alias_ma
         "group_trajectory": N.n7_group_trajectory(df, K.GROUP_SUBSIDIARIES),
         "risk_top20": R.risk_table(risk, 20),
         "type_pre_post": N.n9_type_pre_post(df),
-        "category_stack": N.n10_category_stack(df),
+        "category_stack": N.n10_category_stack(df, stack_order),
         "risk_top15": R.risk_table(risk, 15),
         "summary_totals": N.n11_summary(df, risk=risk),
     }
@@ -114,14 +128,16 @@ def main(argv=None) -> None:
     ap.add_argument("--input")
     ap.add_argument("--master")
     ap.add_argument("--out", required=True)
+    ap.add_argument("--table", help="catalog table of the master, bucketed by firm (clean: written, else: read)")
+    ap.add_argument("--buckets", type=int, default=0, help="clean: number of buckets of --table")
+    ap.add_argument("--csv", action="store_true", help="clean: also export the master as CSV; else: --master is a CSV folder")
     a = ap.parse_args(argv)
     spark = get_spark()
     if a.stage == "clean":
-        print(clean_stage(spark, a.input, a.out))
-    elif a.stage == "sql":
-        print("\n".join(sql_stage(spark, a.master, a.out)))
+        print(clean_stage(spark, a.input, a.out, table=a.table, buckets=a.buckets, csv_export=a.csv))
     else:
-        print("\n".join(notebook_stage(spark, a.master, a.out)))
+        stage = sql_stage if a.stage == "sql" else notebook_stage
+        print("\n".join(stage(spark, a.master, a.out, table=a.table, fmt="csv" if a.csv else "parquet")))
 
 
 if __name__ == "__main__":

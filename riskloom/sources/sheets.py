@@ -9,6 +9,8 @@ Deliberate deviations from the original cleaning stage (documented):
 * firm names are trimmed on *every* measure before joining (the original trimmed only the base,
   so padded names silently lost their measures);
 * the group key is compared null-safely;
+* of rows that share source, firm, group and category, assembly emits the first one of each sheet (the original's
+  duplicates only lived until its next step, which kept the first one of each firm, category and period);
 * two headers that harmonise to the same target raise an error instead of producing duplicate
   columns.
 """
@@ -16,6 +18,8 @@ Deliberate deviations from the original cleaning stage (documented):
 from __future__ import annotations
 
 import os
+import re
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +85,11 @@ def harmonise_columns(df: DataFrame, rules=K.HEADER_RULES) -> DataFrame:
 # --------------------------------------------------------------------------------- unpivot/load
 
 
+def with_position(sheet: DataFrame) -> DataFrame:
+    """The sheet with the position of each row in it (``ROW_POS``), unless it has that column already."""
+    return sheet if K.ROW_POS in sheet.columns else sheet.withColumn(K.ROW_POS, F.monotonically_increasing_id())
+
+
 def melt_sheets(
     sheets: Mapping[str, DataFrame],
     categories: Sequence[str] = K.PRODUCT_CATS,
@@ -88,13 +97,14 @@ def melt_sheets(
 ) -> dict[str, DataFrame]:
     """Harmonise and unpivot each measure sheet; measures that cannot be read are left out.
 
-    Returns measure -> long DataFrame ``(ids present..., product_category, <measure value>)``.
+    Returns measure -> long DataFrame ``(ids present..., ROW_POS, product_category, <measure value>)``.
     """
     out: dict[str, DataFrame] = {}
     for measure, sheet in sheets.items():
         if sheet is None:
             continue
-        long = melt_measure(harmonise_columns(sheet), MEASURE_VALUE[measure], ids=ids, categories=categories)
+        long = melt_measure(with_position(harmonise_columns(sheet)), MEASURE_VALUE[measure], ids=(*ids, K.ROW_POS),
+                            categories=categories)
         if long is not None:
             out[measure] = long
     if "opened" not in out:
@@ -106,7 +116,14 @@ def unpivot_long(long: Mapping[str, DataFrame]) -> DataFrame:
     """All measures stacked: (source, firm_name, group, firm_type, product_category, measure, value)."""
     frames = []
     for measure, df in long.items():
-        frames.append(df.withColumnRenamed(MEASURE_VALUE[measure], "value").withColumn("measure", F.lit(measure)))
+        frames.append(df.drop(K.ROW_POS).withColumnRenamed(MEASURE_VALUE[measure], "value").withColumn("measure", F.lit(measure)))
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
@@ -121,35 +138,61 @@ def assemble_measures(
     default_type: str = K.FIRM_TYPE_DEFAULT,
     alias_map: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Base = opened rows with a usable firm name; closed / upheld / 3-day rates left-joined on the
-    shared keys; period columns from the manifest; rates to 1-dp percentages; firm type by the
-    keyword rules unless the sheet carries it. Emits the master columns (before change metrics)
-    plus the integer-tenth helpers. ``alias_map`` unifies firm spellings after assembly, so every
-    later analysis sees the same firms (the original only unified them in the notebook).
+    """One row per source, firm, group and category of the opened sheets (rows with a usable firm name), with the
+    closed / upheld / 3-day values of the same key; period columns from the manifest; rates to 1-dp percentages; firm type
+    by the keyword rules unless the sheet carries it. Emits the master columns (before change metrics), the integer-tenth
+    helpers and ``ROW_POS``, the row's position in its opened sheet. ``alias_map`` unifies firm spellings after
+    assembly, so every later analysis sees the same firms (the original only unified them in the notebook).
+
+    All measures are stacked and grouped once: the first value of each measure by ``ROW_POS`` (fixed-width buffers, so a
+    hash aggregate with one shuffle) instead of three joins. Whether the group is part of a measure's key is decided for each
+    source: rows of a sheet without group (no ``group`` column, or ``has_group`` false) match every group of the firm.
     """
-    base = long["opened"]
-    if "group" not in base.columns:
-        base = base.withColumn("group", F.lit(""))
+    stacked, ungrouped = [], []
+    for measure, df in long.items():
+        flagged = "has_group" in df.columns
+        grouped = df if flagged or "group" in df.columns else None
+        row = [
+            F.col(source_col), F.trim(F.col("firm_name")).alias("firm_name"),
+            (F.col("group") if grouped is not None else F.lit(None).cast("string")).alias("group"), F.col(K.CAT),
+            F.lit(measure).alias("measure"), F.col(MEASURE_VALUE[measure]).alias("value"),
+            (F.col(K.ROW_POS) if K.ROW_POS in df.columns else F.lit(0).cast("bigint")).alias("pos"),
+            (F.col(K.TYPE) if K.TYPE in df.columns and measure == "opened" else F.lit(None).cast("string")).alias("given_type"),
+        ]
+        if measure == "opened":  # an opened sheet without group has the group ''
+            if grouped is None:
+                row[2] = F.lit("").alias("group")
+            elif flagged:
+                row[2] = F.when(F.col("has_group"), F.col("group")).otherwise(F.lit("")).alias("group")
+            stacked.append(df.select(*row))
+        elif grouped is None:
+            ungrouped.append(df.select(*row))
+        elif flagged:
+            stacked.append(df.filter(F.col("has_group")).select(*row))
+            ungrouped.append(df.filter(~F.col("has_group")).select(*row))
+        else:
+            stacked.append(df.select(*row))
+    usable = F.col("firm_name").isNotNull() & (F.col("firm_name") != "") & (F.col("firm_name") != "nan")
+    of = lambda measure, x: F.when(F.col("measure") == measure, F.col(x))
+    firsts = lambda names: [F.min_by(of(m, "value"), of(m, "pos")).alias(MEASURE_VALUE[m]) for m in names]
+    rights = [m for m in MEASURE_VALUE if m != "opened"]
     base = (
-        base.withColumn("firm_name", F.trim(F.col("firm_name")))
-        .filter(F.col("firm_name").isNotNull() & (F.col("firm_name") != "") & (F.col("firm_name") != "nan"))
+        _union(stacked).filter(usable)
+        .groupBy(source_col, "firm_name", "group", K.CAT)
+        .agg(*firsts(MEASURE_VALUE), F.min(of("opened", "pos")).alias(K.ROW_POS), F.min("given_type").alias("given_type"))
+        .filter(F.col(K.ROW_POS).isNotNull())
         .withColumn("complaints_opened", F.coalesce(F.col("complaints_opened"), F.lit(0.0)).cast("bigint"))
     )
-    keys = [c for c in (source_col, "firm_name", "group", K.CAT) if c in base.columns]
-    for measure in ("closed", "upheld", "threeday"):
-        right = long.get(measure)
-        col = MEASURE_VALUE[measure]
-        if right is None:
-            base = base.withColumn(col, F.lit(None).cast("double"))
-            continue
-        right = right.withColumn("firm_name", F.trim(F.col("firm_name")))
-        avail = [k for k in keys if k in right.columns]
-        r = right.select(*[F.col(k).alias(f"__r_{k}") for k in avail], col)
-        # only the group may be null on both sides (firm names and categories are filtered/non-null)
-        cond = [base[k].eqNullSafe(r[f"__r_{k}"]) if k == "group" else (base[k] == r[f"__r_{k}"]) for k in avail]
-        base = base.join(r, cond, "left").drop(*[f"__r_{k}" for k in avail])
+    if ungrouped:
+        loose = _union(ungrouped).groupBy(source_col, "firm_name", K.CAT).agg(*firsts(rights))
+        loose = loose.withColumnsRenamed({MEASURE_VALUE[m]: f"{m}_loose" for m in rights})
+        base = base.join(loose, [source_col, "firm_name", K.CAT], "left").withColumns(
+            {MEASURE_VALUE[m]: F.coalesce(MEASURE_VALUE[m], f"{m}_loose") for m in rights}
+        )
+    base = base.withColumn(K.TYPE, F.col("given_type")) if K.TYPE in long["opened"].columns else base
     typed = base if K.TYPE in base.columns else base.withColumn(K.TYPE, classify("firm_name", rules, default_type))
-    with_period = typed.join(manifest, typed[source_col] == manifest[K.LABEL]) if source_col != K.LABEL else typed.join(manifest, K.LABEL)
+    periods = F.broadcast(manifest)  # one row for each report file
+    with_period = typed.join(periods, typed[source_col] == manifest[K.LABEL]) if source_col != K.LABEL else typed.join(periods, K.LABEL)
     upheld = rint_dp(F.col("upheld_rate") * F.lit(100.0), 1)
     three = rint_dp(F.col("pct_closed_3days_raw") * F.lit(100.0), 1)
     out = with_period.select(
@@ -170,6 +213,7 @@ def assemble_measures(
         K.TYPE,
         F.rint(upheld * F.lit(10.0)).cast("bigint").alias(K.UPHELD_T),
         F.rint(three * F.lit(10.0)).cast("bigint").alias(K.CLOSED3_T),
+        K.ROW_POS,
     )
     return unify_names(out, alias_map) if alias_map else out
 
@@ -246,15 +290,34 @@ def _list_dir(spark: SparkSession, path: str) -> list[str] | None:
     return sorted(st.getPath().getName() for st in fs.listStatus(hpath))
 
 
+SHEET_ORDER_FILE = "sheet_order.txt"
+
+
+def sheet_positions(names: Sequence[str], order: Sequence[str] | None) -> list[tuple[str, int]]:
+    """(sheet name, place in the workbook) of CSV exports, by an order list or by numeric prefixes ("02 Closed").
+
+    The place decides which sheet a keyword finds, so a folder that tells neither is an error (a single sheet needs none).
+    """
+    if order is not None:
+        missing = [n for n in names if n not in order]
+        if missing:
+            raise ValueError(f"sheets that {SHEET_ORDER_FILE} does not list: {missing}")
+        return [(n, order.index(n)) for n in names]
+    numbered = [re.fullmatch(r"(\d+)[ ._-]+(.+)", n) for n in names]
+    if all(numbered):
+        return [(m[2], int(m[1])) for m in numbered]
+    if len(names) == 1:
+        return [(names[0], 0)]
+    raise ValueError(f"workbook order of the sheets {list(names)} is unknown: number them, or list them in {SHEET_ORDER_FILE}")
+
+
 def workbook_catalog(spark: SparkSession, base_dir: str, manifest=K.PERIOD_MANIFEST) -> DataFrame:
     """Sheet catalog ``(source, sheet_name, sheet_pos, path)`` of the period files present.
 
-    Layout: ``<base_dir>/<file stem>/<sheet name>.csv`` - one folder per period workbook, one CSV
-    export per sheet, sheet order = name order. A missing period folder is skipped with a warning;
-    no folder at all is an error.
+    Layout: ``<base_dir>/<file stem>/<sheet name>.csv`` - one folder per period workbook, one CSV export per sheet; the
+    workbook's sheet order is given by a file ``sheet_order.txt`` (a name per line) or by numbers before the names.
+    A missing period folder is skipped with a warning; no folder at all is an error.
     """
-    import warnings
-
     rows = []
     for file, label, *_ in manifest:
         folder = os.path.join(base_dir, file.rsplit(".", 1)[0])
@@ -262,13 +325,57 @@ def workbook_catalog(spark: SparkSession, base_dir: str, manifest=K.PERIOD_MANIF
         if names is None:
             warnings.warn(f"period file not found, skipped: {folder}")
             continue
-        sheets = [n for n in names if n.lower().endswith(".csv")]
-        rows += [(label, n[: -len(".csv")], i, os.path.join(folder, n)) for i, n in enumerate(sheets)]
+        order = None
+        if SHEET_ORDER_FILE in names:
+            text = spark.read.option("wholetext", True).text(os.path.join(folder, SHEET_ORDER_FILE)).first()
+            order = [x.strip() for x in (text[0] if text else "").splitlines() if x.strip()]
+        sheets = [n[: -len(".csv")] for n in names if n.lower().endswith(".csv")]
+        placed = sheet_positions(sheets, order) if sheets else []
+        rows += [(label, name, i, os.path.join(folder, f"{n}.csv")) for n, (name, i) in zip(sheets, placed, strict=True)]
     if not rows:
         raise ValueError(f"no period files found under {base_dir}")
     return spark.createDataFrame(rows, "source string, sheet_name string, sheet_pos int, path string")
 
 
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """One CSV sheet as strings, with ``ROW_POS``: where the scan's split begins plus the row's number in the task. A split
+    has no more rows than bytes, so the sum ascends over the whole file however it is split."""
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return raw.select("*", (F.col("_metadata.file_block_start") + row).alias(K.ROW_POS))
+
+
+def stack_sheets(
+    sheets: Mapping[str, Mapping[str, DataFrame]], categories: Sequence[str] = K.PRODUCT_CATS
+) -> dict[str, DataFrame]:
+    """Long frame per measure of wide sheets given as source -> measure -> sheet, for :func:`assemble_measures`.
+
+    Each sheet is harmonised and unpivoted for itself and says whether it has a group (``has_group``). A sheet that cannot be
+    used, and all sheets of a source without a usable opened sheet, are left out with a warning.
+    """
+    per_measure: dict[str, list[DataFrame]] = {}
+    for source, given in sheets.items():
+        usable = {}
+        for measure, sheet in given.items():
+            clean = with_position(harmonise_columns(sheet)).withColumn("source", F.lit(source))
+            long = melt_measure(clean, MEASURE_VALUE[measure], ids=("source", "firm_name", "group", K.TYPE, K.ROW_POS),
+                                categories=categories)
+            if long is None:
+                warnings.warn(f"sheet without firm or category columns, left out: {source}, {measure}")
+                continue
+            has_group = "group" in long.columns
+            filled = long if has_group else long.withColumn("group", F.lit(None).cast("string"))
+            usable[measure] = filled.withColumn("has_group", F.lit(has_group))
+        if "opened" not in usable:
+            warnings.warn(f"source without a usable opened sheet, left out: {source}")
+            continue
+        for measure, df in usable.items():
+            per_measure.setdefault(measure, []).append(df)
+    if not per_measure:
+        raise ValueError("no readable 'opened' sheet in any source: nothing to assemble")
+    return {measure: _union(frames) for measure, frames in per_measure.items()}
+
+
 def load_workbooks(
     spark: SparkSession,
     base_dir: str,
@@ -280,28 +387,14 @@ def load_workbooks(
 ) -> DataFrame:
     """Manifest-driven scan of every period's sheets into assembled master rows.
 
-    The resolved sheet list is metadata (at most four sheets per period file) and is the only thing
-    brought to the driver; every sheet is then a lazy all-string CSV scan, harmonised and unpivoted,
-    and all periods are unioned into one plan.
+    The resolved sheet list is metadata (at most four sheets per period file) and is the only thing brought to the driver;
+    every sheet is then a lazy all-string CSV scan, harmonised and unpivoted, and all periods are unioned into one plan.
     """
     catalog = workbook_catalog(spark, base_dir, manifest)
     resolved = resolve_sheets(catalog.drop("path"), sheet_rules).join(
         catalog.select("source", "sheet_name", "path"), ["source", "sheet_name"]
     ).collect()
-    per_measure: dict[str, list[DataFrame]] = {}
+    sheets: dict[str, dict[str, DataFrame]] = {r["source"]: {} for r in catalog.select("source").distinct().collect()}
     for row in sorted(resolved, key=lambda r: (r["source"], r["measure"])):
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(row["path"])
-        sheet = harmonise_columns(raw).withColumn("source", F.lit(row["source"]))
-        long = melt_measure(sheet, MEASURE_VALUE[row["measure"]], ids=("source", "firm_name", "group", K.TYPE),
-                            categories=categories)
-        if long is not None:
-            per_measure.setdefault(row["measure"], []).append(long)
-    long_by_measure = {}
-    for measure, frames in per_measure.items():
-        out = frames[0]
-        for df in frames[1:]:
-            out = out.unionByName(df, allowMissingColumns=True)
-        long_by_measure[measure] = out
-    if "opened" not in long_by_measure:
-        raise ValueError("no readable 'opened' sheet in any period: nothing to assemble")
-    return assemble_measures(long_by_measure, manifest_df(spark, manifest, pre_periods), alias_map=alias_map)
+        sheets[row["source"]][row["measure"]] = read_sheet(spark, row["path"])
+    return assemble_measures(stack_sheets(sheets, categories), manifest_df(spark, manifest, pre_periods), alias_map=alias_map)

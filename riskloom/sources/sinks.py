@@ -11,37 +11,62 @@ import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom import contract as K
 
 
-def write_master(df: DataFrame, path: str, partition_by: str | None = K.LABEL, mode: str = "overwrite") -> None:
-    """Master fact as Parquet, partitioned by period (period filters prune whole folders)."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+def write_master(df: DataFrame, path: str, partition_by: str | None = K.LABEL, mode: str = "overwrite",
+                 files_per_partition: int = 8, spread_by: str = K.FIRM) -> None:
+    """Master fact as Parquet, partitioned by period (period filters prune whole folders).
+
+    Rows are dealt out by (period, hash of the firm) first, so a period has at most ``files_per_partition`` files instead
+    of one for each task. Raise the number until a file has a few hundred MB.
+    """
+    if not partition_by:
+        df.write.mode(mode).parquet(path)
+        return
+    slot = F.pmod(F.xxhash64(spread_by), F.lit(files_per_partition))
+    df.repartition(F.col(partition_by), slot).write.mode(mode).partitionBy(partition_by).parquet(path)
 
 
 def save_bucketed(df: DataFrame, table: str, buckets: int, by: str = K.FIRM, sort_by: tuple[str, ...] = (K.FIRM, K.ORDER),
                   path: str | None = None) -> DataFrame:
     """Save as a bucketed, sorted catalog table and return it read back.
 
-    Reads of the table report ``HashPartitioning(by, buckets)``, which satisfies any group-by or
-    window whose keys include ``by``.
+    Rows are dealt out by the bucket hash first, so each bucket is one file. Reads of the table report
+    ``HashPartitioning(by, buckets)``, which satisfies any group-by or window whose keys include ``by``.
     """
-    w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(*sort_by)
+    w = df.repartition(buckets, by).write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(*sort_by)
     if path:
         w = w.option("path", path)
     w.saveAsTable(table)
     return df.sparkSession.table(table)
 
 
+#: Types of the master's columns in a CSV export.
+MASTER_TYPES = {f.name: f.dataType.simpleString() for f in K.FACT_SCHEMA} | {
+    "record_id": "bigint", "complaints_change_abs": "double", "complaints_change_pct": "double",
+    "upheld_change_ppts": "double", "high_uphold_flag": "int", "upheld_band": "string",
+}
+
+
 def read_master(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Master fact reader. CSV is read with the declared schema (no inference)."""
-    if fmt == "csv":
-        return spark.read.schema(K.FACT_SCHEMA).option("header", True).csv(path)
-    return spark.read.parquet(path)
+    """Master fact reader.
+
+    A CSV is matched by header name, in any column order: known columns get their types, ``group`` is accepted for
+    ``firm_group``, an empty group is '', and integer tenths that the file lacks are derived from the percentages.
+    """
+    if fmt != "csv":
+        return spark.read.parquet(path)
+    raw = spark.read.option("header", True).csv(path)
+    if K.GROUP not in raw.columns and "group" in raw.columns:
+        raw = raw.withColumnRenamed("group", K.GROUP)
+    out = raw.select(*[F.col(f"`{c}`").cast(MASTER_TYPES.get(c, "string")).alias(c) for c in raw.columns])
+    for rate, tenths in ((K.UPHELD, K.UPHELD_T), (K.CLOSED3, K.CLOSED3_T)):
+        if tenths not in out.columns and rate in out.columns:
+            out = out.withColumn(tenths, F.rint(F.col(rate) * 10).cast("bigint"))
+    return out.na.fill({K.GROUP: ""}) if K.GROUP in out.columns else out
 
 
 def register_view(df: DataFrame, name: str = "complaints") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom import contract as K
 from riskloom.operators.reshape import keep_first, melt_measure, pivot_measure
+from riskloom.plans import master as M
 from riskloom.sources import sheets as SH
 
 CATS = ["Banking & Credit Cards", "Home Finance"]
@@ -81,11 +82,62 @@ def test_resolve_sheets_first_match_in_file_order(spark):
     assert got[("f2", "opened")] == "open complaints" and ("f2", "upheld") not in got
 
 
-def test_keep_first_by_order_and_skew(spark):
+def test_keep_first_by_input_position_and_skew(spark):
     rows = [("k", 3, "c"), ("k", 1, "b"), ("k", 1, "a"), ("j", 2, "z")] + [("hot", i, str(i)) for i in range(500, 0, -1)]
-    df = spark.createDataFrame(rows, "key string, o int, v string")
-    got = {r.key: (r.o, r.v) for r in keep_first(df, ["key"], ["o"]).collect()}
-    assert got == {"k": (1, "a"), "j": (2, "z"), "hot": (1, "1")}
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "key string, o int, v string, pos bigint")
+    got = {r.key: (r.o, r.v) for r in keep_first(df, ["key"], ["o", "pos"]).collect()}
+    assert got == {"k": (1, "b"), "j": (2, "z"), "hot": (1, "1")}
+
+
+def test_master_keeps_the_first_of_duplicate_rows(spark):
+    opened = sheet(spark, ["Firm Name", "Group", *CATS], [("Beta", "Z", "500", "1"), ("Beta", "A", "7", "2"), ("Beta", "Z", "9", "3")])
+    closed = sheet(spark, ["Firm Name", "Group", *CATS], [("Beta", "A", "6", "2"), ("Beta", "Z", "499", "1"), ("Beta", "Z", "8", "3")])
+    long = SH.stack_sheets({"H1 2022": {"opened": opened, "closed": closed}}, CATS)
+    rows = {r.product_category: r for r in M.master_changes(SH.assemble_measures(long, _manifest(spark))).collect()}
+    assert (rows[CATS[0]].complaints_opened, rows[CATS[0]].firm_group, rows[CATS[0]].complaints_closed) == (500, "Z", 499.0)
+    assert rows[CATS[1]].complaints_opened == 1
+
+
+def test_shared_keys_are_chosen_for_each_period(spark):
+    with_group, without = ["Firm Name", "Group", *CATS], ["Firm Name", *CATS]
+    opened = sheet(spark, with_group, [("A", "G", "10", "1"), ("A", "H", "20", "2")])
+    long = SH.stack_sheets({
+        "H1 2022": {"opened": opened, "closed": sheet(spark, without, [("A", "5", "4")])},
+        "H2 2022": {"opened": opened, "closed": sheet(spark, with_group, [("A", "H", "6", "*")])},
+        "H1 2023": {"opened": sheet(spark, without, [("A", "3", "3")]), "closed": sheet(spark, with_group, [("A", "G", "1", "1")])},
+    }, CATS)
+    got = {(r.period_label, r.firm_group, r.product_category): r.complaints_closed
+           for r in SH.assemble_measures(long, _manifest(spark)).collect()}
+    assert got == {
+        ("H1 2022", "G", CATS[0]): 5.0, ("H1 2022", "G", CATS[1]): 4.0, ("H1 2022", "H", CATS[0]): 5.0, ("H1 2022", "H", CATS[1]): 4.0,
+        ("H2 2022", "G", CATS[0]): None, ("H2 2022", "G", CATS[1]): None, ("H2 2022", "H", CATS[0]): 6.0, ("H2 2022", "H", CATS[1]): None,
+        ("H1 2023", "", CATS[0]): None, ("H1 2023", "", CATS[1]): None,
+    }
+
+
+def test_assembly_is_one_hash_aggregate_shuffle(spark):
+    opened = sheet(spark, ["Firm Name", "Group", *CATS], [("A", "G", "10", "1")])
+    long = SH.melt_sheets({"opened": opened.withColumn("source", F.lit("H1 2022")), "closed": opened.withColumn("source", F.lit("H1 2022"))},
+                          categories=CATS, ids=("source", "firm_name", "group"))
+    plan = SH.assemble_measures(long, _manifest(spark))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+
+
+def test_unusable_sheets_are_reported(spark):
+    opened = sheet(spark, ["Firm Name", *CATS], [("A", "1", "2")])
+    with pytest.warns(UserWarning, match="without firm or category"):
+        SH.stack_sheets({"H1 2022": {"opened": opened, "closed": sheet(spark, ["Nobody", *CATS], [])}}, CATS)
+    with pytest.warns(UserWarning, match="without a usable opened sheet"):
+        SH.stack_sheets({"H1 2022": {"opened": opened}, "H2 2022": {"closed": opened}}, CATS)
+
+
+def test_sheet_positions_need_an_order():
+    assert SH.sheet_positions(["10 Closed", "2_Opened"], None) == [("Closed", 10), ("Opened", 2)]
+    assert SH.sheet_positions(["b", "a"], ["a", "x", "b"]) == [("b", 2), ("a", 0)]
+    assert SH.sheet_positions(["Opened"], None) == [("Opened", 0)]
+    for names, order in ((["Opened", "Closed"], None), (["a", "b"], ["a"])):
+        with pytest.raises(ValueError):
+            SH.sheet_positions(names, order)
 
 
 def test_pivot_then_unpivot_roundtrip(spark, small_fact):
