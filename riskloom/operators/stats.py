@@ -3,12 +3,10 @@ winsorising and min-max scaling.
 
 Scale notes
 -----------
-* ``quantiles`` is exact and distributed: it ranks the column with the range-partitioned row
-  number (``operators.ranking``) and reads the two order statistics around each position - no
-  single buffer of all values, no driver collect. Result: a one-row DataFrame.
-* ``box_summary`` uses Spark's exact ``percentile`` aggregate per group. That aggregate keeps one
-  counter per *distinct* value, so it is bounded when the value domain is (integer tenths of a
-  percentage: at most 1,001 values); for an unbounded domain pass ``approx=True``.
+* ``quantiles`` is exact and distributed: counts per distinct value are range-partitioned and summed up, and the two order
+  statistics around each position are read - no single buffer of all values, no driver collect, and a value that most
+  rows share is a single row. Result: a one-row DataFrame.
+* ``box_summary`` derives everything from the counts per (group, value): one pass over the table.
 * The slope is computed from exact integer moments, so it does not depend on summation order.
 """
 
@@ -16,11 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import clip, minmax_scale
-from riskloom.operators.ranking import global_row_number
+from riskloom.session import materialise
 
 
 def _pname(p: float) -> str:
@@ -43,8 +41,8 @@ def multi_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                     names: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
     """Exact quantiles of several columns in one ranking pass: one row, ``<column>__<name>``.
 
-    The columns are unpivoted into (measure, value) and numbered within each measure by the
-    range-partitioned row number, so one sort serves all of them.
+    The columns are unpivoted into (measure, value) and reduced to a count per distinct value; these rows are range-partitioned,
+    and cumulative counts (slice totals plus a running sum inside the slice) place every value in the order.
     """
     names = list(names) if names else [_pname(p) for p in probs]
     long = (
@@ -52,15 +50,23 @@ def multi_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         .unpivot([], list(columns), "__m", "__v")
         .filter(F.col("__v").isNotNull())
     )
-    ranked = global_row_number(long, [F.asc("__v")], name="__rn", total_name="__n", num_partitions=num_partitions,
-                               partition_by=["__m"])
-    i = F.col("__rn") - 1
+    # a value that many rows share is one row with a count from here on, so no slice can hold more than distinct values
+    counted = long.groupBy("__m", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    sliced = materialise(counted.repartitionByRange(*([num_partitions] if num_partitions else []), "__m", "__v")
+                         .withColumn("__slice", F.spark_partition_id()), "value-counts")
+    slices = sliced.groupBy("__m", "__slice").agg(F.sum("__c").alias("__s"))
+    before = Window.partitionBy("__m").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select("__m", "__slice", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"),
+                            F.sum("__s").over(Window.partitionBy("__m")).alias("__n"))
+    inside = Window.partitionBy("__m", "__slice").orderBy("__v")
+    upto = F.col("__off") + F.sum("__c").over(inside)
+    ranked = sliced.join(F.broadcast(offsets), ["__m", "__slice"]).withColumn("__upto", upto)  # slices x measures rows
     aggs: list[Column] = []
     for p, nm in zip(probs, names):
         pos = (F.col("__n") - 1).cast("double") * F.lit(float(p))
         lo, hi = F.floor(pos), F.ceil(pos)
-        aggs.append(F.max(F.when(i == lo, F.col("__v"))).alias(f"__lo_{nm}"))
-        aggs.append(F.max(F.when(i == hi, F.col("__v"))).alias(f"__hi_{nm}"))
+        aggs.append(F.min(F.when(F.col("__upto") > lo, F.col("__v"))).alias(f"__lo_{nm}"))
+        aggs.append(F.min(F.when(F.col("__upto") > hi, F.col("__v"))).alias(f"__hi_{nm}"))
         aggs.append(F.max(pos - lo).alias(f"__fr_{nm}"))
     per_measure = ranked.groupBy("__m").agg(*aggs).select(
         "__m",
@@ -75,53 +81,37 @@ def multi_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     )
 
 
-def box_summary(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    whis: float = 1.5,
-    scale: float = 1.0,
-    approx: bool = False,
-    accuracy: int = 10000,
-) -> DataFrame:
+def box_summary(df: DataFrame, by: Sequence[str], value: str, whis: float = 1.5, scale: float = 1.0) -> DataFrame:
     """Per-group five-number box summary (matplotlib ``boxplot`` defaults).
 
-    q1/median/q3 by linear interpolation; whiskers at the most extreme values within
-    ``whis * IQR`` of the box; ``n_outliers`` beyond them. ``value`` is divided by ``scale`` on
-    output (pass integer tenths with ``scale=10`` for exact quartiles).
+    q1/median/q3 by linear interpolation; whiskers at the most extreme values within ``whis * IQR`` of the box;
+    ``n_outliers`` beyond them. ``value`` is divided by ``scale`` on output (pass integer tenths with ``scale=10`` for exact
+    quartiles).
+
+    The table is read once: everything follows from the counts per (group, value), which are pre-aggregated and, for integer
+    tenths of a percentage, at most 1,001 rows a group. For a value without such a bound, round it first.
     """
-    v = F.col(value)
-    probs = [0.25, 0.5, 0.75]
-    pct = F.percentile_approx(v, probs, accuracy) if approx else F.percentile(v, probs)
-    stats = (
-        df.filter(v.isNotNull())
-        .groupBy(*by)
-        .agg(F.count(v).alias("n"), pct.alias("__q"))
-        .select(*by, "n", *[F.col("__q")[i].cast("double").alias(nm) for i, nm in enumerate(("__q1", "__q2", "__q3"))])
-    )
-    iqr = F.col("__q3") - F.col("__q1")
-    stats = stats.withColumn("__lof", F.col("__q1") - F.lit(whis) * iqr).withColumn("__hif", F.col("__q3") + F.lit(whis) * iqr)
-    joined = df.filter(v.isNotNull()).select(*by, v.cast("double").alias("__v")).join(stats, list(by))
-    inside = (F.col("__v") >= F.col("__lof")) & (F.col("__v") <= F.col("__hif"))
-    agg = joined.groupBy(*by).agg(
-        F.first("n").alias("n"),
-        F.first("__q1").alias("__q1"),
-        F.first("__q2").alias("__q2"),
-        F.first("__q3").alias("__q3"),
-        F.min(F.when(inside, F.col("__v"))).alias("__wlo"),
-        F.max(F.when(inside, F.col("__v"))).alias("__whi"),
-        F.count(F.when(~inside, F.lit(1))).alias("n_outliers"),
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(
+        F.count(F.lit(1)).alias("__c")
     )
+    group = Window.partitionBy(*by)
+    placed = counted.withColumns({"__upto": F.sum("__c").over(group.orderBy("__v")), "__n": F.sum("__c").over(group)})
+    quartiles = {}
+    for name, p in (("__q1", 0.25), ("__q2", 0.5), ("__q3", 0.75)):
+        pos = (F.col("__n") - 1).cast("double") * F.lit(p)
+        at = lambda i: F.min(F.when(F.col("__upto") > i, F.col("__v"))).over(group)
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        quartiles[name] = low + (high - low) * (pos - F.floor(pos))
+    boxed = placed.withColumns(quartiles)
+    reach = F.lit(whis) * (F.col("__q3") - F.col("__q1"))
+    inside = (F.col("__v") >= F.col("__q1") - reach) & (F.col("__v") <= F.col("__q3") + reach)
     s = F.lit(float(scale))
-    return agg.select(
-        *by,
-        "n",
-        (F.col("__q1") / s).alias("q1"),
-        (F.col("__q2") / s).alias("median"),
-        (F.col("__q3") / s).alias("q3"),
-        (F.col("__wlo") / s).alias("whisker_low"),
-        (F.col("__whi") / s).alias("whisker_high"),
-        "n_outliers",
+    return boxed.groupBy(*by).agg(
+        F.sum("__c").alias("n"),
+        *[(F.first(q) / s).alias(name) for q, name in (("__q1", "q1"), ("__q2", "median"), ("__q3", "q3"))],
+        (F.min(F.when(inside, F.col("__v"))) / s).alias("whisker_low"),
+        (F.max(F.when(inside, F.col("__v"))) / s).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("__c"))), F.lit(0)).alias("n_outliers"),
     )
 
 

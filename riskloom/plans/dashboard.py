@@ -27,13 +27,14 @@ def exec_top_firms(fact: DataFrame, top: int = 12) -> DataFrame:
 
 
 def exec_sector_share(fact: DataFrame) -> DataFrame:
-    """Executive page: each sector's share of all complaints (1 dp); the grand total is one
-    aggregate row read back once and applied as a literal."""
-    grand = F.lit(fact.agg(F.sum(K.OPENED).alias("g")).first()["g"]).cast("bigint")
+    """Executive page: each sector's share of all complaints (1 dp), in one pass over the table: the grand total is a
+    window over the sectors' rows."""
     return (
         fact.groupBy(K.TYPE)
         .agg(F.sum(K.OPENED).alias("total_opened"), F.countDistinct(K.FIRM).alias("firms"))
-        .select("*", round_ratio(F.col("total_opened"), grand, dp=1, scale=100).alias("share_pct"))
+        .withColumn("grand", F.sum("total_opened").over(Window.partitionBy()))
+        .select(K.TYPE, "total_opened", "firms",
+                round_ratio(F.col("total_opened"), F.col("grand"), dp=1, scale=100).alias("share_pct"))
         .orderBy(F.desc("total_opened"), K.TYPE)
     )
 

@@ -28,7 +28,7 @@ from riskloom.functions.numeric import (
     tenths_to_pct,
 )
 from riskloom.operators.compare import compare_sides, first_last
-from riskloom.operators.ranking import ntile, rank_within_top
+from riskloom.operators.ranking import global_row_number, ntile, ntile_of, rank_within_top
 from riskloom.operators.windows import period_over_period
 from riskloom.session import materialise
 
@@ -266,12 +266,32 @@ def firm_upheld_summary(fact: DataFrame, min_total: int = K.MIN_TOTAL) -> DataFr
 
 
 def with_quartiles(summary: DataFrame, scalable: bool = True) -> DataFrame:
-    if scalable:
-        # the range partitioning samples its input before shuffling it: store the (firm-sized)
-        # summary once instead of aggregating the fact twice
-        summary = materialise(summary, "firm-summary")
-    q = ntile(summary, 4, [F.asc("total_opened"), *FT], name="volume_quartile", scalable=scalable)
-    return ntile(q, 4, [F.asc("avg_upheld_pct"), *FT], name="uphold_quartile", scalable=scalable)
+    """Quartiles (NTILE 4) of the firms by volume and by uphold rate, ties broken by firm.
+
+    The narrow (measure, value, firm) keys are numbered once for both measures; only the first key of each of the upper quartiles
+    comes to the driver (six rows), and a firm's quartile is the number of those keys that it reaches.
+    """
+    if not scalable:
+        q = ntile(summary, 4, [F.asc("total_opened"), *FT], name="volume_quartile", scalable=False)
+        return ntile(q, 4, [F.asc("avg_upheld_pct"), *FT], name="uphold_quartile", scalable=False)
+    # the range partitioning samples its input before shuffling it: store the (firm-sized)
+    # summary once instead of aggregating the fact twice
+    summary = materialise(summary, "firm-summary")
+    of = {"total_opened": "volume_quartile", "avg_upheld_pct": "uphold_quartile"}
+    keys = summary.select(*FT, *[F.col(c).cast("double").alias(c) for c in of]).unpivot(FT, list(of), "measure", "v")
+    ranked = global_row_number(keys, [F.asc("v"), *FT], name="rn", total_name="n", partition_by=["measure"])
+    quartile = ntile_of("rn", "n", 4)
+    before = ntile_of(F.col("rn") - 1, "n", 4)
+    first = (F.col("rn") > 1) & (quartile != before)
+    cuts = ranked.filter(first).select("measure", "v", *FT).collect()
+    for column, name in of.items():
+        me = F.struct(F.col(column).cast("double").alias("v"), *FT)
+        reached = [
+            (me >= F.struct(F.lit(c["v"]).alias("v"), *[F.lit(c[k]).alias(k) for k in FT])).cast("bigint")
+            for c in cuts if c["measure"] == column
+        ]
+        summary = summary.withColumn(name, sum(reached, F.lit(1).cast("bigint")))
+    return summary
 
 
 def c3_danger_quadrant(fact: DataFrame, min_total: int = K.MIN_TOTAL, scalable: bool = True) -> DataFrame:
@@ -397,8 +417,3 @@ def k4_worsened(fact: DataFrame, min_change: float = 5.0, top: int = 10) -> Data
         .orderBy(F.desc("change_ppts"), K.FIRM)
         .limit(top)
     )
-
-
-def industry_mean_upheld(fact: DataFrame) -> DataFrame:
-    """One-row industry mean uphold rate (unrounded)."""
-    return fact.filter(F.col(K.UPHELD_T).isNotNull()).agg(exact_mean(K.UPHELD_T, 10).alias("industry_mean"))

@@ -167,14 +167,17 @@ def n11_summary(fact: DataFrame, min_total: int = K.MIN_TOTAL, risk: DataFrame |
     pre = F.col(K.DUTY) == K.PRE_LABEL
     post = F.col(K.DUTY) == K.POST_LABEL
     t = F.col(K.UPHELD_T)
-    totals = fact.agg(
-        F.sum(K.OPENED).alias("total_complaints"),
+    # the fact is reduced to firm x period first: the distinct counts multiply these rows, not the fact's
+    per = fact.groupBy(K.FIRM, K.LABEL, K.DUTY).agg(F.sum(K.OPENED).alias("v"), F.sum(t).alias("s"), F.count(t).alias("c"))
+    side = lambda on, c: F.sum(F.when(on, F.col(c)))
+    totals = per.agg(
+        F.sum("v").alias("total_complaints"),
         F.countDistinct(K.FIRM).alias("firms"),
         F.countDistinct(K.LABEL).alias("periods"),
-        F.sum(F.when(pre, F.col(K.OPENED))).alias("pre_total"),
-        F.sum(F.when(post, F.col(K.OPENED))).alias("post_total"),
-        (F.sum(F.when(pre, t)).cast("double") / (F.count(F.when(pre, t)) * 10)).alias("pre_upheld"),
-        (F.sum(F.when(post, t)).cast("double") / (F.count(F.when(post, t)) * 10)).alias("post_upheld"),
+        side(pre, "v").alias("pre_total"),
+        side(post, "v").alias("post_total"),
+        (side(pre, "s").cast("double") / (side(pre, "c") * 10)).alias("pre_upheld"),
+        (side(post, "s").cast("double") / (side(post, "c") * 10)).alias("post_upheld"),
     )
     # danger count and top risk firm: one firm base, one ranking pass (bounded rows read back)
     if risk is None:

@@ -42,12 +42,16 @@ def risk_base(fact: DataFrame, min_total: int = K.MIN_TOTAL, degenerate: str = "
     t = F.col(K.UPHELD_T)
     rated = t.isNotNull()
     x = F.col(K.ORDER).cast("bigint")
-    per_period = fact.groupBy(K.FIRM, K.ORDER).agg(
+    # the type depends on the firm, so it is a grouping key here: the fact pass then has fixed-width buffers only and is a
+    # hash aggregate (a string in a buffer would make it sort); the few rows left are aggregated by firm below
+    per_type = fact.groupBy(K.FIRM, K.ORDER, K.TYPE).agg(
         F.sum(K.OPENED).alias("v_all"),
         F.sum(F.when(rated, F.col(K.OPENED))).alias("v_rated"),
         F.count(t).alias("n"),
         F.sum(t).alias("sy"),
-        F.min(K.TYPE).alias(K.TYPE),
+    )
+    per_period = per_type.groupBy(K.FIRM, K.ORDER).agg(
+        *[F.sum(c).alias(c) for c in ("v_all", "v_rated", "n", "sy")], F.min(K.TYPE).alias(K.TYPE)
     )
     o = F.col(K.ORDER).cast("bigint")
     has = F.col("n") > 0

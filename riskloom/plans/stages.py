@@ -121,7 +121,7 @@ def notebook_stage(spark: SparkSession, master_path: str | None, out_dir: str, a
 
 
 def main(argv=None) -> None:
-    from riskloom.session import get_spark
+    from riskloom.session import drop_stored, get_spark
 
     ap = argparse.ArgumentParser(prog="python -m riskloom.plans.stages")
     ap.add_argument("stage", choices=["clean", "sql", "notebook"])
@@ -138,6 +138,7 @@ def main(argv=None) -> None:
     else:
         stage = sql_stage if a.stage == "sql" else notebook_stage
         print("\n".join(stage(spark, a.master, a.out, table=a.table, fmt="csv" if a.csv else "parquet")))
+    drop_stored(spark)
 
 
 if __name__ == "__main__":

@@ -78,9 +78,27 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
 
     This cuts the lineage (every later use and every retry after an executor loss sees the same
-    stored rows) with a columnar, compressed copy, so later passes read only the columns they use.
+    stored rows) with a columnar, compressed copy, so later passes read only the columns they use. Call
+    :func:`drop_stored` when the results that depend on stored tables have been written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    _STORED.append(path)
     return spark.read.parquet(path)
+
+
+_STORED: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialise` has stored in this process so far; return their number.
+
+    DataFrames that still read them fail afterwards, so this belongs behind the last write of a job.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done

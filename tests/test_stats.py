@@ -64,3 +64,14 @@ def test_winsorise_then_minmax(spark):
     assert got[0] == lo and got[-1] == hi
     scored = minmax(w, ["a", "c"]).agg(F.min("a_score"), F.max("a_score"), F.max("c_score")).first()
     assert tuple(scored) == (0.0, 100.0, 0.0)
+
+
+def test_quantiles_of_a_hot_value(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = np.where(rng.random(20_000) < 0.9, 0.0, rng.normal(size=20_000))
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    probs = [0.0, 0.05, 0.5, 0.95, 0.999, 1.0]
+    got = quantiles(df, "v", probs, names=[f"q{i}" for i in range(6)]).first()
+    assert np.allclose(list(got), np.quantile(x, probs), rtol=1e-12, atol=1e-12)
