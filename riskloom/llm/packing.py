@@ -29,7 +29,7 @@ from riskloom.session import materialise
 
 CAPACITY, END_ID = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
 BLOCK_ITEMS = 8192
 ISLANDS, ROUNDS, POPULATION, GENERATIONS = 3, 2, 6, 10
 
@@ -40,8 +40,16 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+_TOKENIZERS: dict = {}  # of this worker process, so that its tasks share the cache
+
+
 class ChunkTokenizer:
-    """Ids (little-endian unsigned 32-bit) of texts, by a cache of white-space-separated chunks."""
+    """Ids (little-endian unsigned 32-bit) of texts, by a cache of white-space-separated chunks.
+
+    Chunks that are not in the cache lose punctuation behind an ASCII letter (the pre-tokenizer cuts there too), and words of
+    letters only, which are one pre-token each, are encoded in one call whose ids are dealt out by pre-token. The first
+    CACHE_CHUNKS chunks and words seen stay cached, later ones for one slice of texts only.
+    """
 
     def __init__(self, path: str):
         import os
@@ -50,31 +58,65 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def fresh(self, chunks: list[bytes]) -> list[bytes]:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def each(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text by a call for itself."""
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(plain, add_special_tokens=False)]
+
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only, by one call for all."""
+        found = self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        owner = np.array(found.word_ids, np.int64)
+        ends = np.flatnonzero(np.diff(owner, append=owner[-1] + 1)) + 1
+        if len(ends) != len(words):  # lower-casing made a letter into several characters
+            return self.each(words)
+        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that are not in the cache."""
+        cut = []
+        for c in chunks:
+            core = c.rstrip(b".,;:!?%#$&*|")
+            cut.append((core, c[len(core) :]) if core != c and 97 <= (core or b"0")[-1] <= 122 else (c, b""))
+        new = list({w for pair in cut for w in pair if w and w not in self.words})
+        letters = [w.decode("utf-8", "replace").isalpha() for w in new]
+        got: dict[bytes, bytes] = {b"": b""}
+        for encode, want in ((self.together, True), (self.each, False)):
+            part = [w for w, alpha in zip(new, letters, strict=True) if alpha is want]
+            for at in range(0, len(part), 20_000):
+                got.update(zip(part[at : at + 20_000], encode(part[at : at + 20_000]), strict=True))
+        ids = lambda w: got[w] if w in got else self.words[w]
+        out = {c: ids(core) + ids(tail) for c, (core, tail) in zip(chunks, cut, strict=True)}
+        if len(self.words) < CACHE_CHUNKS:
+            del got[b""]
+            self.words.update(got)
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         whole = [b"<|" in t for t in texts]
         chunks = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {}
-        cache = self.cache
-        new = list({c for cs in chunks for c in cs if c not in cache})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            cache.update(zip(part, self.fresh(part), strict=True))
-        return [
-            self.fresh([t])[0] if w else b"".join([cache[c] for c in cs])
+        known, fresh = self.chunks, {}
+        missing = set().union(*chunks).difference(known)
+        if missing:
+            fresh = self.learn(list(missing))
+            known.update(fresh)
+        out = [
+            self.each([t])[0] if w else b"".join(map(known.__getitem__, cs))
             for t, cs, w in zip(texts, chunks, whole, strict=True)
         ]
+        if len(known) > CACHE_CHUNKS:
+            for c in fresh:
+                del known[c]
+        return out
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[dict]:
     """The pieces of one document's ids (bytes) with the end token put behind."""
-    ids += int(END_ID).to_bytes(4, "little")
+    ids += END_ID.to_bytes(4, "little")
     step = 4 * capacity
     return [
         {"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
@@ -88,7 +130,8 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     path = path or vocabulary_path()
 
     def make():
-        tokenizer = ChunkTokenizer(path)
+        tokenizer = _TOKENIZERS.get(path) or ChunkTokenizer(path)
+        _TOKENIZERS[path] = tokenizer
         return lambda texts: {"pieces": [pieces_of(ids, capacity) for ids in tokenizer.encode(texts)]}
 
     kind = "pieces array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
