@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontamination, jaccard_join, langid, packing, quality_model, quality_rules, secrets, toxicity, warc
+from riskloom.llm import decontamination, jaccard_join, langid, licenses, packing, quality_model, quality_rules, secrets, toxicity, warc
 from riskloom.sources.tables import read_table
 
 
@@ -32,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_report(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return decontamination.contamination_report(docs, read_table(spark, sf_dir, "benchmark"))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scans": op6_license_scans,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
