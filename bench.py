@@ -44,7 +44,6 @@ def main() -> None:
             "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
             "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
             "spark.checkpoint.dir": os.path.join(scratch, "checkpoints"),
-            "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -14,7 +14,6 @@ from riskloom.functions.numeric import (
     round_ratio_int,
     rounded_mean,
     rounded_mean_int,
-    safe_divide,
     tenths_to_pct,
 )
 from riskloom.functions.rules import (
@@ -32,6 +31,6 @@ from riskloom.functions.rules import (
 __all__ = [
     "band", "classify", "clip", "coerce_numeric", "direction", "exact_mean", "flag_at_least",
     "harmonised_name", "idiv", "mean_at_least", "minmax_scale", "nan_to_null", "pct_change",
-    "replace_chain", "rint_dp", "round_ratio", "round_ratio_int", "rounded_mean", "rounded_mean_int", "safe_divide", "tenths_to_pct",
+    "replace_chain", "rint_dp", "round_ratio", "round_ratio_int", "rounded_mean", "rounded_mean_int", "tenths_to_pct",
     "traffic_light", "unify_names", "upheld_band",
 ]

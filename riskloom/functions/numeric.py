@@ -83,11 +83,6 @@ def rint_dp(x: ColumnOrName, dp: int = 1) -> Column:
     return F.rint(_c(x) * F.lit(k)) / F.lit(k)
 
 
-def safe_divide(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """``a / b`` as double, null when ``b`` is 0 (ANSI mode would raise)."""
-    return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
-
-
 # A decimal number as a spreadsheet or CSV cell holds it: optional sign, digits with an optional
 # fraction, optional exponent. Excludes '1,234', '12%', '*', '1d', '1f', 'NaN', 'inf'.
 NUMERIC_PATTERN = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"

@@ -156,8 +156,3 @@ def rank_within_top(df: DataFrame, k: int, key: str, tiebreak: Sequence[str], na
     """
     top = df.orderBy(F.desc(key), *[F.asc(t) for t in tiebreak]).limit(k)
     return top.withColumn(name, F.rank().over(Window.orderBy(F.desc(key))).cast("bigint"))
-
-
-def top_k(df: DataFrame, k: int, order: Sequence[Column | str]) -> DataFrame:
-    """``ORDER BY order LIMIT k`` (``TakeOrderedAndProject``)."""
-    return df.orderBy(*order).limit(k)

@@ -46,18 +46,14 @@ def pivot_measure(
     agg: str = "sum",
     fill=None,
     require_all: bool = False,
-    drop_all_null: bool = False,
 ) -> DataFrame:
     """``groupBy(rows).pivot(column, values).agg(agg(value))``.
 
     ``values`` is passed explicitly (no distinct job; chronological order when so given).
     ``fill`` replaces missing cells; ``require_all`` drops rows with any missing cell;
-    ``drop_all_null`` drops input rows with a null value first, so an entity whose cells are all
-    missing disappears (pandas ``pivot_table`` behaviour).
     """
     fn = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "first": F.first}[agg]
-    src = df.filter(F.col(value).isNotNull()) if drop_all_null else df
-    out = src.groupBy(*rows).pivot(column, list(values)).agg(fn(value))
+    out = df.groupBy(*rows).pivot(column, list(values)).agg(fn(value))
     names = [str(v) for v in values]
     if fill is not None:
         out = out.na.fill(fill, subset=names)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom import contract as K
 from riskloom.plans import named_queries as Q
 from riskloom.plans import oracles as O
+from riskloom.session import materialise
 from riskloom.sources.fixture import complaint_fact
 
 
@@ -24,12 +25,16 @@ class Entry:
     on_fact: Callable[[DataFrame], DataFrame] | None = None
 
 
-def _on_fact(fn, **kw):
+def _on_fact(fn, store: bool = False, **kw):
+    """Builder of a query over the fact. ``store``: for queries that read the fact in several jobs or branches, it is joined
+    and aggregated from the raw tables once and stored (it is far smaller than the tables), instead of once for each."""
+
     def over_fact(fact: DataFrame) -> DataFrame:
         return fn(fact, **kw)
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return over_fact(complaint_fact(spark, sf_dir))
+        fact = complaint_fact(spark, sf_dir)
+        return over_fact(materialise(fact, "fact") if store else fact)
 
     build.__name__ = getattr(fn, "__name__", "query")
     build.over_fact = over_fact
@@ -84,13 +89,13 @@ def _with_labels(fn):
         return fn(fact, N.period_labels(fact))
 
     def build(spark, sf_dir):
-        return over_fact(complaint_fact(spark, sf_dir))
+        return over_fact(materialise(complaint_fact(spark, sf_dir), "fact"))
 
     build.over_fact = over_fact
     return build
 
 
-_master = _on_fact(M.master_changes)
+_master = _on_fact(M.master_changes, store=True)
 
 
 def _firm_slope(fact):
@@ -115,8 +120,8 @@ def _assemble_fact(fact):
     return SH.assemble_measures(_sheets_long(fact), SH.fact_manifest(fact)).drop(K.ROW_POS)
 
 
-_unpivot_sheets = _on_fact(_unpivot_fact)
-_assemble = _on_fact(_assemble_fact)
+_unpivot_sheets = _on_fact(_unpivot_fact, store=True)
+_assemble = _on_fact(_assemble_fact, store=True)
 
 
 def _dedup(spark, sf_dir):
@@ -138,7 +143,7 @@ register("period_totals", _on_fact(N.n1_period_totals), OM.SQL["period_totals"])
 register("top15_firms", _on_fact(N.n2_top_firms), OM.SQL["top15_firms"])
 register("box_summary_by_type", _on_fact(N.n3_box_by_type), OM.SQL["box_summary_by_type"])
 register("category_pre_post_matrix", _on_fact(N.n4_category_pre_post), OM.SQL["category_pre_post_matrix"])
-register("upheld_heat_matrix", _on_fact(N.n5_heat_matrix), OM.SQL["upheld_heat_matrix"])
+register("upheld_heat_matrix", _on_fact(N.n5_heat_matrix, store=True), OM.SQL["upheld_heat_matrix"])
 register("median_quadrant", _on_fact(N.n6_median_quadrant), OM.SQL["median_quadrant"])
 register("group_trajectory", _on_fact(N.n7_group_trajectory), OM.SQL["group_trajectory"])
 register("group_trajectory_list", _on_fact(N.n7_group_trajectory, firms=OM.FIXTURE_FIRMS), OM.SQL["group_trajectory_list"])
@@ -147,8 +152,8 @@ register("firm_growth", _on_fact(_firm_growth), OM.SQL["firm_growth"])
 register("risk_index", _on_fact(R.risk_index), OM.SQL["risk_index"])
 register("risk_top15", _on_fact(lambda f: R.risk_table(R.risk_index(f), 15)), OM.SQL["risk_top15"])
 register("type_pre_post", _on_fact(N.n9_type_pre_post), OM.SQL["type_pre_post"])
-register("category_stack", _on_fact(N.n10_category_stack, cats=OM.FIXTURE_STACK), OM.SQL["category_stack"])
-register("summary_totals", _on_fact(N.n11_summary), OM.SQL["summary_totals"])
+register("category_stack", _on_fact(N.n10_category_stack, store=True, cats=OM.FIXTURE_STACK), OM.SQL["category_stack"])
+register("summary_totals", _on_fact(N.n11_summary, store=True), OM.SQL["summary_totals"])
 register("exec_top12", _on_fact(D.exec_top_firms), OM.SQL["exec_top12"])
 register("exec_sector_share", _on_fact(D.exec_sector_share), OM.SQL["exec_sector_share"])
 register("firm_drilldown", _on_fact(D.firm_drilldown), OM.SQL["firm_drilldown"])
@@ -156,7 +161,7 @@ register("firm_page_one", _on_fact(D.firm_drilldown, firm=K.FIXTURE_FIRM), OM.SQ
 register("firm_category", _on_fact(D.firm_category), OM.SQL["firm_category"])
 register("firm_category_one", _on_fact(D.firm_category, firm=K.FIXTURE_FIRM), OM.SQL["firm_category_one"])
 register("diagonal_pairs", _on_fact(D.diagonal_pairs), OM.SQL["diagonal_pairs"])
-register("findings_table", _on_fact(D.findings_table), OM.SQL["findings_table"])
+register("findings_table", _on_fact(D.findings_table, store=True), OM.SQL["findings_table"])
 register("unpivot_sheets", _unpivot_sheets, OM.SQL["unpivot_sheets"])
 register("assemble_measures", _assemble, OM.SQL["assemble_measures"])
 register("dedup_keep_first", _dedup, OM.SQL["dedup_keep_first"])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import contract as K
+from riskloom.functions.numeric import nan_to_null
 
 
 def write_master(df: DataFrame, path: str, partition_by: str | None = K.LABEL, mode: str = "overwrite",
@@ -52,13 +53,15 @@ MASTER_TYPES = {f.name: f.dataType.simpleString() for f in K.FACT_SCHEMA} | {
 
 
 def read_master(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Master fact reader.
+    """Master fact reader; NaN in a Parquet double is read as null.
 
     A CSV is matched by header name, in any column order: known columns get their types, ``group`` is accepted for
     ``firm_group``, an empty group is '', and integer tenths that the file lacks are derived from the percentages.
     """
     if fmt != "csv":
-        return spark.read.parquet(path)
+        stored = spark.read.parquet(path)
+        doubles = [c for c, kind in stored.dtypes if kind == "double"]
+        return stored.withColumns({c: nan_to_null(c) for c in doubles}) if doubles else stored
     raw = spark.read.option("header", True).csv(path)
     if K.GROUP not in raw.columns and "group" in raw.columns:
         raw = raw.withColumnRenamed("group", K.GROUP)

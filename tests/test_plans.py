@@ -51,3 +51,29 @@ def test_bucketed_master_needs_no_shuffle_for_firm_aggregates(spark, small_fact)
     master = save_bucketed(small_fact, "complaints_bucketed_test", buckets=4)
     text = master.groupBy("firm_name", "firm_type").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text
+
+
+MULTI_PASS = [
+    "master_changes", "pivot_volume", "pivot_upheld", "upheld_heat_matrix", "category_stack", "summary_totals", "findings_table",
+    "unpivot_sheets", "assemble_measures",
+]
+
+
+@pytest.mark.parametrize("name", MULTI_PASS)
+def test_the_raw_tables_are_joined_once(spark, name, monkeypatch):
+    """The fact is built once and stored: no later job or branch scans lineitem again."""
+    from riskloom.plans import registry
+
+    calls = []
+    monkeypatch.setattr(registry, "complaint_fact", lambda *a: calls.append(1) or complaint_fact(*a))
+    text = plan_text(REGISTRY[name].build(spark, SF_SMALL))
+    assert len(calls) == 1 and "l_orderkey" not in text
+
+
+def test_fact_pass_of_the_risk_base_is_a_hash_aggregate(spark):
+    from riskloom.plans.risk import risk_base
+    from tests.conftest import fact_rows
+
+    fact = fact_rows(spark, [("A", "Bank", "x", 1, 5, 100)])
+    deepest = [x for x in plan_text(risk_base(fact)).split("\n") if "Aggregate(" in x][-1]
+    assert "HashAggregate" in deepest and "period_order" in deepest
