@@ -14,9 +14,11 @@ Frequent keys (empty parts, passages that many texts share, large groups of near
 
 * Star rounds: each key has one pivot (the member that shares most keys with others); every member meets only its pivot. That is linear, and
   joins large groups of near copies at once. Components are formed of the verified links.
-* Rest: members of one key that still are in different components are paired if the key has at most ``FREQUENT`` members. Of a longer key
-  only members with more than s frequent keys in that home are paired: any other set agrees with its partners in a word that is not
-  frequent, so no link is lost.
+* Before that, sets that share too few keys with anybody are dropped (a linked set shares more than s), and pairs are compared by the
+  number of words they agree in.
+* Rest: members of one key that still are in different components are paired if the key has at most ``FREQUENT`` members.
+* Families: sets with more than s frequent keys in a home are connected by them into families, whose blocks are compared by
+  matrix products. Any other set agrees with its partners in a word that is not frequent, so no link is lost.
 
 Candidates are verified by exact intersection of the sets (JVM-side). Everything is a join or a grouped aggregate on a key; the
 driver sees counts only. Stored tables (shared checkpoint folder) cut the lineage between steps.
@@ -29,6 +31,7 @@ component; extra columns are ignored; an empty table gives no row.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +40,9 @@ from riskloom.session import materialise
 
 WIDTH, PERCENT = 5, 80
 FREQUENT = 64
-STAR_ROUNDS = 2
+#: Sets and shingles in a block of a family of near copies; two blocks meet in one task.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+STAR_ROUNDS = 1
 #: Ids are broadcast up to this many rows (a few MB); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 #: No text has more words than this. The low bits of a key name its home and say whether its part holds a shingle.
@@ -56,7 +61,7 @@ class Bands:
             raise ValueError(f"{len(self.first)} size bands; a key can name {HOMES} homes: use a lower threshold")
         edge = [*self.first, 100 * (self.first[-1] - 1) // percent + 1]
         self.d = [(100 - percent) * (edge[k + 1] + edge[k + 2] - 2) // (100 + percent) for k in range(len(edge) - 2)]
-        self.slack = [1 + d // 6 if d else 0 for d in self.d]
+        self.slack = [2 + d // 6 if d else 0 for d in self.d]
         self.starts = np.array(self.first)
 
     def band(self, size: int) -> int:
@@ -124,6 +129,36 @@ def shingle_arrays(docs: DataFrame, width: int) -> DataFrame:
     return found.select("id", f"{f}.set")
 
 
+def home_of(key: str = "key"):
+    return F.col(key).bitwiseAND(F.lit(HOMES - 1)).cast("int")
+
+
+def slack_of(home, percent: int):
+    return F.get(F.array(*[F.lit(s) for s in Bands(percent).slack]), home)
+
+
+def shared_keys(rows: DataFrame, percent: int, passes: int = 2) -> DataFrame:
+    """(key, id, members) of keys with several members, without sets that share too few keys to be linked at all.
+
+    A linked set shares more keys of its home than the home's slack. Dropping the others makes further keys lonely, so the two
+    conditions are applied in turn; each pass works on what the one before left.
+    """
+    for _ in range(passes):
+        rows = rows.select("key", "id").withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        rows = rows.where(F.col("members") > 1).withColumn("home", home_of())
+        rows = rows.withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("id", "home")))
+        rows = rows.where(F.col("mine") > slack_of(F.col("home"), percent))
+    return rows.select("key", "id", "members")
+
+
+def near_enough(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches agree in more words of a home than its slack: the Hamming bound, before sets are compared."""
+    of_a = pairs.join(shared.select(F.col("id").alias("a"), "key"), "a")
+    both = of_a.join(shared.select(F.col("id").alias("b"), "key"), ["b", "key"])
+    agreed = both.groupBy("a", "b", home_of().alias("home")).agg(F.count(F.lit(1)).alias("n"))
+    return agreed.where(F.col("n") > slack_of(F.col("home"), percent)).select("a", "b").distinct()
+
+
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on id; the ids (distinct) are broadcast only where there are at most BROADCAST_IDS of them."""
     small = ids.count() <= BROADCAST_IDS
@@ -188,17 +223,17 @@ def star_pairs(shared: DataFrame, scores: DataFrame, labels: DataFrame | None) -
     ).distinct()
 
 
-def rest_pairs(shared: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b) of different components that share a key: all members of keys that are not frequent; of frequent ones those
-    with more frequent keys in the home than its slack."""
-    slack = F.array(*[F.lit(s) for s in Bands(percent).slack])
-    home = F.col("key").bitwiseAND(F.lit(HOMES - 1)).cast("int")
-    frequent = shared.where(F.col("members") > FREQUENT).withColumn("home", home)
-    many = frequent.groupBy("id", "home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.get(slack, F.col("home")))
-    kept = shared.where(F.col("members") <= FREQUENT).select("key", "id").union(
-        frequent.join(many.select("id", "home"), ["id", "home"], "left_semi").select("key", "id")
-    )
-    rows = labelled(kept, labels)
+def frequent_rows(shared: DataFrame, percent: int) -> DataFrame:
+    """(key, id) of frequent keys (many members, or an empty part) of those sets that have more of them in the home than
+    its slack. Any other set agrees with each of its partners in a word that is neither empty nor frequent."""
+    rows = shared.where((F.col("members") > FREQUENT) | ~is_full()).withColumn("home", home_of())
+    many = rows.groupBy("id", "home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slack_of(F.col("home"), percent))
+    return rows.join(many.select("id", "home"), ["id", "home"], "left_semi").select("key", "id")
+
+
+def rest_pairs(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(a, b) of different components that share a key that is neither frequent nor of an empty part."""
+    rows = labelled(shared.where((F.col("members") <= FREQUENT) & is_full()).select("key", "id"), labels)
     mixed = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     rows = materialise(rows.join(mixed.where(F.col("c0") != F.col("c1")).select("key"), "key", "left_semi"), "rest")
     left = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
@@ -206,6 +241,69 @@ def rest_pairs(shared: DataFrame, labels: DataFrame | None, percent: int) -> Dat
     return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices over the elements that several sets hold."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    if not sets:
+        return out
+    elements, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    place = np.cumsum(counts > 1) - 1
+    keep = counts[column] > 1
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [first, first + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[lo:hi], column[lo:hi] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def family_links(docs: DataFrame, rows: DataFrame, labels: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """Links between components among the sets of :func:`frequent_rows`.
+
+    Sets connected by frequent keys are a family. A family is dealt into blocks (at most about BLOCK_SETS sets and
+    BLOCK_SHINGLES shingles each), and each two blocks meet in a task of their own that counts all intersections as a matrix
+    product and returns a spanning forest of the links between different components: no row for a pair, no task for a whole
+    family.
+    """
+    lead = rows.groupBy("key").agg(F.min("id").alias("lead"))
+    edges = rows.join(lead, "key").where(F.col("id") != F.col("lead")).select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    families = components(materialise(edges.distinct(), "family-edges")).withColumnRenamed("component", "family")
+    known = materialise(labelled(families, labels), "families")
+    mixed = known.groupBy("family").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    known = known.join(mixed.where(F.col("c0") != F.col("c1")).select("family"), "family", "left_semi")
+    known = materialise(known, "families")
+    sets = shingle_arrays(by_ids(docs, known.select("id"), "left_semi"), width)
+    sets = materialise(sets.join(known, "id"), "family-sets")
+    size = sets.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("set").cast("bigint")).alias("s"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    dealt = sets.join(size.select("family", blocks.alias("blocks")), "family")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+
+    def meet(pdf):
+        pdf = pdf.drop_duplicates("id").sort_values("id")
+        ids, group = pdf["id"].to_numpy(), np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
+        found = []
+        if len(ids) > 1 and group.max() > 0:
+            sizes = np.array([len(x) for x in pdf["set"]])
+            common = overlaps([np.asarray(x) for x in pdf["set"]])
+            near = (100 + percent) * common >= percent * (sizes[:, None] + sizes[None, :])
+            for i, j in np.argwhere(np.triu(near & (group[:, None] != group[None, :]))):
+                if group[i] != group[j]:  # still: earlier links may have joined them
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    group[group == group[j]] = group[i]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    work = dealt.select("family", "lo", "hi", "id", "component", "set").groupBy("family", "lo", "hi")
+    return materialise(work.applyInPandas(meet, f"a {kind}, b {kind}"), "links")
+
+
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -216,29 +314,39 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     firsts = member.where(F.col("id") != F.col("first_id")).select("id").distinct()
     docs = docs.where(F.col("id").isNotNull())
     single = by_ids(docs, materialise(firsts, "copies"), "left_anti")
-    members = Window.partitionBy("key")
-    shared = key_rows(single, width, percent).withColumn("members", F.count(F.lit(1)).over(members))
-    shared = materialise(shared.where(F.col("members") > 1), "shared-keys")
+    shared = materialise(shared_keys(key_rows(single, width, percent), percent), "shared-keys")
     scores = materialise(shared.where(is_full()).groupBy("id").agg(F.sum("members").alias("score")), "scores")
     links, labels, tested = None, None, None
+
+    def add(new: DataFrame) -> None:
+        """Take in stored links; components are formed anew only if there are any."""
+        nonlocal links, labels
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            labels = components(links)
+
     for step in range(STAR_ROUNDS + 1):
-        if step < STAR_ROUNDS:
-            pairs = star_pairs(shared, scores, labels)
-        else:
-            pairs = rest_pairs(shared, labels, percent)
+        pairs = star_pairs(shared, scores, labels) if step < STAR_ROUNDS else rest_pairs(shared, labels)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        new = verified(pairs, docs, width, percent)
-        links = new if links is None else links.union(new)
+        pairs = materialise(near_enough(pairs, shared, percent), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
+        if not pairs.isEmpty():
+            add(verified(pairs, docs, width, percent))
+    frequent = materialise(frequent_rows(shared, percent), "frequent")
+    if not frequent.isEmpty():
+        add(family_links(docs, frequent, labels, width, percent))
     # rows that share an id have several classes: all of them belong together
-    copies = member.where(F.col("id") != F.col("first_id"))
-    if not copies.join(copies.groupBy("id").count().where("count > 1"), "id", "left_semi").isEmpty():
-        labels = components(links.union(copies.select(F.col("id").alias("a"), F.col("first_id").alias("b"))))
+    several = member.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("id")
+    if not several.isEmpty():
+        own = member.join(several, "id").where(F.col("id") != F.col("first_id"))
+        add(materialise(own.select(F.col("id").alias("a"), F.col("first_id").alias("b")), "links"))
     one = member.groupBy("id").agg(F.min("first_id").alias("first_id"))
-    rows = known.join(one, "id", "left").join(labels.withColumnRenamed("id", "first_id"), "first_id", "left")
+    rows = known.join(one, "id", "left")
+    if labels is None:
+        rows = rows.withColumn("component", F.lit(None).cast(docs.schema["id"].dataType))
+    else:
+        rows = rows.join(labels.withColumnRenamed("id", "first_id"), "first_id", "left")
     return rows.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.coalesce("component", "first_id", "id").alias("component_id"),
