@@ -12,8 +12,13 @@ is parsed to its end: whole texts count.
 The reference text (at most ``REFERENCE`` characters a language) is what is broadcast; each Python worker builds the
 tables once.
 
+Phrases get longer as a reference grows, so two languages are compared at the length of the shorter one's reference. That
+cut holds for this comparison only: languages with longer references are compared with each other at their own length, and
+the best of them then meets the languages with shorter ones.
+
 Defined cases: null, empty and letterless texts give `und` with score 0, and so do all texts if nothing can be learned;
-ties go to the language first in order; languages with null names or without letters are not learned.
+ties go to the language first in order; languages with null names or without letters are not learned, nor are those with
+less than ``LEAST`` characters of reference that is also less than a quarter of the longest one.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from riskloom.llm.common import map_text
 
 #: Characters of normalised reference text for each language, and the documents and characters of each they come from.
 REFERENCE, SAMPLE_DOCS, SAMPLE_CHARS = 32_000, 96, 1_000
+#: A language needs so much reference text, or a quarter of the longest reference.
+LEAST = 2_000
 BLOCK = 512
 UNDETERMINED = "und"
 _BREAK = "\n"  # between the excerpts of a reference; never in a normalised text
@@ -92,8 +99,17 @@ class Parser:
         self.classes = np.ones(0x110000, np.int32)
         for k, c in enumerate(alphabet):
             self.classes[ord(c)] = k + 2
+        self.sizes = np.array([len(references[x]) for x in self.languages], np.int64)
         self.tables = [self.table(references[x], alphabet) for x in self.languages]
-        self.bits = np.array([math.log2(max(2, len(references[x]))) for x in self.languages])
+        #: For each length of a reference, from the longest: a table of it for every language that has as much text.
+        self.levels = {
+            int(n): {
+                k: self.tables[k] if self.sizes[k] == n else self.table(references[x][:n], alphabet)
+                for k, x in enumerate(self.languages)
+                if self.sizes[k] >= n
+            }
+            for n in np.unique(self.sizes)[::-1]
+        }
 
     def table(self, reference: str, alphabet: list[str]) -> np.ndarray:
         """Flat table: [state * width + class] -> next state * width + (phrases ended << 29)."""
@@ -115,7 +131,11 @@ class Parser:
         return out.ravel()
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrase counts, texts x languages, of normalised texts."""
+        """Phrase counts, texts x languages, of normalised texts, against whole references."""
+        return self.parse(texts, self.tables)
+
+    def parse(self, texts: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
+        """Phrase counts, texts x tables, of normalised texts."""
         sizes = np.array([len(t) for t in texts], np.int64)
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
@@ -124,9 +144,9 @@ class Parser:
         for t, at in zip(texts, first[:-1], strict=True):
             flat[at : at + len(t)] = self.classes[t]
         steps = np.ascontiguousarray(grid.T)
-        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        out = np.zeros((len(texts), len(tables)), np.int64)
         mask = np.int32((1 << 29) - 1)
-        for k, table in enumerate(self.tables):
+        for k, table in enumerate(tables):
             state = np.zeros(len(grid), np.int32)
             count = np.zeros(len(grid), np.int32)
             for classes in steps:
@@ -142,12 +162,23 @@ class Parser:
         sizes = np.array([len(t) for t in flat], np.int64)
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        entropy = self.phrases(flat) * self.bits / np.maximum(sizes, 1)[:, None]
-        best = entropy.argmin(axis=1)
-        least = entropy[np.arange(len(texts)), best]
-        entropy[np.arange(len(texts)), best] = np.inf
-        second = entropy.min(axis=1)
-        score = np.where(np.isfinite(second), 1 - least / np.maximum(second, 1e-9), 1.0)
+        rows = np.arange(len(texts))
+        best, entropies = np.full(len(texts), -1), {}
+        for n, tables in self.levels.items():
+            entropy = np.full((len(texts), len(self.languages)), np.inf)
+            entropy[:, list(tables)] = self.parse(flat, list(tables.values())) * math.log2(max(2, n)) / np.maximum(sizes, 1)[:, None]
+            entropies[n] = entropy
+            rivals = (self.sizes == n)[None, :] | (np.arange(len(self.languages)) == best[:, None])
+            best = np.where(rivals, entropy, np.inf).argmin(axis=1)
+        # the least distance to another language, each at the length that the two have in common
+        score = np.ones(len(texts))
+        common = np.minimum(self.sizes[None, :], self.sizes[best][:, None])
+        common[rows, best] = -1
+        for n, entropy in entropies.items():
+            second = np.where(common == n, entropy, np.inf).min(axis=1)
+            met = np.isfinite(second)
+            score[met] = np.minimum(score[met], 1 - entropy[rows, best][met] / np.maximum(second[met], 1e-9))
+        score = np.maximum(score, 0)
         return (
             [self.languages[b] if n else UNDETERMINED for b, n in zip(best, sizes, strict=True)],
             [float(s) if n else 0.0 for s, n in zip(score, sizes, strict=True)],
@@ -181,8 +212,13 @@ def learn_references(labelled: DataFrame, doc_id: str = "doc_id", text: str = "t
         if len(points):
             parts.setdefault(r.sample_lang, []).append(points.astype("<u4").tobytes().decode("utf-32-le"))
     joined = {k: _BREAK.join(v) for k, v in parts.items()}
-    size = min([REFERENCE, *map(len, joined.values())])  # equally long references, so that phrase counts compare
-    return {k: v[: max(size, 2_000)] for k, v in joined.items()}
+    least = min(LEAST, max(map(len, joined.values()), default=0) / 4)
+    return {k: v[: reference_size(len(v))] for k, v in joined.items() if len(v) >= least}
+
+
+def reference_size(n: int) -> int:
+    """REFERENCE, or the last quarter power of two up to ``n``: few lengths to compare at, and none is cut by another's."""
+    return REFERENCE if n >= REFERENCE else math.floor(2 ** (math.floor(4 * math.log2(max(n, 1))) / 4))
 
 
 def identify(

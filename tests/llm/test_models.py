@@ -141,3 +141,31 @@ def test_features_and_votes():
     assert X.word_feature("idiot") not in X.features(b"idiotic").tolist()
     assert len(X.features(b"")) == 0 and X.patterns(b"") == [False] * 4
     assert X.vote_mask(X.features(b"idiot"), [True, False, False, False], X.mine_voters([], np.zeros(0))) == 1 | 1 << len(X.INSULTS)
+
+
+def test_a_rare_language_cuts_no_other_reference(spark):
+    """A stray label and a language with little text: the others keep their references and predictions."""
+    rng = np.random.default_rng(8)
+    vocabulary = {x: ["".join(rng.choice(list(abc), rng.integers(2, 9))) for _ in range(1500)] for x, abc in (("aa", "abcdeinrst"), ("bb", "aeiouklmnz"), ("cc", "bdfgoprtuv"))}
+    prose = lambda x, n: " ".join(rng.choice(vocabulary[x], n))
+    rows = [(i, prose("ab"[i % 2] * 2, 300), "ab"[i % 2] * 2) for i in range(120)]
+    rows += [(200 + i, prose("cc", 160), "cc") for i in range(4)] + [(300, prose("aa", 20), "stray")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    refs = L.learn_references(docs)
+    assert set(refs) == {"aa", "bb", "cc"} and len(refs["aa"]) == len(refs["bb"]) == L.REFERENCE
+    assert L.LEAST <= len(refs["cc"]) < 4 * 1_000
+    alone = L.learn_references(docs.where("lang in ('aa', 'bb')"))
+    assert alone == {x: refs[x] for x in ("aa", "bb")}
+    truth = [x for x in ("aa", "bb", "cc") for _ in range(30)]
+    langs, scores = L.Parser(refs).predict([prose(x, 40) for x in truth])
+    assert langs == truth and min(scores) >= 0 and max(scores) <= 1
+
+
+def test_languages_meet_at_their_common_length():
+    """The same source under two names, one with a long and one with a short reference: length alone decides nothing."""
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    parser = L.Parser({"long": prose(8000)[:32_000], "short": prose(1000)[:2_000]})
+    langs, _ = parser.predict([prose(60) for _ in range(200)])
+    assert 40 <= langs.count("short") <= 160
