@@ -3,22 +3,25 @@
 Fixed patterns (`assign`, `access`, `hex`) give the base spans. Offsets come from splitting the text at the pattern and adding up the
 lengths of pieces and matches, so they are exact code points.
 
-Battery: every other run of 20 or more token characters that mixes letters and digits is a candidate. Its encoding is inferred (hexadecimal,
-base32, base64), its characters become digits of that alphabet, and three tests ask how far it is from random digits: chi-squared
-uniformity of the alphabet, the runs test about the alphabet's middle, and lag-1 serial correlation. Their squared z-scores add up to one
-distance (about chi-squared with 3 degrees of freedom for a random token).
-
-False discoveries: long ordinary words (one case, no digit) are the null. Over the whole corpus, distances of words and candidates are
-counted by length band and bin. A candidate's p-value is the share of words of its band at least as random; within each band the
-Benjamini-Hochberg step-up over the bins gives the largest distance at which the expected share of false findings stays under ``FDR``. Bands
-with fewer than ``MIN_WORDS_IN_BAND`` words use the words of all bands. Only bands x bins numbers reach the driver.
-
-Defined cases: null = empty text, no span; a token that overlaps a base span is not reported again; without ordinary words to compare
-with nothing is added; repeated rows are scanned alike; an empty table gives no row.
+Battery: every other run of 20 or more token characters is a candidate, unless it has no letter or is an ordinary word (small letters, the
+first may be a capital). Its encoding is inferred (hexadecimal, base32, base64), its characters become digits of that alphabet, and three
+tests ask how far it is from random digits: chi-squared uniformity of the alphabet, the runs test about the alphabet's middle, and lag-1
+serial correlation. Their squared z-scores add up to one distance (about chi-squared with 3 degrees of freedom for a random token).
+
+False discoveries: the null are made tokens of ordinary letters (:func:`null_shares`: the same for every corpus, of the least length of each
+band, in each encoding). A candidate's p-value is the share of them at least as random; where the corpus has ``MIN_WORDS_IN_BAND`` long
+words or more (in the band, else in all), not less than their share. Within each encoding and band the Benjamini-Hochberg step-up over the
+bins gives the largest distance at which the expected share of false findings stays under ``FDR``. Tokens that overlap a base span are not
+counted. Only encodings x bands x bins numbers reach the driver.
+
+Defined cases: null = empty text, no span; a token that overlaps a base span is not reported again; repeated rows are scanned alike; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ FDR, BINS, BIN_WIDTH, MIN_WORDS_IN_BAND = 0.05, 120, 0.5, 200
 BANDS = (20, 24, 32, 48)
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BASE32, BASE16 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef"
+ENCODINGS = (BASE16, BASE32, BASE64)
+#: Made tokens of the null for each encoding and band, and how often English has the letters a to z (per 10,000).
+NULL_TOKENS = 200_000
+LETTERS = (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7)
 SPAN = "struct<start: int, kind: int, end: int, token: string>"
 
 
@@ -68,10 +75,24 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def digits_of(token: Column) -> Column:
+    return F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
+
+
+def by_encoding(plain: Column, a, b, c) -> Column:
+    """The value for hexadecimal, base32 or base64 digits."""
+    return F.when(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$"), a).when(plain.rlike("^[A-Z2-7]+$"), b).otherwise(c)
+
+
+def encoding(token: Column) -> Column:
+    """Index in ENCODINGS."""
+    return by_encoding(digits_of(token), F.lit(0), F.lit(1), F.lit(2))
+
+
 def distance(token: Column) -> Column:
     """Sum of the squared z-scores of the three tests against random digits of the inferred alphabet."""
-    plain = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
-    case = lambda a, b, c: F.when(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$"), a).when(plain.rlike("^[A-Z2-7]+$"), b).otherwise(c)
+    plain = digits_of(token)
+    case = lambda a, b, c: by_encoding(plain, a, b, c)
     body = case(F.lower(plain), plain, plain)
     size = case(F.lit(16.0), F.lit(32.0), F.lit(64.0))
     alphabet = case(F.lit(BASE16), F.lit(BASE32), F.lit(BASE64))
@@ -135,41 +156,100 @@ def bin_of(token: Column) -> Column:
 
 
 def is_word(token: Column) -> Column:
-    return token.rlike("^([A-Z]?[a-z]+|[A-Z]+)$")
+    return token.rlike("^[A-Z]?[a-z]+$")
 
 
 def is_candidate(token: Column) -> Column:
-    return token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+    return token.rlike("[A-Za-z]") & ~is_word(token)
+
+
+def digit_distances(v: np.ndarray, k: int) -> np.ndarray:
+    """What :func:`distance` gives for rows of digits of an alphabet of k characters."""
+    rows, n = v.shape
+    same = (np.bincount((v + np.arange(rows)[:, None] * k).ravel(), minlength=rows * k).reshape(rows, k) ** 2).sum(axis=1)
+    middle = (k - 1) / 2
+    up = v > middle
+    high, turns = up.sum(axis=1), (up[:, 1:] != up[:, :-1]).sum(axis=1)
+    chi = (k / n * same - n - (k - 1)) / np.sqrt(2 * (k - 1))
+    mean = 2 * high * (n - high) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = np.where(var > 0, (turns + 1 - mean) / np.sqrt(np.maximum(var, 1e-9)), np.sqrt(n))
+    serial = ((v[:, 1:] - middle) * (v[:, :-1] - middle)).sum(axis=1) / ((n - 1) * (k * k - 1) / 12) * np.sqrt(n - 1)
+    return np.maximum(chi, 0) ** 2 + runs**2 + serial**2
+
+
+def null_tokens(rng: np.random.Generator, rows: int, size: int, alphabet: str) -> np.ndarray:
+    """Digits of made ordinary words, letter by letter as often as in English: capitals in base32, a to f in base16."""
+    first = alphabet.index("a" if alphabet != BASE32 else "A")
+    share = np.array(LETTERS[: 6 if alphabet == BASE16 else 26], float)
+    return first + rng.choice(len(share), (rows, size), p=share / share.sum())
 
 
-def thresholds(counts: dict[tuple[int, bool, int], int]) -> list[int]:
-    """Per band the last bin whose candidates are accepted (-1: none), from counts by (band, is word, bin)."""
+@cache
+def null_shares() -> tuple[tuple[tuple[float, ...], ...], ...]:
+    """By encoding and band: for each bin the share of ordinary tokens that are at least as random. Never 0."""
+    rng = np.random.default_rng(20)
+
+    def shares(alphabet: str, size: int) -> tuple[float, ...]:
+        counts = np.zeros(BINS, np.int64)
+        for _ in range(0, NULL_TOKENS, 20_000):
+            far = digit_distances(null_tokens(rng, 20_000, size, alphabet), len(alphabet))
+            counts += np.bincount(np.minimum(far // BIN_WIDTH, BINS - 1).astype(int), minlength=BINS)
+        return tuple(((1 + np.cumsum(counts)) / (1 + NULL_TOKENS)).tolist())
+
+    return tuple(tuple(shares(alphabet, size) for size in BANDS) for alphabet in ENCODINGS)
+
+
+def thresholds(counts: dict[tuple[int, bool, int], int], null: tuple[tuple[float, ...], ...] | None = None) -> list[int]:
+    """Per band the last bin whose candidates are accepted (-1: none), from counts by (band, is word, bin).
+
+    ``null``: p-values by band and bin, which the corpus's own words only raise, where there are enough. Without it the words are all
+    there is to compare with.
+    """
     total = [0] * BINS
     words = [[counts.get((b, True, k), 0) for k in range(BINS)] for b in range(len(BANDS))]
     for w in words:
         total = [a + x for a, x in zip(total, w, strict=True)]
     out = []
     for b in range(len(BANDS)):
-        null = words[b] if sum(words[b]) >= MIN_WORDS_IN_BAND else total
+        own = words[b] if sum(words[b]) >= MIN_WORDS_IN_BAND else total
         tokens = [counts.get((b, False, k), 0) for k in range(BINS)]
-        n_null, n, below, found, last = sum(null), sum(tokens), 0, 0, -1
+        n_own, n, below, found, last = sum(own), sum(tokens), 0, 0, -1
         for k in range(BINS):
-            below, found = below + null[k], found + tokens[k]
-            p = (1 + below) / (1 + n_null)  # of a candidate in this bin
-            if n_null and found and p * n <= FDR * found:
+            below, found = below + own[k], found + tokens[k]
+            p = (1 + below) / (1 + n_own)  # of a candidate in this bin
+            if null is not None:
+                p = max(null[b][k], below / n_own if n_own >= MIN_WORDS_IN_BAND else 0.0)
+            if (n_own or null is not None) and found and p * n <= FDR * found:
                 last = k
         out.append(last)
     return out
 
 
+def free_tokens(text: Column) -> Column:
+    """The tokens of a text that overlap no base span."""
+    # one struct, so that the spans are worked out once for each text
+    parts = F.array(F.struct(base_spans(text).alias("base"), matches(text, TOKEN, 3).alias("tokens")))
+    free = lambda t: F.filter(t["tokens"], lambda s: ~overlapped(s, t["base"]))
+    return F.transform(F.get(F.transform(parts, free), 0), lambda s: s["token"])
+
+
+def overlapped(span: Column, spans: Column) -> Column:
+    return F.exists(spans, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+
+
 def learn_thresholds(docs: DataFrame, text: str = "text") -> list[int]:
-    """Accepted distances by length band, from the words and candidates of the whole corpus."""
+    """Accepted distances by encoding and length band (flat), from the words and candidates of the whole corpus."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    tokens = docs.select(F.explode(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))).alias("token"))
-    tokens = tokens.where(is_word(F.col("token")) | is_candidate(F.col("token")))
+    tokens = docs.where(body.rlike(TOKEN)).select(F.explode(free_tokens(body)).alias("token"))
+    token = F.col("token")
+    tokens = tokens.where(is_word(token) | is_candidate(token))
     grouped = tokens.groupBy("token").count()  # a token that is repeated is tested once
-    sums = grouped.groupBy(band(F.col("token")), is_word(F.col("token")), bin_of(F.col("token"))).agg(F.count(F.lit(1)))
-    return thresholds({(r[0], r[1], r[2]): r[3] for r in sums.collect()})  # at most bands x 2 x bins rows
+    sums = grouped.groupBy(encoding(token), band(token), is_word(token), bin_of(token)).agg(F.count(F.lit(1)))
+    counts: list[dict] = [{} for _ in ENCODINGS]
+    for e, *key, n in sums.collect():  # at most encodings x bands x 2 x bins rows
+        counts[e][tuple(key)] = n
+    return [last for e, null in enumerate(null_shares()) for last in thresholds(counts[e], null)]
 
 
 def find_secrets(docs: DataFrame, text: str = "text", carried: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -178,7 +258,7 @@ def find_secrets(docs: DataFrame, text: str = "text", carried: list[str] | None
     spans, base = free_name(docs, "spans"), free_name(docs, "base_spans")
     kept = [F.col(f"`{c}`") for c in (docs.columns if carried is None else carried)]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    of_band = lambda token: F.get(F.array(*[F.lit(x) for x in accepted]), band(token))
+    of_band = lambda token: F.get(F.array(*[F.lit(x) for x in accepted]), encoding(token) * len(BANDS) + band(token))
     tokens = F.lit(None).cast(f"array<{SPAN}>")
     if max(accepted) >= 0:
         tokens = F.filter(
@@ -189,7 +269,7 @@ def find_secrets(docs: DataFrame, text: str = "text", carried: list[str] | None
     step = docs.select(*kept, base_spans(body).alias(base), tokens.alias(spans))
     free = F.filter(
         F.coalesce(F.col(spans), F.array().cast(f"array<{SPAN}>")),
-        lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        lambda s: ~overlapped(s, F.col(base)),
     )
     return step.select(*[F.col(f"`{c}`") for c in names], F.array_sort(F.concat(F.col(base), free)).alias(spans)), spans
 
