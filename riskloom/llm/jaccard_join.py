@@ -1,7 +1,8 @@
 """N-gram Jaccard join by parity sketches.
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets are one class, represented by its
-smallest id (grouped minimum on a 128-bit fingerprint), so exact copies never meet each other again.
+smallest id (grouped minimum on a 128-bit fingerprint), so exact copies never meet each other again. Where ids are repeated, an id may
+have several classes: then the nodes are numbered classes, and the classes of an id are joined and named at the end.
 
 Sketch: the hashes' range is cut into m parts, and the shingles of a part are XORed into one 64-bit word. A shingle that only one of two sets
 holds changes one word, so the number of differing words is a lower bound of the symmetric difference. A pair with Jaccard of at least
@@ -91,8 +92,8 @@ def keys_of(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate([sketch_keys(shingles, home, bands) for home in ((band - 1, band) if band else (band,))])
 
 
-def with_sets(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, and a 128-bit fingerprint of the set."""
+def with_sets(docs: DataFrame, width: int, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The columns to keep, n, and a 128-bit fingerprint of the set."""
 
     def make():
         def apply(texts):
@@ -106,8 +107,16 @@ def with_sets(docs: DataFrame, width: int) -> DataFrame:
 
         return apply
 
-    found, f = map_text(docs, make, "n bigint, p1 bigint, p2 bigint", keep=["id"], out="sets")
-    return found.select("id", f"{f}.*")
+    found, f = map_text(docs, make, "n bigint, p1 bigint, p2 bigint", keep=list(keep), out="sets")
+    return found.select(*keep, f"{f}.*")
+
+
+def class_texts(docs: DataFrame, width: int) -> DataFrame:
+    """(node, first_id, text, p1, p2, n): a row for each class, with a number of its own; for tables in which ids are repeated."""
+    rows = with_sets(docs, width, keep=("id", "text")).where(F.col("id").isNotNull() & (F.col("n") > 0))
+    first = rows.groupBy("p1", "p2", "n").agg(F.min(F.struct("id", "text")).alias("first"))
+    numbered = first.withColumn("node", F.monotonically_increasing_id())  # stored below, so that it stays the same
+    return materialise(numbered.select("node", F.col("first.id").alias("first_id"), "first.text", "p1", "p2", "n"), "class-texts")
 
 
 def key_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -309,11 +318,18 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     known = materialise(with_sets(docs, width), "fingerprints")
     named = known.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = named.groupBy("p1", "p2", "n").agg(F.min("id").alias("first_id"))
-    member = materialise(named.join(classes, ["p1", "p2", "n"]).select("id", "first_id").distinct(), "classes")
-    firsts = member.where(F.col("id") != F.col("first_id")).select("id").distinct()
-    docs = docs.where(F.col("id").isNotNull())
-    single = by_ids(docs, materialise(firsts, "copies"), "left_anti")
+    repeated = not named.groupBy("id").count().where("count > 1").isEmpty()
+    if repeated:  # an id can have several classes: the nodes are the classes, one text each
+        classes = class_texts(docs, width)
+        docs = single = classes.select(F.col("node").alias("id"), "text")
+        classes = classes.drop("text")
+    else:  # an id has one class, whose node is its smallest id
+        classes = named.groupBy("p1", "p2", "n").agg(F.min("id").alias("first_id")).withColumn("node", F.col("first_id"))
+    member = materialise(named.join(classes, ["p1", "p2", "n"]).select("id", "node", "first_id").distinct(), "classes")
+    if not repeated:
+        firsts = member.where(F.col("id") != F.col("first_id")).select("id")
+        docs = docs.where(F.col("id").isNotNull())
+        single = by_ids(docs, materialise(firsts, "copies"), "left_anti")
     shared = materialise(shared_keys(key_rows(single, width, percent), percent), "shared-keys")
     scores = materialise(shared.where(is_full()).groupBy("id").agg(F.sum("members").alias("score")), "scores")
     links, labels, tested = None, None, None
@@ -336,20 +352,20 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     frequent = materialise(frequent_rows(shared, percent), "frequent")
     if not frequent.isEmpty():
         add(family_links(docs, frequent, labels, width, percent))
-    # rows that share an id have several classes: all of them belong together
-    several = member.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("id")
-    if not several.isEmpty():
-        own = member.join(several, "id").where(F.col("id") != F.col("first_id"))
-        add(materialise(own.select(F.col("id").alias("a"), F.col("first_id").alias("b")), "links"))
-    one = member.groupBy("id").agg(F.min("first_id").alias("first_id"))
-    rows = known.join(one, "id", "left")
+    if repeated:  # all classes of an id belong together
+        leads = member.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where(F.col("a") != F.col("top"))
+        own = member.join(leads.select("id", "a"), "id").where(F.col("node") != F.col("a"))
+        add(materialise(own.select("a", F.col("node").alias("b")).distinct(), "links"))
+    one = member.select("id", F.col("node"), "first_id")
     if labels is None:
-        rows = rows.withColumn("component", F.lit(None).cast(docs.schema["id"].dataType))
+        one = one.withColumn("component", F.col("node"))
     else:
-        rows = rows.join(labels.withColumnRenamed("id", "first_id"), "first_id", "left")
-    return rows.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "first_id", "id").alias("component_id"),
+        one = one.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if repeated:  # from the number of a node to the smallest id
+        least = one.groupBy("component").agg(F.min("first_id").alias("least"))
+        one = one.join(least, "component").groupBy("id").agg(F.min("least").alias("component"))
+    return known.join(one.select("id", "component"), "id", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
 

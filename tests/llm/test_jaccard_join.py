@@ -91,5 +91,39 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
 
 
+def test_ids_with_several_texts_keep_all_links(spark, monkeypatch):
+    """An id that is a copy in one class and the smallest id of another: the other class keeps its near copies."""
+    text = {x: " ".join(f"{x}{k}" for k in range(60)) for x in "abc"}
+    near = {x: t + " end" for x, t in text.items()}
+    rows = [(1, text["a"]), (3, text["a"]), (3, text["b"]), (4, near["b"]), (6, text["b"]), (7, text["c"]), (8, near["c"]), (9, ""), (None, text["b"])]
+    expected = [(0, 0), (1, 1), (3, 1), (3, 1), (4, 1), (6, 1), (7, 7), (8, 7), (9, 9)]
+    for frequent in (J.FREQUENT, 1):  # 1: links are found in families
+        monkeypatch.setattr(J, "FREQUENT", frequent)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        assert sorted((r.doc_id or 0, r.component_id or 0) for r in J.similar_components(docs).collect()) == expected
+
+
+def test_random_groups_with_repeated_ids_match_all_pairs(spark):
+    rng = random.Random(21)
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.choice([4, 30, 120]))]
+        rows += [(rng.randrange(150), edited(rng, words, rng.choice([0, 0, 1, 2]))) for _ in range(rng.choice([1, 2, 4]))]
+    label = [c for _, c in brute([t for _, t in rows], 5, 80)]
+    group = {i: i for i, _ in rows}  # ids, joined by linked texts
+    changed = True
+    while changed:
+        changed = False
+        least = {}
+        for (i, _), c in zip(rows, label, strict=True):
+            least[c] = min(least.get(c, i), group[i])
+        for (i, _), c in zip(rows, label, strict=True):
+            if least[c] < group[i]:
+                group[i], changed = least[c], True
+    assert len({i for i, _ in rows}) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in J.similar_components(docs).collect()} == group
+
+
 def test_empty_table(frame):
     assert J.similar_components(frame([])).collect() == []
