@@ -94,7 +94,85 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM q
 """
 
+OP12 = r"""
+WITH RECURSIVE originals AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS named
+  FROM conversations),
+checked AS (
+  SELECT *, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(named, ''), lambda c: CAST(ord(c) AS BIGINT))),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])),
+                                 lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS h
+  FROM originals),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM checked, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) WHERE h <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+         left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) AS before
+  FROM numbered),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id),
+-- the last initial stands for what the pattern allows next: '' (begin), s, u, a
+inserted(a, b, price, edits) AS (
+  VALUES ('', '', 0, ''), ('s', 's', 0, ''), ('u', 'u', 0, ''), ('a', 'a', 0, ''), ('', 'u', 2, 'I'), ('s', 'u', 2, 'I'),
+         ('u', 'a', 2, 'I'), ('a', 'u', 2, 'I'), ('', 'a', 4, 'II'), ('s', 'a', 4, 'II')),
+allowed(b, c) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+moves AS (
+  SELECT conv_id, pos, b, b AS c, 3 AS price, 'D' AS edit FROM faulty, (SELECT DISTINCT b FROM inserted)
+  UNION ALL
+  SELECT conv_id, pos, b, c, CASE WHEN fault IS NULL THEN 0 ELSE 1 END, 'K' FROM faulty JOIN allowed ON initial = c
+  WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT conv_id, pos, b, c, CASE WHEN fault IS NULL THEN 2 ELSE 3 END, 'R' FROM faulty, allowed
+  WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate') AND c <> 's'),
+steps AS (
+  SELECT conv_id, pos, a, c, min({'price': i.price + m.price, 'edits': edits || edit}) AS best
+  FROM moves m JOIN inserted i USING (b) GROUP BY ALL),
+reached AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, '' AS c, {'cost': 0, 'audit': ''} AS best FROM counts
+  UNION ALL
+  SELECT s.conv_id, s.pos, s.c, min({'cost': r.best.cost + s.best.price, 'audit': r.best.audit || s.best.edits})
+  FROM reached r JOIN steps s ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.pos = r.pos + 1 AND s.a = r.c
+  GROUP BY s.conv_id, s.pos, s.c),
+done AS (
+  SELECT r.conv_id, min({'cost': r.best.cost + i.price, 'audit': r.best.audit || i.edits}) AS best
+  FROM reached r JOIN counts k ON k.conv_id IS NOT DISTINCT FROM r.conv_id AND r.pos = k.n JOIN inserted i ON i.a = r.c
+  WHERE i.b IN ('', 'a') GROUP BY r.conv_id),
+edits AS (
+  SELECT conv_id, i, substr(best.audit, i, 1) AS edit, length(replace(left(best.audit, i), 'I', '')) AS pos
+  FROM done, unnest(range(1, length(best.audit) + 1)) AS u(i)),
+said AS (
+  SELECT e.conv_id, i, edit, role, text, initial, row_number() OVER (PARTITION BY e.conv_id ORDER BY i) AS place,
+         first_value(edit || initial) OVER (PARTITION BY e.conv_id ORDER BY i) = 'Ks' AS led
+  FROM edits e LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.pos = e.pos WHERE edit <> 'D'),
+repaired AS (
+  SELECT conv_id, string_agg(
+      CASE WHEN edit = 'K' THEN role WHEN (place - CAST(coalesce(led, false) AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+      || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS words
+  FROM said GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(words, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM originals) o
+LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_conversation_repair": OP12,
     "op2_ngram_jaccard_join": OP2,
     "op5_quality_rules": OP5,
     "op7_benchmark_decontamination": OP7,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontamination, jaccard_join, langid, licenses, packing, quality_model, quality_rules, secrets, toxicity, warc
+from riskloom.llm import conversations, decontamination, jaccard_join, langid, licenses, packing, quality_model, quality_rules, secrets, simhash, toxicity, warc
 from riskloom.sources.tables import read_table
 
 
@@ -54,6 +54,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -65,4 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
 }
