@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import conversations, decontamination, jaccard_join, langid, licenses, packing, quality_model, quality_rules, secrets, simhash, toxicity, warc
+from riskloom.llm import (
+    alignment,
+    conversations,
+    decontamination,
+    jaccard_join,
+    langid,
+    licenses,
+    packing,
+    quality_model,
+    quality_rules,
+    secrets,
+    simhash,
+    toxicity,
+    warc,
+)
 from riskloom.sources.tables import read_table
 
 
@@ -62,6 +76,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -75,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
