@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom import contract as K
 from riskloom.plans import named_queries as Q
 from riskloom.plans import oracles as O
-from riskloom.session import materialise
+from riskloom.session import materialise, stored_path
 from riskloom.sources.fixture import complaint_fact
 
 
@@ -79,6 +79,7 @@ from riskloom.plans import oracles_marts as OM  # noqa: E402
 from riskloom.plans import planted as PL  # noqa: E402
 from riskloom.plans import risk as R  # noqa: E402
 from riskloom.operators import stats as ST  # noqa: E402
+from riskloom.sources import ragged as RG  # noqa: E402
 from riskloom.sources import sheets as SH  # noqa: E402
 from riskloom.sources.tables import read_table  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
@@ -120,6 +121,18 @@ def _assemble_fact(fact):
     return SH.assemble_measures(_sheets_long(fact), SH.fact_manifest(fact)).drop(K.ROW_POS)
 
 
+def _files_fact(fact):
+    """The sheets written as CSV files, a folder for each measure and period with its own headers, and read back in one scan."""
+    spark, cats = fact.sparkSession, N.categories(fact)
+    sheets = []
+    for measure, sheet in SH.fixture_sheets(fact, cats, materialise=True).items():
+        path = stored_path(spark, f"csv-{measure}")
+        sheet.write.partitionBy("source").option("header", True).csv(path)
+        sheets += [RG.Sheet(label, measure, f"{path}/source={label}") for label in N.period_labels(fact)]
+    rows, loose, typed = RG.read_sheets(spark, sheets, cats)
+    return SH.assemble_stacked(rows, SH.fact_manifest(fact), loose, typed).drop(K.ROW_POS)
+
+
 _unpivot_sheets = _on_fact(_unpivot_fact, store=True)
 _assemble = _on_fact(_assemble_fact, store=True)
 
@@ -164,6 +177,7 @@ register("diagonal_pairs", _on_fact(D.diagonal_pairs), OM.SQL["diagonal_pairs"])
 register("findings_table", _on_fact(D.findings_table, store=True), OM.SQL["findings_table"])
 register("unpivot_sheets", _unpivot_sheets, OM.SQL["unpivot_sheets"])
 register("assemble_measures", _assemble, OM.SQL["assemble_measures"])
+register("ingest_one_scan", _on_fact(_files_fact, store=True), OM.SQL["assemble_measures"])
 register("dedup_keep_first", _dedup, OM.SQL["dedup_keep_first"])
 register("classify_keywords", _classify_parts, OM.SQL["classify_keywords"])
 register("regime_records", _on_fact(N.regime_records), OM.SQL["regime_records"])

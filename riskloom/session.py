@@ -82,15 +82,20 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     :func:`drop_stored` when the results that depend on stored tables have been written.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    path = stored_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    _STORED.append(path)
     return spark.read.parquet(path)
 
 
 _STORED: list[str] = []
 
 
+def stored_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared checkpoint folder, which :func:`drop_stored` deletes."""
+    _STORED.append(scratch_path(spark, f"{name}-{uuid.uuid4().hex}"))
+    return _STORED[-1]
+
+
 def drop_stored(spark: SparkSession) -> int:
     """Delete the tables that :func:`materialise` has stored in this process so far; return their number.
 

@@ -22,13 +22,14 @@ import re
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom import contract as K
 from riskloom.functions.numeric import rint_dp
 from riskloom.functions.rules import classify, harmonised_name, unify_names
 from riskloom.operators.reshape import melt_measure
+from riskloom.sources.ragged import Sheet, read_sheets
 
 MEASURE_VALUE = {
     "opened": "complaints_opened",
@@ -190,6 +191,47 @@ def assemble_measures(
             {MEASURE_VALUE[m]: F.coalesce(MEASURE_VALUE[m], f"{m}_loose") for m in rights}
         )
     base = base.withColumn(K.TYPE, F.col("given_type")) if K.TYPE in long["opened"].columns else base
+    return _master_rows(base, manifest, source_col, rules, default_type, alias_map)
+
+
+def assemble_stacked(
+    rows: DataFrame,
+    manifest: DataFrame,
+    loose: bool,
+    typed: bool,
+    rules=K.FIRM_TYPE_RULES,
+    default_type: str = K.FIRM_TYPE_DEFAULT,
+    alias_map: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """:func:`assemble_measures` of the values of :func:`riskloom.sources.ragged.read_sheets`, without reading them twice.
+
+    ``loose``: some sheets have no group. Their values are grouped with the others under a mark of their own and reach the
+    groups of their firm by a window over (source, firm, category), which holds a firm's groups only."""
+    opened = F.col("measure") == "opened"
+    group = F.when(opened & ~F.col("has_group"), F.lit("")).otherwise(F.col("group")).alias("group")
+    of = lambda measure, x: F.when(F.col("measure") == measure, F.col(x))
+    named = rows.select("source", F.trim("firm_name").alias("firm_name"), group, K.CAT, "measure", "value", "pos", "given_type",
+                        (~opened & ~F.col("has_group")).alias("loose"))
+    named = named.filter(F.col("firm_name").isNotNull() & (F.col("firm_name") != "") & (F.col("firm_name") != "nan"))
+    keys = ["source", "firm_name", "group", K.CAT, *(["loose"] if loose else [])]
+    base = named.groupBy(*keys).agg(
+        *[F.min_by(of(m, "value"), of(m, "pos")).alias(v) for m, v in MEASURE_VALUE.items()],
+        F.min(of("opened", "pos")).alias(K.ROW_POS), F.min("given_type").alias("given_type"),
+    )
+    if loose:
+        firm = Window.partitionBy("source", "firm_name", K.CAT)
+        shared = lambda v: F.max(F.when(F.col("loose"), F.col(v))).over(firm)
+        base = base.withColumns({v: F.coalesce(F.col(v), shared(v)) for m, v in MEASURE_VALUE.items() if m != "opened"})
+        base = base.filter(~F.col("loose"))
+    base = base.filter(F.col(K.ROW_POS).isNotNull())
+    base = base.withColumn("complaints_opened", F.coalesce(F.col("complaints_opened"), F.lit(0.0)).cast("bigint"))
+    base = base.withColumn(K.TYPE, F.col("given_type")) if typed else base
+    return _master_rows(base, manifest, "source", rules, default_type, alias_map)
+
+
+def _master_rows(base: DataFrame, manifest: DataFrame, source_col: str, rules, default_type: str,
+                 alias_map: Mapping[str, str] | None) -> DataFrame:
+    """The master columns of assembled rows: firm type by rules unless given, period columns, rates as percentages."""
     typed = base if K.TYPE in base.columns else base.withColumn(K.TYPE, classify("firm_name", rules, default_type))
     periods = F.broadcast(manifest)  # one row for each report file
     with_period = typed.join(periods, typed[source_col] == manifest[K.LABEL]) if source_col != K.LABEL else typed.join(periods, K.LABEL)
@@ -387,14 +429,12 @@ def load_workbooks(
 ) -> DataFrame:
     """Manifest-driven scan of every period's sheets into assembled master rows.
 
-    The resolved sheet list is metadata (at most four sheets per period file) and is the only thing brought to the driver;
-    every sheet is then a lazy all-string CSV scan, harmonised and unpivoted, and all periods are unioned into one plan.
+    The resolved sheet list and the headers are metadata (at most four sheets per period file) and the only things brought to
+    the driver; all files are then one text scan (:mod:`riskloom.sources.ragged`), however their headers differ.
     """
     catalog = workbook_catalog(spark, base_dir, manifest)
     resolved = resolve_sheets(catalog.drop("path"), sheet_rules).join(
         catalog.select("source", "sheet_name", "path"), ["source", "sheet_name"]
     ).collect()
-    sheets: dict[str, dict[str, DataFrame]] = {r["source"]: {} for r in catalog.select("source").distinct().collect()}
-    for row in sorted(resolved, key=lambda r: (r["source"], r["measure"])):
-        sheets[row["source"]][row["measure"]] = read_sheet(spark, row["path"])
-    return assemble_measures(stack_sheets(sheets, categories), manifest_df(spark, manifest, pre_periods), alias_map=alias_map)
+    rows, loose, typed = read_sheets(spark, [Sheet(r["source"], r["measure"], r["path"]) for r in resolved], categories)
+    return assemble_stacked(rows, manifest_df(spark, manifest, pre_periods), loose, typed, alias_map=alias_map)
