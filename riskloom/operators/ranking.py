@@ -2,20 +2,12 @@
 
 ``Window.orderBy(...)`` with no ``partitionBy`` plans ``Exchange SinglePartition``: every row goes
 through one task. That is fine for a 30-row top-k, not for an entity table with billions of rows.
-The scalable form used here:
-
-1. ``repartitionByRange(n, order)`` — Spark samples the sort key and range-partitions, so the
-   partitions are contiguous, balanced slices of the total order (ties on the leading key are split
-   by the tie-break columns, so one hot value does not land in one task);
-2. ``sortWithinPartitions(order)`` and ``monotonically_increasing_id()`` give the row's position
-   inside its slice without another shuffle (the id is ``partition << 33 | row``);
-3. the numbered slices are written once as a Parquet table in the shared checkpoint folder: range
-   bounds are sampled from the input, and an input that comes out of a shuffle has no fixed row
-   order, so two evaluations could slice differently. After the write every use - and every retry
-   after an executor loss - sees the same slices, and the count pass reads two columns only;
-4. a count per slice (``n`` rows, a proven bound) is prefix-summed and broadcast back as offsets.
-
-Row number = offset + position. NTILE and quantiles are derived from it arithmetically.
+Row numbers here are running totals over slices (:mod:`riskloom.operators.slices`): boundary keys are
+collected once, a row's slice is a pure function of its key, and nothing is stored or range-partitioned.
+NTILE, RANK and quantiles are derived from the row number arithmetically.
+
+A table that is already distributed by an entity (the master, bucketed by firm) is not moved at all:
+:func:`row_number_by_entity` numbers the entities' row counts and counts rows within each entity.
 """
 
 from __future__ import annotations
@@ -26,14 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import idiv
-from riskloom.session import materialise
-
-_PID, _MID, _CNT, _OFF, _N, _FIRST = "__rl_pid", "__rl_mid", "__rl_cnt", "__rl_off", "__rl_n", "__rl_first"
+from riskloom.operators.slices import SortKey, running_total, sort_key
 
 
 def global_row_number(
     df: DataFrame,
-    order: Sequence[Column | str],
+    order: Sequence[Column | str | SortKey],
     name: str = "rn",
     total_name: str | None = None,
     num_partitions: int | None = None,
@@ -42,58 +32,49 @@ def global_row_number(
     """Add a 1-based row number in ``order`` (and optionally the row count), globally or within
     each ``partition_by`` group.
 
-    ``order`` should end in unique tie-break columns for a deterministic numbering. With
-    ``partition_by`` the range partitioning runs on (groups, order), so every group is a contiguous
-    run of slices; the offset table has at most ``slices + groups`` rows and is broadcast - use it
-    for a handful of groups (measures of a table), not for an entity-sized key.
+    ``order`` names columns (``"c"``, ``"c DESC"`` or ``F.desc("c")``) and should end in unique tie-breaks for a
+    deterministic numbering. With ``partition_by`` the groups lead the order and each group's first number is taken off;
+    the groups' row counts come to the driver - use it for a handful of groups (measures of a table), not for an
+    entity-sized key. ``num_partitions``: slices (default: spark.sql.shuffle.partitions). ``df`` is evaluated a few times,
+    so give it stored or cheap.
     """
     groups = list(partition_by)
-    keys = [F.asc(g) for g in groups] + list(order)
-    # without an explicit count the slices follow spark.sql.shuffle.partitions and AQE may merge
-    # small neighbours - merged slices stay contiguous and in order, so the numbering holds
-    ranged = df.repartitionByRange(int(num_partitions), *keys) if num_partitions else df.repartitionByRange(*keys)
-    ordered = (
-        ranged
-        .sortWithinPartitions(*keys)
-        .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_MID, F.monotonically_increasing_id())
-    )
-    ordered = materialise(ordered, "ranked")
-    counts = ordered.groupBy(*groups, _PID).agg(F.count(F.lit(1)).alias(_CNT), F.min(_MID).alias(_FIRST))
-    prior = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    offsets = counts.select(
-        *groups,
-        _PID,
-        _FIRST,
-        F.coalesce(F.sum(_CNT).over(prior), F.lit(0)).alias(_OFF),
-        F.sum(_CNT).over(everything).alias(_N),
-    )
-    # position inside the (group, slice) run: ids are consecutive within a slice
-    local = F.col(_MID) - F.col(_FIRST) + F.lit(1)
-    out = ordered.join(F.broadcast(offsets), [*groups, _PID]).withColumn(name, F.col(_OFF) + local)
-    if total_name:
-        out = out.withColumn(total_name, F.col(_N))
-    return out.drop(_PID, _MID, _OFF, _N, _FIRST)
-
-
-def row_number_by_keys(
+    out, total = running_total(df, [*groups, *order], name=name, slices=num_partitions)
+    if not groups:
+        return out.withColumn(total_name, F.lit(total).cast("bigint")) if total_name else out
+    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).orderBy(*groups).collect()  # a handful
+    first, size, before = F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), total
+    for row in reversed(counts):
+        before -= row["n"]
+        mine = F.lit(True)
+        for g in groups:
+            mine = mine & F.col(g).eqNullSafe(F.lit(row[g]))
+        first = F.when(mine, F.lit(before)).otherwise(first)
+        size = F.when(mine, F.lit(row["n"])).otherwise(size)
+    out = out.withColumn(name, F.col(name) - first)
+    return out.withColumn(total_name, size) if total_name else out
+
+
+def row_number_by_entity(
     df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
+    entity: str,
+    within: Sequence[Column | str],
+    counts: DataFrame,
     name: str = "rn",
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """``global_row_number`` for a wide table whose ``keys`` are unique and carry the whole order.
+    """Global row number in the order (``entity``, ``within``) for a table distributed by ``entity``.
 
-    Only the key columns are range-partitioned, stored and numbered; the ids are joined back on the
-    keys. The wide rows then cross the network once (the join) instead of being range-shuffled,
-    written and re-read.
+    ``counts`` holds (entity, n), the number of rows of each entity: a narrow table, whose running total gives each
+    entity's offset. Rows are numbered within their entity (bounded by the table's grain) where they are, and join the
+    offsets on the entity: the wide rows of a bucketed table never move.
     """
-    ids = global_row_number(df.select(*keys), order, name=name, num_partitions=num_partitions)
-    return df.join(ids, list(keys))
+    n = "__rl_n"
+    sums, _ = running_total(counts.select(F.col(entity), F.col("n").alias(n)), [entity], F.col(n), "__rl_to", num_partitions)
+    offsets = sums.select(F.col(entity).alias("__rl_of"), (F.col("__rl_to") - F.col(n)).alias("__rl_from"))
+    local = F.row_number().over(Window.partitionBy(entity).orderBy(*within))
+    numbered = df.withColumn(name, local).join(offsets, F.col(entity).eqNullSafe(F.col("__rl_of")))
+    return numbered.withColumn(name, (F.col(name) + F.col("__rl_from")).cast("bigint")).drop("__rl_of", "__rl_from")
 
 
 def ntile_of(rn: Column | str, total: Column | str, k: int) -> Column:
@@ -119,7 +100,7 @@ def ntile(
 ) -> DataFrame:
     """Add ``NTILE(k) OVER (ORDER BY order)`` as ``name`` (bigint)."""
     if not scalable:
-        return df.withColumn(name, F.ntile(k).over(Window.orderBy(*order)).cast("bigint"))
+        return df.withColumn(name, F.ntile(k).over(Window.orderBy(*[sort_key(o).column() for o in order])).cast("bigint"))
     rn, tot = f"__rl_rn_{name}", f"__rl_tot_{name}"
     out = global_row_number(df, order, name=rn, total_name=tot, num_partitions=num_partitions)
     return out.withColumn(name, ntile_of(rn, tot, k)).drop(rn, tot)
@@ -138,7 +119,7 @@ def global_rank(
     Rank = smallest global row number among rows with equal keys; the per-key minimum is a
     partial-aggregated group-by (skew safe) joined back on the keys.
     """
-    order = [F.desc(k) if descending else F.asc(k) for k in keys] + [F.asc(t) for t in tiebreak]
+    order = [SortKey(k, descending) for k in keys] + [SortKey(t) for t in tiebreak]
     rn = f"__rl_rn_{name}"
     numbered = global_row_number(df, order, name=rn, num_partitions=num_partitions)
     first = numbered.groupBy(*keys).agg(F.min(rn).alias(name))

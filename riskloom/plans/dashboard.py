@@ -99,7 +99,7 @@ def findings_table(fact: DataFrame, min_total: int = K.MIN_TOTAL) -> DataFrame:
     """The four key findings as one table ``(finding, ord, row_json)`` in report order.
 
     Regime summaries (one row per regime) and the top-10 list are numbered with a plain window;
-    the danger list grows with the number of firms, so it gets the range-partitioned numbering.
+    the danger list grows with the number of firms, so it gets the numbering by slices.
     """
     parts = [
         ("industry_overview", Q.k1_overview(fact), [K.DUTY], True),

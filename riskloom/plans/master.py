@@ -2,9 +2,9 @@
 
 M1 = dedup on (firm, category, period) -> period-on-period changes per (firm, category) ->
 record_id in (firm, category, period order) -> flag and band. Dedup and the change window need the
-firm distribution the bucketed master already has; the record id comes from the range-partitioned
-global row number (no single-partition window over the fact). The change window is partitioned by
-(firm, category), whose size is bounded by the number of periods.
+firm distribution the bucketed master already has; the record id is the firm's offset (a running total of the firms' row
+counts) plus the row's number within its firm, so the wide rows are neither moved nor stored. The windows are partitioned
+by firm and by (firm, category), whose size is bounded by categories and periods.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from riskloom import contract as K
 from riskloom.functions.numeric import idiv, round_ratio
 from riskloom.functions.rules import flag_at_least, upheld_band
-from riskloom.operators.ranking import row_number_by_keys
+from riskloom.operators.ranking import row_number_by_entity
 from riskloom.operators.reshape import keep_first, pivot_measure
 from riskloom.operators.windows import add_changes
 
@@ -26,13 +26,14 @@ MASTER_OUT = [*K.MASTER_COLUMNS, K.UPHELD_T, K.CLOSED3_T]
 
 def master_changes(fact: DataFrame, dedup: bool = True) -> DataFrame:
     # dedup and the change window both run on the firm distribution the master already has
-    # (bucketed by firm: no shuffle); only the record id needs the range-partitioned numbering
+    # (bucketed by firm: no shuffle), and so does the record id's number within the firm
     # of rows with the same key the first one counts, by file (a period is a file) and row of its sheet
     order = [K.ORDER, *([K.ROW_POS] if K.ROW_POS in fact.columns else [])]
     df = keep_first(fact, [K.FIRM, K.CAT, K.LABEL], order) if dedup else fact
     w_prev = add_changes(df, (K.FIRM, K.CAT), K.ORDER, K.OPENED, K.UPHELD_T)
-    out = row_number_by_keys(w_prev, [K.FIRM, K.CAT, K.ORDER], [F.asc(K.FIRM), F.asc(K.CAT), F.asc(K.ORDER)],
-                             name="record_id")
+    rows = fact.select(K.FIRM, K.CAT, K.LABEL).distinct() if dedup else fact
+    counts = rows.groupBy(K.FIRM).agg(F.count(F.lit(1)).alias("n"))
+    out = row_number_by_entity(w_prev, K.FIRM, [K.CAT, K.ORDER], counts, name="record_id")
     return out.select(
         *[c for c in MASTER_OUT if c not in ("high_uphold_flag", "upheld_band")],
         flag_at_least(K.UPHELD, K.HIGH_UPHOLD_THRESHOLD).alias("high_uphold_flag"),

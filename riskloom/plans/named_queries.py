@@ -274,8 +274,7 @@ def with_quartiles(summary: DataFrame, scalable: bool = True) -> DataFrame:
     if not scalable:
         q = ntile(summary, 4, [F.asc("total_opened"), *FT], name="volume_quartile", scalable=False)
         return ntile(q, 4, [F.asc("avg_upheld_pct"), *FT], name="uphold_quartile", scalable=False)
-    # the range partitioning samples its input before shuffling it: store the (firm-sized)
-    # summary once instead of aggregating the fact twice
+    # numbering reads its input a few times: store the (firm-sized) summary once instead of aggregating the fact each time
     summary = materialise(summary, "firm-summary")
     of = {"total_opened": "volume_quartile", "avg_upheld_pct": "uphold_quartile"}
     keys = summary.select(*FT, *[F.col(c).cast("double").alias(c) for c in of]).unpivot(FT, list(of), "measure", "v")

@@ -5,7 +5,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranking import global_rank, global_row_number, ntile, ntile_of, rank_within_top
+from riskloom.operators.ranking import global_rank, global_row_number, ntile, ntile_of, rank_within_top, row_number_by_entity
+from riskloom.operators.slices import SortKey, sort_key
 
 
 def test_ntile_formula_matches_sql_for_small_n(spark):
@@ -74,3 +75,42 @@ def test_row_number_with_adaptive_slices(spark):
     exp = agg.withColumn("e", F.row_number().over(Window.orderBy("c", "g")))
     joined = got.join(exp.select("g", "e"), "g")
     assert joined.filter(F.col("rn") != F.col("e")).count() == 0 and joined.count() == 1201
+
+
+def test_row_number_by_entity_moves_counts_only(spark):
+    df = spark.range(0, 4000, 1, 5).select((F.col("id") * 7 % 331).cast("string").alias("firm"), ((F.col("id") * 7919) % 4001).alias("v"))
+    counts = df.groupBy("firm").agg(F.count("*").alias("n"))
+    got = row_number_by_entity(df, "firm", ["v"], counts, num_partitions=6)
+    exp = df.withColumn("e", F.row_number().over(Window.orderBy("firm", "v")))
+    assert got.join(exp, ["firm", "v"]).filter(F.col("rn") == F.col("e")).count() == 4000
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, "a", "B", "é", "zz", ""]), st.sampled_from([None, -1.5, 0.0, 2.0]), st.integers(0, 10**6)),
+                max_size=50, unique_by=lambda t: t[2]), st.integers(1, 40))
+def test_slices_are_in_order_with_nulls_and_directions(spark, rows, slices):
+    df = spark.createDataFrame(rows, "s string, x double, id int").repartition(3)
+    order = ["s DESC", "x", SortKey("id", True)]
+    got = global_row_number(df, order, total_name="n", num_partitions=slices).collect()
+    exp = df.withColumn("e", F.row_number().over(Window.orderBy(F.desc("s"), F.asc("x"), F.desc("id")))).collect()
+    assert {r.id: r.rn for r in got} == {r.id: r.e for r in exp}
+    assert all(r.n == len(rows) for r in got)
+
+
+def test_slices_are_balanced_and_nothing_is_stored(spark):
+    from riskloom import session
+    from riskloom.operators.slices import boundaries, slice_of
+
+    df = spark.range(0, 50_000, 1, 8).select((F.col("id") % 3).alias("hot"), F.xxhash64("id").alias("u"), "id")
+    keys = [sort_key("hot"), sort_key("u"), sort_key("id")]
+    bounds = boundaries(df, keys, 20)
+    sizes = [r["count"] for r in df.groupBy(slice_of(df, keys, bounds).alias("s")).count().collect()]
+    assert len(bounds) == 19 and len(sizes) == 20 and max(sizes) < 2 * 2500
+    stored = len(session._STORED)
+    plan = global_row_number(df, ["hot", "u", "id"])._jdf.queryExecution().executedPlan().toString()
+    assert len(session._STORED) == stored and "rangepartitioning" not in plan and "SinglePartition" not in plan
+
+
+def test_sort_keys():
+    assert sort_key(F.desc("c")) == sort_key("c DESC") == SortKey("c", True)
+    assert sort_key(F.asc("c")) == sort_key("c") == sort_key(F.col("c")) == SortKey("c")
