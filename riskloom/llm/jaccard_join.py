@@ -15,8 +15,8 @@ Frequent keys (empty parts, passages that many texts share, large groups of near
 
 * Star rounds: each key has one pivot (the member that shares most keys with others); every member meets only its pivot. That is linear, and
   joins large groups of near copies at once. Components are formed of the verified links.
-* Before that, sets that share too few keys with anybody are dropped (a linked set shares more than s), and pairs are compared by the
-  number of words they agree in.
+* Before that, sets that share too few keys with anybody are dropped (a linked set shares more than s). Pairs are only made if the words
+  they were seen to agree in, counted while pairing, and those not looked at may add up to more than s.
 * Rest: members of one key that still are in different components are paired if the key has at most ``FREQUENT`` members.
 * Families: sets with more than s frequent keys in a home are connected by them into families, whose blocks are compared by
   matrix products. Any other set agrees with its partners in a word that is not frequent, so no link is lost.
@@ -147,25 +147,20 @@ def slack_of(home, percent: int):
 
 
 def shared_keys(rows: DataFrame, percent: int, passes: int = 2) -> DataFrame:
-    """(key, id, members) of keys with several members, without sets that share too few keys to be linked at all.
+    """(key, id, members, empty, common) of keys with several members, without sets that share too few keys to be linked at all.
 
     A linked set shares more keys of its home than the home's slack. Dropping the others makes further keys lonely, so the two
-    conditions are applied in turn; each pass works on what the one before left.
-    """
+    conditions are applied in turn; each pass works on what the one before left. ``empty`` and ``common``: how many keys of empty parts,
+    and of empty parts or frequent ones, the set has in the key's home."""
+    own = Window.partitionBy("id", "home")
     for _ in range(passes):
         rows = rows.select("key", "id").withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key")))
         rows = rows.where(F.col("members") > 1).withColumn("home", home_of())
-        rows = rows.withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("id", "home")))
+        empty = F.count(F.when(~is_full(), 1)).over(own)
+        common = F.count(F.when(is_frequent(), 1)).over(own)
+        rows = rows.withColumns({"mine": F.count(F.lit(1)).over(own), "empty": empty, "common": common})
         rows = rows.where(F.col("mine") > slack_of(F.col("home"), percent))
-    return rows.select("key", "id", "members")
-
-
-def near_enough(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches agree in more words of a home than its slack: the Hamming bound, before sets are compared."""
-    of_a = pairs.join(shared.select(F.col("id").alias("a"), "key"), "a")
-    both = of_a.join(shared.select(F.col("id").alias("b"), "key"), ["b", "key"])
-    agreed = both.groupBy("a", "b", home_of().alias("home")).agg(F.count(F.lit(1)).alias("n"))
-    return agreed.where(F.col("n") > slack_of(F.col("home"), percent)).select("a", "b").distinct()
+    return rows.select("key", "id", "members", "empty", "common")
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -185,23 +180,58 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return materialise(both.where((100 + percent) * F.col("common") >= percent * F.col("total")).select("a", "b"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, for each id in ``links``; least neighbours and pointer jumping until
-    nothing changes. Each round is a grouped minimum; rounds grow with the logarithm of the longest path."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = materialise(both, "edges")
-    labels = materialise(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"), "labels")
+def rooted(parents: DataFrame) -> DataFrame:
+    """(id, p) with every p a root: pointers are followed by doubling, so a chain of n takes log2(n) steps."""
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        least = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("component", "near").alias("step"), "component")
-        jump = labels.select(F.col("id").alias("step"), F.col("component").alias("jump"))
-        moved = materialise(
-            least.join(jump, "step", "left").select("id", F.least("step", "jump").alias("new"), "component"), "labels"
-        )
-        changed = moved.where(F.col("new") != F.col("component")).limit(1).count()
-        labels = moved.select("id", F.col("new").alias("component"))
-        if not changed:
-            return labels
+        inner = parents.where(F.col("p") != F.col("id")).select(F.col("id").alias("p"), F.col("p").alias("pp"))
+        moved = parents.join(inner, "p", "left").select("id", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved"))
+        moved = materialise(moved, "parents")
+        if moved.where("moved").isEmpty():
+            return parents
+        parents = moved.select("id", "p")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): the smallest id reachable, for each id in ``links``.
+
+    Each round hooks every node to its least neighbour, follows the pointers to their roots and contracts the edges; what lies within
+    one component is gone, so a round's rows are a fraction of the one before, and no node ever meets all its neighbours at once."""
+    edges = links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges, labels = materialise(edges.distinct(), "edges"), None
+    while labels is None or not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
+        parents = rooted(materialise(least.withColumnRenamed("a", "id"), "parents"))
+        if labels is None:
+            labels = parents.select("id", F.col("p").alias("component"))
+        else:
+            labels = materialise(relabelled(labels, parents), "labels")
+        for end in ("a", "b"):
+            edges = edges.join(parents.select(F.col("id").alias(end), F.col("p").alias(f"{end}_root")), end)
+        edges = edges.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+        edges = materialise(edges.where(F.col("a") != F.col("b")).distinct(), "edges")
+    return labels
+
+
+def relabelled(labels: DataFrame, parents: DataFrame) -> DataFrame:
+    """``labels`` with the components that have a parent replaced by it."""
+    up = parents.select(F.col("id").alias("component"), F.col("p").alias("up"))
+    return labels.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+
+
+def more_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """:func:`components` of the links behind ``labels`` and of ``links``: only the components that the new links join are worked on."""
+    if labels is None:
+        return components(links)
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_of")), end, "left")
+        ends = ends.withColumn(f"{end}_of", F.coalesce(f"{end}_of", end))
+    new = components(ends.select(F.col("a_of").alias("a"), F.col("b_of").alias("b")))
+    known = labels.select(F.col("id").alias("old"))
+    fresh = new.join(known, F.col("id") == F.col("old"), "left_anti")
+    moved = relabelled(labels, new.withColumnRenamed("component", "p"))
+    return materialise(moved.union(fresh.select("id", "component")), "labels")
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -215,9 +245,16 @@ def is_full(key: str = "key"):
     return F.col(key).bitwiseAND(F.lit(FULL)) != 0
 
 
-def star_pairs(shared: DataFrame, scores: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(a, b): each id and the pivot that it meets in most keys, if that is in another component. A key whose members are
-    in one component has no part in it; the pivot of a later round comes from the members outside the first's component."""
+def is_frequent(key: str = "key"):
+    return (F.col("members") > FREQUENT) | ~is_full(key)
+
+
+def star_pairs(shared: DataFrame, scores: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): each id and the pivot that it meets in most keys of a home, if that is in another component and the two may agree in more
+    words of that home than its slack (words met, and empty parts).
+
+    A key whose members are in one component has no part in it; the pivot of a later round comes from the members outside the
+    first's component."""
     rows = labelled(shared.where(is_full()).join(scores, "id"), labels)
     rank = F.struct("score", (-F.col("id")).alias("low"), F.col("component").alias("of"))
     if labels is not None:  # of members with links and without, prefer those without: the others had their pivot
@@ -225,7 +262,8 @@ def star_pairs(shared: DataFrame, scores: DataFrame, labels: DataFrame | None) -
     tops = rows.groupBy("key").agg(F.max(rank).alias("top"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     tops = tops.where(F.col("c0") != F.col("c1")).select("key", (-F.col("top.low")).alias("pivot"), F.col("top.of").alias("of"))
     met = rows.join(tops, "key").where(F.col("component") != F.col("of"))
-    counts = met.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("keys"))
+    counts = met.groupBy("id", "pivot", home_of().alias("home")).agg(F.count(F.lit(1)).alias("keys"), F.max("empty").alias("empty"))
+    counts = counts.where(F.col("keys") + F.col("empty") > slack_of(F.col("home"), percent))
     best = counts.groupBy("id").agg(F.max(F.struct("keys", (-F.col("pivot")).alias("low"))).alias("top"))
     return best.select(F.col("id").alias("x"), (-F.col("top.low")).alias("y")).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
@@ -235,19 +273,24 @@ def star_pairs(shared: DataFrame, scores: DataFrame, labels: DataFrame | None) -
 def frequent_rows(shared: DataFrame, percent: int) -> DataFrame:
     """(key, id) of frequent keys (many members, or an empty part) of those sets that have more of them in the home than
     its slack. Any other set agrees with each of its partners in a word that is neither empty nor frequent."""
-    rows = shared.where((F.col("members") > FREQUENT) | ~is_full()).withColumn("home", home_of())
-    many = rows.groupBy("id", "home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slack_of(F.col("home"), percent))
-    return rows.join(many.select("id", "home"), ["id", "home"], "left_semi").select("key", "id")
+    return shared.where(is_frequent() & (F.col("common") > slack_of(home_of(), percent))).select("key", "id")
+
 
+def rest_pairs(shared: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b) of different components that may agree in more words of a home than its slack.
 
-def rest_pairs(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(a, b) of different components that share a key that is neither frequent nor of an empty part."""
-    rows = labelled(shared.where((F.col("members") <= FREQUENT) & is_full()).select("key", "id"), labels)
+    Keys that are neither frequent nor of an empty part are counted while pairing; of the others the two agree in no more than the
+    one with fewer has."""
+    rows = labelled(shared.where(~is_frequent()).select("key", "id", "common"), labels)
     mixed = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     rows = materialise(rows.join(mixed.where(F.col("c0") != F.col("c1")).select("key"), "key", "left_semi"), "rest")
-    left = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+    left, right = (
+        rows.select("key", F.col("id").alias(end), F.col("component").alias(f"c{end}"), F.col("common").alias(f"common_{end}")) for end in "ab"
+    )
+    met = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+    may = F.max(F.least("common_a", "common_b")).alias("may")
+    agreed = met.groupBy("a", "b", home_of().alias("home")).agg(F.count(F.lit(1)).alias("n"), may)
+    return agreed.where(F.col("n") + F.col("may") > slack_of(F.col("home"), percent)).select("a", "b").distinct()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -332,20 +375,19 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         single = by_ids(docs, materialise(firsts, "copies"), "left_anti")
     shared = materialise(shared_keys(key_rows(single, width, percent), percent), "shared-keys")
     scores = materialise(shared.where(is_full()).groupBy("id").agg(F.sum("members").alias("score")), "scores")
-    links, labels, tested = None, None, None
+    labels, tested = None, None
 
     def add(new: DataFrame) -> None:
-        """Take in stored links; components are formed anew only if there are any."""
-        nonlocal links, labels
+        """Take in stored links, if there are any."""
+        nonlocal labels
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            labels = components(links)
+            labels = more_components(labels, new)
 
     for step in range(STAR_ROUNDS + 1):
-        pairs = star_pairs(shared, scores, labels) if step < STAR_ROUNDS else rest_pairs(shared, labels)
+        pairs = star_pairs(shared, scores, labels, percent) if step < STAR_ROUNDS else rest_pairs(shared, labels, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(near_enough(pairs, shared, percent), "pairs")
+        pairs = materialise(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         if not pairs.isEmpty():
             add(verified(pairs, docs, width, percent))
@@ -374,8 +416,10 @@ def drop_similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     Rows without id stay."""
     found = materialise(similar_components(docs, width=width, percent=percent), "components")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
-    kept = by_ids(docs.withColumn("id", F.col("doc_id")), materialise(gone, "gone"), "left_anti").drop("id")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = materialise(gone, "gone")
+    small = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept

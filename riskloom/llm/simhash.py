@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import free_name, map_text
-from riskloom.llm.jaccard_join import components
+from riskloom.llm.jaccard_join import components, more_components
 from riskloom.session import materialise
 
 WIDTH, SEED = 4, 42
@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not left.isEmpty():
         more = materialise(pair_links(left).union(point_links(left)), "rest-links")
         if not more.isEmpty():
-            labels = components(links.union(more))
+            labels = more_components(labels, more)
     named = nodes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return known.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

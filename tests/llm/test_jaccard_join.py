@@ -83,12 +83,12 @@ def test_shingles_follow_ascii_words():
 
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "q r s t u v"), (3, "a b c d e f")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id bigint, text string, id int, component string")
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in J.similar_components(docs).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (3, 1)]
     kept = J.drop_similar(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
+    assert sorted((r.doc_id or 0, r.id) for r in kept.collect()) == [(0, 7), (1, 7)]
 
 
 def test_ids_with_several_texts_keep_all_links(spark, monkeypatch):
@@ -127,3 +127,38 @@ def test_random_groups_with_repeated_ids_match_all_pairs(spark):
 
 def test_empty_table(frame):
     assert J.similar_components(frame([])).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_chains_stars_and_clouds(spark, seed):
+    rng = random.Random(seed)
+    names = list(range(500))
+    rng.shuffle(names)
+    chain = [(k, k + 1) for k in range(1000, 1040)]
+    star = [(names[0], names[k]) for k in range(1, 80)]
+    cloud = [tuple(rng.sample(names[100:400], 2)) for _ in range(250)]
+    extra = [(1005, names[3]), (names[420], names[421]), (names[421], names[450]), (names[9], names[9])]
+
+    def frame_of(pairs):
+        return spark.createDataFrame(pairs, "a bigint, b bigint")
+
+    def plain(pairs):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            if a != b:
+                root[max(x, y)] = min(x, y)
+        ends = {x for a, b in pairs if a != b for x in (a, b)}
+        return {x: find(x) for x in ends}
+
+    first = J.components(frame_of(chain + star + cloud))
+    assert {r.id: r.component for r in first.collect()} == plain(chain + star + cloud)
+    both = J.more_components(first, frame_of(extra))
+    assert {r.id: r.component for r in both.collect()} == plain(chain + star + cloud + extra)
+    assert J.components(frame_of([(7, 7)])).collect() == []
