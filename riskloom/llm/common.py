@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: A per-text function gets at most so many texts at once, and no more bytes unless a single text is longer.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Rows that reach a Python worker at once.
+BATCH_ROWS = 2_000
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -41,10 +43,13 @@ def map_text(
     The new column's name never clashes with a kept one. Row order, repeated rows and null ids pass unchanged.
     """
     kept = df.columns if keep is None else keep
-    base = df.select(*kept)
+    bound_batches(df.sparkSession)
+    base = df.select(*[F.col(f"`{c}`") for c in kept])
     raw = free_name(base, "raw_text")
     out = free_name(base, out)
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias(raw))
+    own = text in kept and isinstance(df.schema[text].dataType, T.StringType)  # the text travels once if it is kept
+    source = base if own else df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias(raw))
+    at = list(kept).index(text) if own else len(kept)
     struct = T._parse_datatype_string(fields)
     schema = T.StructType([*base.schema.fields, T.StructField(out, struct, False)])
     names = [f.name for f in struct.fields]
@@ -56,23 +61,32 @@ def map_text(
         inner = target.field(out).type
         apply = None
         for batch in batches:
-            for part in slices(batch):
-                texts = [x or b"" for x in part.column(part.num_columns - 1).to_pylist()]
+            for part in slices(batch, at):
+                texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
                 apply = apply or make()
                 got = apply(texts)
                 new = pa.StructArray.from_arrays(
                     [pa.array(got[n], type=inner.field(n).type) for n in names], fields=list(inner)
                 )
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], new], names=target.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], new], names=target.names)
+                texts = got = new = None
+        pa.default_memory_pool().release_unused()  # workers that wait for other stages hold no batches
 
     return source.mapInArrow(run, schema), out
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch whose last column is binary, bounded by SLICE_ROWS and SLICE_BYTES."""
+def bound_batches(spark) -> None:
+    """Lower the session's rows in an Arrow batch to BATCH_ROWS, if they are more: a batch of texts lies in memory on both sides."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch, bounded by SLICE_ROWS and by SLICE_BYTES of a column of texts."""
     import pyarrow.compute as pc
 
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     at = 0
     while at < batch.num_rows:
