@@ -3,82 +3,126 @@ winsorising and min-max scaling.
 
 Scale notes
 -----------
-* ``quantiles`` is exact and distributed: counts per distinct value are range-partitioned and summed up, and the two order
-  statistics around each position are read - no single buffer of all values, no driver collect, and a value that most
-  rows share is a single row. Result: a one-row DataFrame.
+* ``quantiles`` is exact and distributed: histograms of fixed size narrow the range around each wanted order statistic until
+  it holds one value - no buffer and no shuffle of all distinct values. Result: a one-row DataFrame.
 * ``box_summary`` derives everything from the counts per (group, value): one pass over the table.
 * The slope is computed from exact integer moments, so it does not depend on summation order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import clip, minmax_scale
 from riskloom.session import materialise
 
+#: Buckets of one bracket in one pass of the quantile selection.
+BUCKETS = 1 << 14
+
 
 def _pname(p: float) -> str:
     return ("p" + f"{p:.4f}".rstrip("0").rstrip(".").replace(".", "_")) if p not in (0, 1) else f"p{int(p)}"
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float], names: Sequence[str] | None = None,
-              num_partitions: int | None = None) -> DataFrame:
+              buckets: int = BUCKETS) -> DataFrame:
     """Exact linear-interpolation quantiles of ``column`` (nulls ignored) as a one-row DataFrame.
 
     For N values sorted ascending (0-based ``x[i]``), ``pos = (N - 1) * p``, ``lo = floor(pos)``,
     ``hi = ceil(pos)``: ``q = x[lo] + (x[hi] - x[lo]) * (pos - lo)``.
     """
     names = list(names) if names else [_pname(p) for p in probs]
-    wide = multi_quantiles(df, [column], probs, names, num_partitions)
+    wide = multi_quantiles(df, [column], probs, names, buckets)
     return wide.select(*[F.col(f"{column}__{nm}").alias(nm) for nm in names])
 
 
 def multi_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    names: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Exact quantiles of several columns in one ranking pass: one row, ``<column>__<name>``.
-
-    The columns are unpivoted into (measure, value) and reduced to a count per distinct value; these rows are range-partitioned,
-    and cumulative counts (slice totals plus a running sum inside the slice) place every value in the order.
+                    names: Sequence[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Exact quantiles of several columns: one row, ``<column>__<name>`` (null where a column has no value).
+
+    Selection by narrowing histograms. A bracket is a range of values that holds a wanted order statistic; at first these are a
+    column's negative values, zeros and positive values. Each pass deals the values of all open brackets into ``buckets`` buckets
+    that follow the order of values (linear, or logarithmic where a bracket spans more than a factor of two), counts them with
+    map-side aggregation, and keeps the buckets that hold wanted ranks, down to their true least and largest value; a
+    bracket with one value is closed. A shuffle carries at most ``buckets`` counts a bracket, however many distinct values there
+    are, and the driver gets one row for each wanted rank. Two or three passes are usual. Infinite values raise, NaN counts as null.
     """
     names = list(names) if names else [_pname(p) for p in probs]
-    long = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot([], list(columns), "__m", "__v")
-        .filter(F.col("__v").isNotNull())
+    spark = df.sparkSession
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    long = typed.unpivot([], list(columns), "__m", "__v").filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    long = materialise(long, "values")  # narrow rows that every pass reads
+    found = _order_statistics(long, lambda n: {i for p in probs for i in _places(n, p)[:2]}, buckets)
+    row = []
+    for c in columns:
+        n, at = found.get(c, (0, {}))
+        for p in probs:
+            lo, hi, share = _places(n, p)
+            row.append(at[lo] + (at[hi] - at[lo]) * share if n else None)
+    out = [f"{c}__{nm}" for c in columns for nm in names]
+    return spark.range(1).select(*[F.lit(v).cast("double").alias(c) for v, c in zip(row, out, strict=True)])
+
+
+def _places(n: int, p: float) -> tuple[int, int, float]:
+    """The two ranks (from 0) around a quantile of n values, and the share of the way between them."""
+    pos = max(n - 1, 0) * float(p)
+    return math.floor(pos), math.ceil(pos), pos - math.floor(pos)
+
+
+def _order_statistics(long: DataFrame, wanted, buckets: int) -> dict[str, tuple[int, dict[int, float]]]:
+    """Number of values and the values of the wanted ranks for each measure of ``long`` (``__m``, ``__v``)."""
+    sign = F.signum("__v").cast("int").alias("__sign")
+    stats = long.groupBy("__m", sign).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")
     )
-    # a value that many rows share is one row with a count from here on, so no slice can hold more than distinct values
-    counted = long.groupBy("__m", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    sliced = materialise(counted.repartitionByRange(*([num_partitions] if num_partitions else []), "__m", "__v")
-                         .withColumn("__slice", F.spark_partition_id()), "value-counts")
-    slices = sliced.groupBy("__m", "__slice").agg(F.sum("__c").alias("__s"))
-    before = Window.partitionBy("__m").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("__m", "__slice", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"),
-                            F.sum("__s").over(Window.partitionBy("__m")).alias("__n"))
-    inside = Window.partitionBy("__m", "__slice").orderBy("__v")
-    upto = F.col("__off") + F.sum("__c").over(inside)
-    ranked = sliced.join(F.broadcast(offsets), ["__m", "__slice"]).withColumn("__upto", upto)  # slices x measures rows
-    aggs: list[Column] = []
-    for p, nm in zip(probs, names):
-        pos = (F.col("__n") - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        aggs.append(F.min(F.when(F.col("__upto") > lo, F.col("__v"))).alias(f"__lo_{nm}"))
-        aggs.append(F.min(F.when(F.col("__upto") > hi, F.col("__v"))).alias(f"__hi_{nm}"))
-        aggs.append(F.max(pos - lo).alias(f"__fr_{nm}"))
-    per_measure = ranked.groupBy("__m").agg(*aggs).select(
-        "__m",
-        *[
-            (F.col(f"__lo_{nm}") + (F.col(f"__hi_{nm}") - F.col(f"__lo_{nm}")) * F.col(f"__fr_{nm}")).alias(nm)
-            for nm in names
-        ],
+    signs: dict[str, list] = {}
+    for r in sorted(stats.collect(), key=lambda r: (r["__m"], r["__sign"])):  # at most three rows a measure
+        if math.isinf(r.lo) or math.isinf(r.hi):
+            raise ValueError(f"{r['__m']} holds an infinite value")
+        signs.setdefault(r["__m"], []).append(r)
+    found, open_ = {}, []
+    for m, parts in signs.items():
+        total = sum(r.n for r in parts)
+        found[m], below = (total, {}), 0
+        for r in parts:
+            open_.append((m, r.lo, r.hi, below, [i for i in wanted(total) if below <= i < below + r.n]))
+            below += r.n
+    while True:
+        for m, lo, hi, _, ranks in open_:
+            found[m][1].update({i: lo for i in ranks if lo == hi})
+        open_ = [b for b in open_ if b[4] and b[1] < b[2]]
+        if not open_:
+            return found
+        open_ = _narrower(long, open_, buckets)
+
+
+def _narrower(long: DataFrame, brackets: list, buckets: int) -> list:
+    """The buckets of the brackets (measure, lo, hi, values below, ranks) that hold a wanted rank, as brackets."""
+    spark = long.sparkSession
+    kind = "m string, lo double, hi double, below bigint, ranks array<bigint>"
+    known = spark.createDataFrame(brackets, kind).coalesce(1)  # a row for each wanted rank at most
+    met = long.join(F.broadcast(known), (F.col("__m") == F.col("m")) & F.col("__v").between(F.col("lo"), F.col("hi")))
+    small, large = F.least(F.abs("lo"), F.abs("hi")), F.greatest(F.abs("lo"), F.abs("hi"))
+    size = F.abs("__v")
+    share = F.when(large / F.lit(2.0) > small, (F.log(size) - F.log(small)) / (F.log(large) - F.log(small))).otherwise(
+        (size - small) / (large - small)
     )
-    # one row per measure -> one row with a column per (measure, quantile)
-    return per_measure.agg(
-        *[F.max(F.when(F.col("__m") == c, F.col(nm))).alias(f"{c}__{nm}") for c in columns for nm in names]
+    up = F.least(F.floor(share * F.lit(buckets)), F.lit(buckets - 1))
+    bucket = F.when(F.col("__v") < 0, F.lit(buckets - 1) - up).otherwise(up)
+    counted = met.groupBy("m", F.col("below").alias("base"), bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"), F.max("__v").alias("most")
     )
+    # at most ``buckets`` rows a bracket
+    before = Window.partitionBy("m", "base").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranks = known.select("m", F.col("below").alias("base"), "ranks")
+    inside = F.filter("ranks", lambda i: (i >= F.col("start")) & (i < F.col("start") + F.col("n")))
+    hit = placed.join(F.broadcast(ranks), ["m", "base"]).withColumn("ranks", inside).filter(F.size("ranks") > 0)
+    return [(r.m, r.least, r.most, r.start, list(r.ranks)) for r in hit.collect()]
 
 
 def box_summary(df: DataFrame, by: Sequence[str], value: str, whis: float = 1.5, scale: float = 1.0) -> DataFrame:

@@ -31,6 +31,21 @@ def _materialise(df: DataFrame, checkpoint: bool) -> DataFrame:
     return materialise(df, "risk-base") if checkpoint else df
 
 
+def firm_periods(fact: DataFrame) -> DataFrame:
+    """Per (firm, period, type): volume of all rows, and the rated rows' volume, count and sum of tenths.
+
+    Fixed-width buffers only: the type depends on the firm, so it is a grouping key here (a string in a buffer would make
+    the aggregate sort). A period's rows depend on that period only, so they can be stored and replaced period by period.
+    """
+    t = F.col(K.UPHELD_T)
+    return fact.groupBy(K.FIRM, K.ORDER, K.TYPE).agg(
+        F.sum(K.OPENED).alias("v_all"),
+        F.sum(F.when(t.isNotNull(), F.col(K.OPENED))).alias("v_rated"),
+        F.count(t).alias("n"),
+        F.sum(t).alias("sy"),
+    )
+
+
 def risk_base(fact: DataFrame, min_total: int = K.MIN_TOTAL, degenerate: str = "min_norm") -> DataFrame:
     """Per firm: volume and mean uphold rate over rated rows, periods, slope and growth.
 
@@ -39,17 +54,11 @@ def risk_base(fact: DataFrame, min_total: int = K.MIN_TOTAL, degenerate: str = "
     moments (``operators.stats.trend_slope`` semantics, including the degenerate rule), the growth
     from the first and last period volume of all rows (``growth_pct`` semantics). No join.
     """
-    t = F.col(K.UPHELD_T)
-    rated = t.isNotNull()
-    x = F.col(K.ORDER).cast("bigint")
-    # the type depends on the firm, so it is a grouping key here: the fact pass then has fixed-width buffers only and is a
-    # hash aggregate (a string in a buffer would make it sort); the few rows left are aggregated by firm below
-    per_type = fact.groupBy(K.FIRM, K.ORDER, K.TYPE).agg(
-        F.sum(K.OPENED).alias("v_all"),
-        F.sum(F.when(rated, F.col(K.OPENED))).alias("v_rated"),
-        F.count(t).alias("n"),
-        F.sum(t).alias("sy"),
-    )
+    return base_from_periods(firm_periods(fact), min_total, degenerate)
+
+
+def base_from_periods(per_type: DataFrame, min_total: int = K.MIN_TOTAL, degenerate: str = "min_norm") -> DataFrame:
+    """:func:`risk_base` from the rows of :func:`firm_periods`."""
     per_period = per_type.groupBy(K.FIRM, K.ORDER).agg(
         *[F.sum(c).alias(c) for c in ("v_all", "v_rated", "n", "sy")], F.min(K.TYPE).alias(K.TYPE)
     )
@@ -105,7 +114,12 @@ def risk_index(
 
 
 def prepared_base(fact: DataFrame, min_total: int = K.MIN_TOTAL) -> DataFrame:
-    return risk_base(fact, min_total).withColumn("total_opened", F.col("total_opened").cast("double"))
+    return prepared_from_periods(firm_periods(fact), min_total)
+
+
+def prepared_from_periods(per_type: DataFrame, min_total: int = K.MIN_TOTAL) -> DataFrame:
+    base = base_from_periods(per_type, min_total)
+    return base.withColumn("total_opened", F.col("total_opened").cast("double"))
 
 
 def index_from_base(
