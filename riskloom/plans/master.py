@@ -27,18 +27,29 @@ MASTER_OUT = [*K.MASTER_COLUMNS, K.UPHELD_T, K.CLOSED3_T]
 def master_changes(fact: DataFrame, dedup: bool = True) -> DataFrame:
     # dedup and the change window both run on the firm distribution the master already has
     # (bucketed by firm: no shuffle), and so does the record id's number within the firm
-    # of rows with the same key the first one counts, by file (a period is a file) and row of its sheet
-    order = [K.ORDER, *([K.ROW_POS] if K.ROW_POS in fact.columns else [])]
-    df = keep_first(fact, [K.FIRM, K.CAT, K.LABEL], order) if dedup else fact
-    w_prev = add_changes(df, (K.FIRM, K.CAT), K.ORDER, K.OPENED, K.UPHELD_T)
+    df = first_rows(fact) if dedup else fact
     rows = fact.select(K.FIRM, K.CAT, K.LABEL).distinct() if dedup else fact
+    return numbered(change_rows(df), rows)
+
+
+def first_rows(fact: DataFrame) -> DataFrame:
+    """Of rows with the same firm, category and period the first one, by file (a period is a file) and row of its sheet."""
+    order = [K.ORDER, *([K.ROW_POS] if K.ROW_POS in fact.columns else [])]
+    return keep_first(fact, [K.FIRM, K.CAT, K.LABEL], order)
+
+
+def change_rows(df: DataFrame) -> DataFrame:
+    """The master's columns without the record id; changes are against the previous row of the firm and category."""
+    return add_changes(df, (K.FIRM, K.CAT), K.ORDER, K.OPENED, K.UPHELD_T).withColumns({
+        "high_uphold_flag": flag_at_least(K.UPHELD, K.HIGH_UPHOLD_THRESHOLD),
+        "upheld_band": upheld_band(K.UPHELD),
+    }).select(*[c for c in MASTER_OUT if c != "record_id"])
+
+
+def numbered(changes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``changes`` with record ids; ``rows`` has as many rows for each firm (it may be a cheaper plan)."""
     counts = rows.groupBy(K.FIRM).agg(F.count(F.lit(1)).alias("n"))
-    out = row_number_by_entity(w_prev, K.FIRM, [K.CAT, K.ORDER], counts, name="record_id")
-    return out.select(
-        *[c for c in MASTER_OUT if c not in ("high_uphold_flag", "upheld_band")],
-        flag_at_least(K.UPHELD, K.HIGH_UPHOLD_THRESHOLD).alias("high_uphold_flag"),
-        upheld_band(K.UPHELD).alias("upheld_band"),
-    ).select(*MASTER_OUT)
+    return row_number_by_entity(changes, K.FIRM, [K.CAT, K.ORDER], counts, name="record_id").select(*MASTER_OUT)
 
 
 def half_even_mean_tenths(x: str) -> F.Column:

@@ -73,14 +73,17 @@ register("k4_worsened", _on_fact(Q.k4_worsened), O.SQL["k4_worsened"])
 from riskloom.operators.reshape import keep_first  # noqa: E402
 from riskloom.functions.rules import classify  # noqa: E402
 from riskloom.plans import dashboard as D  # noqa: E402
+from riskloom.plans import incremental as IN  # noqa: E402
 from riskloom.plans import master as M  # noqa: E402
 from riskloom.plans import notebook as N  # noqa: E402
 from riskloom.plans import oracles_marts as OM  # noqa: E402
 from riskloom.plans import planted as PL  # noqa: E402
 from riskloom.plans import risk as R  # noqa: E402
+from riskloom.plans import sketches as SX  # noqa: E402
 from riskloom.operators import stats as ST  # noqa: E402
 from riskloom.sources import ragged as RG  # noqa: E402
 from riskloom.sources import sheets as SH  # noqa: E402
+from riskloom.sources import sinks as SK  # noqa: E402
 from riskloom.sources.tables import read_table  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -133,6 +136,47 @@ def _files_fact(fact):
     return SH.assemble_stacked(rows, SH.fact_manifest(fact), loose, typed).drop(K.ROW_POS)
 
 
+def _loads(fact):
+    """Batches of a load history that ends at the fact: all but one period with another one restated, then these two as they are."""
+    orders = sorted(r[0] for r in fact.select(K.ORDER).distinct().collect())  # one row a period
+    middle, last = orders[len(orders) // 2], orders[-1]
+    at = F.col(K.ORDER)
+    restated = F.when(at == last, F.col(K.OPENED) + 5).otherwise(F.col(K.OPENED))
+    return [fact.filter(at != middle).withColumn(K.OPENED, restated), fact.filter(at == middle), fact.filter(at == last)]
+
+
+def _master_incremental(fact):
+    path = stored_path(fact.sparkSession, "master-by-period")
+    for batch in _loads(fact):
+        IN.load_periods(fact.sparkSession, path, batch)
+    return IN.read_loaded(fact.sparkSession, path)
+
+
+def _risk_from_state(fact):
+    path = stored_path(fact.sparkSession, "firm-state")
+    for batch in _loads(fact):
+        IN.load_state(fact.sparkSession, path, batch)
+    return IN.risk_index_from_state(fact.sparkSession, path)
+
+
+def _sector_sketches(fact):
+    return SX.sketch_audit(materialise(SX.sketch_mart(fact), "sketch-mart"), fact, [K.TYPE])
+
+
+def _master_csv(fact):
+    spark, path = fact.sparkSession, stored_path(fact.sparkSession, "master-csv")
+    SK.write_tables({"master": M.master_changes(fact)}, path, fmt="csv")
+    return SK.read_master(spark, f"{path}/master", fmt="csv")
+
+
+def _committed_set(fact):
+    """The summary tables committed as a set of the first regime, then as a set of all rows; what a reader sees in the end."""
+    spark, path = fact.sparkSession, stored_path(fact.sparkSession, "summary-sets")
+    for rows in (fact.filter(F.col(K.DUTY) == K.PRE_LABEL), fact):
+        SK.commit_set({"category_summary": M.category_summary(rows), "period_totals": N.n1_period_totals(rows)}, path, spark)
+    return SK.read_set(spark, path)["category_summary"]
+
+
 _unpivot_sheets = _on_fact(_unpivot_fact, store=True)
 _assemble = _on_fact(_assemble_fact, store=True)
 
@@ -185,3 +229,8 @@ register("c2_rising_upheld_chronological", _on_fact(Q.c2_rising_upheld, mode="ch
          OM.SQL["c2_rising_upheld_chronological"])
 for _name in ("ingest_duplicates", "ingest_missing_group", "ingest_sheet_order", "name_rules"):
     register(_name, getattr(PL, _name), PL.SQL[_name])
+register("master_incremental", _on_fact(_master_incremental, store=True), OM.SQL["master_changes"])
+register("risk_index_state", _on_fact(_risk_from_state, store=True), OM.SQL["risk_index"])
+register("sector_sketches", _on_fact(_sector_sketches, store=True), OM.SQL["sector_sketches"])
+register("master_csv", _on_fact(_master_csv, store=True), OM.SQL["master_changes"])
+register("committed_set", _on_fact(_committed_set, store=True), OM.SQL["category_summary"])

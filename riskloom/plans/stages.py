@@ -16,15 +16,18 @@ from __future__ import annotations
 
 import argparse
 import os
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom import contract as K
 from riskloom.plans import dashboard as D
+from riskloom.plans import incremental as IN
 from riskloom.plans import master as M
 from riskloom.plans import named_queries as Q
 from riskloom.plans import notebook as N
 from riskloom.plans import risk as R
+from riskloom.session import materialise
 from riskloom.sources import sheets as SH
 from riskloom.sources import sinks as SK
 
@@ -77,6 +80,18 @@ def clean_stage(spark: SparkSession, sheets_dir: str, out_dir: str, manifest=K.P
     return master_path
 
 
+def load_stage(spark: SparkSession, batch: DataFrame, out_dir: str) -> dict[str, str]:
+    """Load the periods of ``batch`` (assembled rows) into the stored master and the state of firms, then commit the summary tables
+    and the risk index anew as one set; return its tables' folders."""
+    master, state = os.path.join(out_dir, "master_by_period"), os.path.join(out_dir, "firm_state")
+    batch = materialise(M.first_rows(batch), "batch")
+    IN.load_periods(spark, master, batch)
+    IN.load_state(spark, state, batch)
+    tables = {k: v for k, v in summary_tables(IN.read_stored(spark, master)).items() if k != "all_data"}
+    SK.commit_set(tables | {"risk_index": lambda: IN.risk_index_from_state(spark, state)}, out_dir, spark)
+    return SK.current_set(spark, out_dir)
+
+
 def read_stage_master(spark: SparkSession, master_path: str | None = None, table: str | None = None, fmt: str = "parquet") -> DataFrame:
     """The master that a stage reads: the (bucketed) catalog table if one is named, else the Parquet or CSV folder."""
     if table:
@@ -88,13 +103,11 @@ def read_stage_master(spark: SparkSession, master_path: str | None = None, table
 
 def sql_stage(spark: SparkSession, master_path: str | None, out_dir: str, min_first: int = K.MIN_FIRST_VOLUME,
               table: str | None = None, fmt: str = "parquet") -> list[str]:
+    """The named analyses and the findings; one that fails does not stop the others (``sinks.run_queries``)."""
     master = SK.register_view(read_stage_master(spark, master_path, table, fmt))
-    written = []
-    for name, fn in SQL_OUTPUTS.items():
-        df = fn(master, min_first=min_first) if fn is Q.a3_fastest_growing else fn(master)
-        written.append(SK.run_query(name, df, out_dir))
-    written.append(SK.run_query("findings_table", D.findings_table(master), out_dir))
-    return written
+    kw = {Q.a3_fastest_growing: {"min_first": min_first}}
+    outputs = {name: partial(fn, master, **kw.get(fn, {})) for name, fn in SQL_OUTPUTS.items()}
+    return SK.run_queries(outputs | {"findings_table": partial(D.findings_table, master)}, out_dir)
 
 
 def notebook_stage(spark: SparkSession, master_path: str | None, out_dir: str, alias_map=K.NAME_ALIASES,
@@ -102,22 +115,22 @@ def notebook_stage(spark: SparkSession, master_path: str | None, out_dir: str, a
     from riskloom.functions.rules import unify_names
 
     df = unify_names(read_stage_master(spark, master_path, table, fmt), alias_map)
-    risk = R.risk_index(df)
+    risk = cache(lambda: R.risk_index(df))
     outputs = {
-        "period_totals": N.n1_period_totals(df),
-        "top15_firms": N.n2_top_firms(df),
-        "box_summary_by_type": N.n3_box_by_type(df),
-        "category_pre_post_matrix": N.n4_category_pre_post(df),
-        "upheld_heat_matrix": N.n5_heat_matrix(df),
-        "median_quadrant": N.n6_median_quadrant(df),
-        "group_trajectory": N.n7_group_trajectory(df, K.GROUP_SUBSIDIARIES),
-        "risk_top20": R.risk_table(risk, 20),
-        "type_pre_post": N.n9_type_pre_post(df),
-        "category_stack": N.n10_category_stack(df, stack_order),
-        "risk_top15": R.risk_table(risk, 15),
-        "summary_totals": N.n11_summary(df, risk=risk),
+        "period_totals": lambda: N.n1_period_totals(df),
+        "top15_firms": lambda: N.n2_top_firms(df),
+        "box_summary_by_type": lambda: N.n3_box_by_type(df),
+        "category_pre_post_matrix": lambda: N.n4_category_pre_post(df),
+        "upheld_heat_matrix": lambda: N.n5_heat_matrix(df),
+        "median_quadrant": lambda: N.n6_median_quadrant(df),
+        "group_trajectory": lambda: N.n7_group_trajectory(df, K.GROUP_SUBSIDIARIES),
+        "risk_top20": lambda: R.risk_table(risk(), 20),
+        "type_pre_post": lambda: N.n9_type_pre_post(df),
+        "category_stack": lambda: N.n10_category_stack(df, stack_order),
+        "risk_top15": lambda: R.risk_table(risk(), 15),
+        "summary_totals": lambda: N.n11_summary(df, risk=risk()),
     }
-    return [SK.run_query(name, out, out_dir) for name, out in outputs.items()]
+    return SK.run_queries(outputs, out_dir)
 
 
 def main(argv=None) -> None:

@@ -8,7 +8,8 @@ and windows - nearly every query - find their input already clustered and skip t
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,3 +94,96 @@ def run_query(name: str, df: DataFrame, out_dir: str, fmt: str = "csv") -> str:
     path = os.path.join(out_dir, name)
     df.write.mode("overwrite").format(fmt).option("header", True).save(path)
     return path
+
+
+# ------------------------------------------------------------------------------------------ sets of tables, committed together
+
+
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def commit_set(tables: Mapping[str, DataFrame | Callable[[], DataFrame]], base: str, spark: SparkSession, fmt: str = "parquet") -> str:
+    """Write several tables so that readers see all of them or none; return the folder of the new set.
+
+    Every table goes to a new folder ``<base>/sets/<id>``. When all are written, the pointer ``<base>/CURRENT`` is replaced by one
+    rename. Any failure leaves the pointer on the old set, and a reader that has opened a set keeps its files. A value may be a
+    function that makes its table, so a plan can be built when the tables before it are written.
+    """
+    name = uuid.uuid4().hex
+    for table, df in tables.items():
+        made = df() if callable(df) else df
+        made.write.mode("error").format(fmt).option("header", True).save(os.path.join(base, "sets", name, table))
+    _point(spark, base, name, fmt, list(tables))
+    return os.path.join(base, "sets", name)
+
+
+def _point(spark: SparkSession, base: str, name: str, fmt: str, tables: list[str]) -> None:
+    """Replace the pointer file: written beside it, then renamed over it (atomic on HDFS and local file systems)."""
+    jvm = spark.sparkContext._jvm
+    new, fs = _path(spark, os.path.join(base, f".CURRENT-{name}"))
+    out = fs.create(new, True)
+    out.write(bytearray("\n".join([name, fmt, *tables]).encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(new), fs.makeQualified(_path(spark, os.path.join(base, "CURRENT"))[0]), options)
+
+
+def current_set(spark: SparkSession, base: str) -> dict[str, str]:
+    """Table name -> folder of the committed set (empty: none was committed yet)."""
+    if not table_exists(spark, os.path.join(base, "CURRENT")):
+        return {}
+    name, _, *tables = _pointer(spark, base)
+    return {t: os.path.join(base, "sets", name, t) for t in tables}
+
+
+def _pointer(spark: SparkSession, base: str) -> list[str]:
+    return [r.value for r in spark.read.text(os.path.join(base, "CURRENT"), wholetext=True).collect()][0].split("\n")
+
+
+def read_set(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The tables of the committed set; a KeyError for a table it lacks is the caller's to see."""
+    paths = current_set(spark, base)
+    if not paths:
+        raise FileNotFoundError(f"no set was committed in {base}")
+    fmt = _pointer(spark, base)[1]
+    return {t: spark.read.format(fmt).option("header", True).load(p) for t, p in paths.items()}
+
+
+def drop_old_sets(spark: SparkSession, base: str) -> int:
+    """Delete all sets but the committed one (when no reader uses them any more); return their number."""
+    now = {os.path.basename(os.path.dirname(p)) for p in current_set(spark, base).values()}
+    p, fs = _path(spark, os.path.join(base, "sets"))
+    old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in now] if fs.exists(p) and now else []
+    return sum(fs.delete(o, True) for o in old)
+
+
+class OutputErrors(RuntimeError):
+    """Outputs of a stage that failed (``errors``: name -> exception); all others were written."""
+
+    def __init__(self, errors: dict[str, Exception]):
+        super().__init__("; ".join(f"{n}: {type(e).__name__}" for n, e in errors.items()))
+        self.errors = errors
+
+
+def run_queries(outputs: Mapping[str, Callable[[], DataFrame]], out_dir: str, fmt: str = "csv") -> list[str]:
+    """:func:`run_query` for each output. A failing one does not stop the others; all failures are raised together at the end."""
+    written, errors = [], {}
+    for name, make in outputs.items():
+        try:
+            written.append(run_query(name, make(), out_dir, fmt))
+        except Exception as e:  # noqa: BLE001 - raised below with its name
+            errors[name] = e
+    if errors:
+        raise OutputErrors(errors)
+    return written
