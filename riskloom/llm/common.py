@@ -104,8 +104,9 @@ def hash_share(column, share: float):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, text, label) of about ``bound`` labelled documents, chosen by a hash of their ids.
 
-    Rows without id or label are left out; of an id with several labels the largest counts. The chosen labels are
-    at most a little over ``bound`` narrow rows, so they are broadcast; the documents are scanned once, not shuffled.
+    Rows without id or label are left out; of an id with several labels the largest counts, and of rows that repeat an id the least
+    text (an aggregate that is reduced before its shuffle), so the bound on ids is one on rows. The chosen labels are
+    at most a little over ``bound`` narrow rows, so they are broadcast; of the documents only the chosen ones are shuffled.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(doc_id, label)
     n = known.count()
@@ -113,7 +114,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
         known = known.where(hash_share(doc_id, bound / n))
     known = known.groupBy(doc_id).agg(F.max(label).cast("int").alias("known_label"))
     rows = docs.select(F.col(doc_id), F.col("text")).join(F.broadcast(known), doc_id)
-    return rows.select(doc_id, "text", F.col("known_label").alias("label"))
+    first = F.min(F.coalesce("text", F.lit(""))).alias("text")
+    return rows.groupBy(doc_id, F.col("known_label").alias("label")).agg(first).select(doc_id, "text", "label")
 
 
 # -- words and hashes on bytes ---------------------------------------------------------------------------------------

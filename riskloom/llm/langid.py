@@ -189,23 +189,24 @@ def learn_references(labelled: DataFrame, doc_id: str = "doc_id", text: str = "t
     """Normalised reference text per language from at most SAMPLE_DOCS excerpts of SAMPLE_CHARS characters each.
 
     The rows are chosen by a hash of id and language (a ranked window whose limit Spark applies before its shuffle, on
-    narrow rows), and excerpts start at a hashed place. The driver gets at most SAMPLE_DOCS * SAMPLE_CHARS characters
-    for each language.
+    narrow rows), and excerpts start at a hashed place; of rows that repeat an id and language, the least excerpt counts. The
+    driver gets at most SAMPLE_DOCS * SAMPLE_CHARS characters for each language.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+    rows = labelled.select(*[F.col(f"`{c}`").alias(n) for c, n in ((doc_id, "id"), (text, "text"), (lang, "lang"))])
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
     by = Window.partitionBy("sample_lang").orderBy(F.xxhash64("sample_id"), "sample_id")
     chosen = (
-        rows.select(F.col(doc_id).alias("sample_id"), F.col(lang).alias("sample_lang"))
+        rows.select(F.col("id").alias("sample_id"), F.col("lang").alias("sample_lang"))
         .withColumn("place", F.row_number().over(by))
         .where(F.col("place") <= SAMPLE_DOCS)
         .select("sample_id", "sample_lang")
         .distinct()
     )
-    room = F.greatest(F.lit(1), F.length(text) - F.lit(SAMPLE_CHARS - 1))
-    excerpt = F.substr(F.col(text), (F.lit(1) + F.pmod(F.xxhash64(doc_id), room)).cast("int"), F.lit(SAMPLE_CHARS))
-    match = (F.col(doc_id) == F.col("sample_id")) & (F.col(lang) == F.col("sample_lang"))
+    room = F.greatest(F.lit(1), F.length("text") - F.lit(SAMPLE_CHARS - 1))
+    excerpt = F.substr(F.col("text"), (F.lit(1) + F.pmod(F.xxhash64("id"), room)).cast("int"), F.lit(SAMPLE_CHARS))
+    match = (F.col("id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))
     # at most SAMPLE_DOCS narrow rows for each language
-    got = rows.join(F.broadcast(chosen), match).select("sample_lang", "sample_id", excerpt.alias("excerpt"))
+    got = rows.join(F.broadcast(chosen), match).groupBy("sample_lang", "sample_id").agg(F.min(excerpt).alias("excerpt"))
     parts: dict[str, list[str]] = {}
     for r in sorted(got.collect(), key=lambda r: (r.sample_lang, r.sample_id, r.excerpt)):
         points = normalise(r.excerpt)

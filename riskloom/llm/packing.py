@@ -48,9 +48,11 @@ class ChunkTokenizer:
 
     Chunks that are not in the cache lose punctuation behind an ASCII letter (the pre-tokenizer cuts there too), and words of
     letters only, which are one pre-token each, are encoded in one call whose ids are dealt out by pre-token. The first
-    CACHE_CHUNKS chunks and words seen stay cached, later ones for one slice of texts only.
+    CACHE_CHUNKS chunks and their parts stay cached, later ones for one slice of texts only.
     """
 
+    MARKS = b".,;:!?%#$&*|"
+
     def __init__(self, path: str):
         import os
 
@@ -58,13 +60,13 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def each(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text by a call for itself."""
         plain = [t.decode("utf-8", "replace") for t in texts]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(plain, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)  # without character offsets
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def together(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters only, by one call for all."""
@@ -74,35 +76,37 @@ class ChunkTokenizer:
         ends = np.flatnonzero(np.diff(owner, append=owner[-1] + 1)) + 1
         if len(ends) != len(words):  # lower-casing made a letter into several characters
             return self.each(words)
-        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        ends = (4 * ends).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that are not in the cache."""
-        cut = []
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that are not in the cache, and of the parts of those that are cut."""
+        known, cut = self.known, []
         for c in chunks:
-            core = c.rstrip(b".,;:!?%#$&*|")
-            cut.append((core, c[len(core) :]) if core != c and 97 <= (core or b"0")[-1] <= 122 else (c, b""))
-        new = list({w for pair in cut for w in pair if w and w not in self.words})
-        letters = [w.decode("utf-8", "replace").isalpha() for w in new]
-        got: dict[bytes, bytes] = {b"": b""}
-        for encode, want in ((self.together, True), (self.each, False)):
-            part = [w for w, alpha in zip(new, letters, strict=True) if alpha is want]
+            core = c.rstrip(self.MARKS)
+            if len(core) < len(c) and core and 97 <= core[-1] <= 122:
+                cut.append((c, core, c[len(core) :]))
+        new = chunks.difference(c for c, _, _ in cut)
+        new.update(w for _, *parts in cut for w in parts if w not in known)
+        letters, others = [], []
+        for w in new:
+            (letters if w.isalpha() or w.decode("utf-8", "replace").isalpha() else others).append(w)
+        got: dict[bytes, bytes] = {}
+        for encode, part in ((self.together, letters), (self.each, others)):
             for at in range(0, len(part), 20_000):
-                got.update(zip(part[at : at + 20_000], encode(part[at : at + 20_000]), strict=True))
-        ids = lambda w: got[w] if w in got else self.words[w]
-        out = {c: ids(core) + ids(tail) for c, (core, tail) in zip(chunks, cut, strict=True)}
-        if len(self.words) < CACHE_CHUNKS:
-            del got[b""]
-            self.words.update(got)
-        return out
+                some = part[at : at + 20_000]
+                got.update(zip(some, encode(some), strict=True))
+        for c, core, tail in cut:
+            got[c] = (got[core] if core in got else known[core]) + (got[tail] if tail in got else known[tail])
+        return got
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         whole = [b"<|" in t for t in texts]
         chunks = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
-        known, fresh = self.chunks, {}
+        known, fresh = self.known, {}
         missing = set().union(*chunks).difference(known)
         if missing:
-            fresh = self.learn(list(missing))
+            fresh = self.learn(missing)
             known.update(fresh)
         out = [
             self.each([t])[0] if w else b"".join(map(known.__getitem__, cs))
@@ -237,8 +241,10 @@ def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with a positive `length` of at most ``capacity``) with sequence_id and offset."""
-    row, block, island, bin_no, done = (free_name(pieces, c) for c in ("row_no", "block_no", "island_no", "bin_no", "is_done"))
+    """``pieces`` (with a positive `length` of at most ``capacity``) with sequence_id and offset (columns of these names are replaced)."""
+    pieces = pieces.drop("sequence_id", "offset")
+    own = ("row_no", "block_no", "island_no", "bin_no", "is_done", "came_from")
+    row, block, island, bin_no, done, source = (free_name(pieces, c) for c in own)
     names = list(pieces.columns)
     stored = materialise(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     n = stored.count()
@@ -257,10 +263,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     first = materialise(dealt.groupBy(block).applyInPandas(solve, f"{types}, `{done}` boolean"), "packed")
 
     def island_round(pdf):
-        """Rows of one block and island: its own elite and those that came in (column `source`)."""
-        pdf = pdf.sort_values(["source", row], kind="stable")
-        groups = [g for _, g in pdf.groupby("source", sort=True)]
-        base = groups[0].drop(columns=["source"]).reset_index(drop=True)
+        """Rows of one block and island: its own elite and those that came in (column ``source``)."""
+        pdf = pdf.sort_values([source, row], kind="stable")
+        groups = [g for _, g in pdf.groupby(source, sort=True)]
+        base = groups[0].drop(columns=[source]).reset_index(drop=True)
         seed = int(base[block].iloc[0]) * 1000 + int(base[island].iloc[0])
         base[bin_no] = evolve(base["length"].to_numpy(), [g[bin_no].to_numpy() for g in groups], capacity, seed)
         return base
@@ -278,12 +284,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pdf[[*names, "sequence_id", "offset"]]
 
     state = first.where(~F.col(done)).drop(done)
-    state = state.withColumns({island: F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))), "source": F.lit(0)})
+    state = state.withColumns({island: F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))), source: F.lit(0)})
     for k in range(ROUNDS):
         state = state.groupBy(block, island).applyInPandas(island_round, f"{types}, `{island}` int")
         if k < ROUNDS - 1:  # each elite stays and goes on to the next island
             to = F.explode(F.array(F.col(island), F.pmod(F.col(island) + 1, F.lit(ISLANDS))))
-            state = state.withColumn("source", F.col(island)).withColumn(island, to)
+            state = state.withColumn(source, F.col(island)).withColumn(island, to)
     evolved = state.groupBy(block).applyInPandas(best_island, types)
     packed = first.where(F.col(done)).drop(done).unionByName(evolved)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)

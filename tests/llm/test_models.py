@@ -169,3 +169,22 @@ def test_languages_meet_at_their_common_length():
     parser = L.Parser({"long": prose(8000)[:32_000], "short": prose(1000)[:2_000]})
     langs, _ = parser.predict([prose(60) for _ in range(200)])
     assert 40 <= langs.count("short") <= 160
+
+
+def test_samples_are_bounded_by_rows(spark):
+    from riskloom.llm.common import labelled_sample
+
+    docs = [(1, f"repeated {i}", "aa") for i in range(3000)] + [(k, f"text number {k}", "aa") for k in range(2, 60)]
+    kinds = "doc_id bigint, text string, lang string"
+    rows = spark.createDataFrame(docs, kinds)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(1, 0)], "doc_id bigint, toxic int")
+    got = labelled_sample(rows, labels, "toxic", 1000).collect()
+    assert len(got) == 59 and next(r for r in got if r.doc_id == 1)[1:] == ("repeated 0", 1)
+
+
+def test_references_take_one_row_an_id_and_any_columns(spark):
+    docs = [(1, "same words here again and again", "aa", "x", 5, "e", 9)] * 500
+    docs += [(k, "other words in other places", "bb", "y", 6, "f", 9) for k in range(2, 30)]
+    kinds = "doc_id bigint, text string, lang string, sample_lang string, sample_id int, excerpt string, id int"
+    refs = L.learn_references(spark.createDataFrame(docs, kinds))
+    assert set(refs) == {"bb"} or refs["aa"].count("same words") == 1

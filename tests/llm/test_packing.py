@@ -65,3 +65,27 @@ def test_evolution_improves_on_best_fit():
 
 def test_empty_table(frame):
     assert P.pack_documents(frame([])).collect() == []
+
+
+def test_clashing_columns_pass_through(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_ITEMS", 100)
+    rng = np.random.default_rng(3)
+    rows = [(k, int(s), "s", 7, 8, k, "r") for k, s in enumerate(rng.integers(20, 80, 300))]
+    kinds = "doc_id bigint, length bigint, source string, offset int, sequence_id int, came_from bigint, row_no string"
+    got = P.pack(spark.createDataFrame(rows, kinds), 100).collect()
+    checked(got, 100)
+    assert sorted((r.doc_id, r.length, r.source, r.came_from, r.row_no) for r in got) == [(a, b, c, f, g) for a, b, c, _, _, f, g in rows]
+
+
+def test_a_full_cache_changes_no_id(frame, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.vocabulary_path())
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abéß."), 6)) + rng.choice(["", "!!", "ﬁ,", "İ."]) for _ in range(50)) for _ in range(40)]
+    for size in (0, 30, 10**6):
+        monkeypatch.setattr(P, "CACHE_CHUNKS", size)
+        cached = P.ChunkTokenizer(P.vocabulary_path())
+        for part in (texts[:20], texts[20:], texts[:5]):
+            want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+            assert cached.encode([t.encode() for t in part]) == want
