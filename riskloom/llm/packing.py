@@ -29,7 +29,7 @@ from riskloom.session import materialise
 
 CAPACITY, END_ID = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 BLOCK_ITEMS = 8192
 ISLANDS, ROUNDS, POPULATION, GENERATIONS = 3, 2, 6, 10
 
