@@ -6,6 +6,7 @@ join, evaluated inside whole-stage codegen next to the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,12 @@ def classify(
     Keywords are literal substrings (``contains``), never regular expressions, so rules such as
     ``'lv='`` or ``'marks & spencer financial'`` need no escaping. A null input lowers to the text
     ``'none'`` in the reference (``str(None)``) and therefore falls through to ``default``.
+
+    From ``PATTERN_FROM`` keywords on, one pattern finds the rules instead of a ``contains`` for each keyword (same result).
     """
     low = F.lower(_c(x).cast("string"))
+    if sum(len(keywords) for _, keywords in rules) >= PATTERN_FROM:
+        return _classify_by_pattern(low, rules, default)
     expr = None
     for label, keywords in rules:
         cond = None
@@ -41,6 +46,39 @@ def classify(
     return expr.otherwise(F.lit(default))
 
 
+#: Keywords from which :func:`classify` uses one pattern.
+PATTERN_FROM = 200
+
+
+def _classify_by_pattern(low: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
+    """The label of the first rule found, by one look-ahead alternation that is tried at every place of the text.
+
+    Alternatives are dealt by their first character, so few are tried at a place, and those with the same one stand in rule
+    order: the match at a place is the best rule that begins there, and the least rank of all places is the first rule.
+    """
+    ranks: dict[str, int] = {}
+    for rank, (_, keywords) in enumerate(rules):
+        for kw in keywords:
+            ranks.setdefault(kw.lower(), rank)
+    everywhere = ranks.pop("", len(rules))  # the empty keyword is in every text
+    by_first: dict[str, list[str]] = {}
+    for kw in ranks:
+        by_first.setdefault(kw[0], []).append(kw)
+    quote = lambda text: re.sub(r"([^\w\s])", r"\\\1", text)
+    branches = [
+        f"{quote(first)}(?:{'|'.join(quote(kw[1:]) for kw in words)})" for first, words in by_first.items()
+    ]
+    labels = F.array(*[F.lit(label) for label, _ in rules])
+    best = F.lit(everywhere)
+    if branches:
+        found = F.regexp_extract_all(low, F.lit(f"(?=({'|'.join(branches)}))"), F.lit(1))
+        known = F.create_map(*[F.lit(v) for pair in ranks.items() for v in pair])
+        at = F.array_min(F.transform(F.array_distinct(found), lambda kw: F.element_at(known, kw)))
+        best = F.least(at, best)  # least() skips a null: no keyword found
+    best = F.when(low.isNotNull(), best)
+    return F.coalesce(F.get(labels, best), F.lit(default))
+
+
 def band(
     x: ColumnOrName,
     cuts: Sequence[tuple[float, str]],

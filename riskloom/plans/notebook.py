@@ -166,22 +166,23 @@ def n10_category_stack(fact: DataFrame, cats: Sequence[str] | None = None) -> Da
 def n11_summary(fact: DataFrame, min_total: int = K.MIN_TOTAL, risk: DataFrame | None = None) -> DataFrame:
     pre = F.col(K.DUTY) == K.PRE_LABEL
     post = F.col(K.DUTY) == K.POST_LABEL
-    t = F.col(K.UPHELD_T)
-    # the fact is reduced to firm x period first: the distinct counts multiply these rows, not the fact's
-    per = fact.groupBy(K.FIRM, K.LABEL, K.DUTY).agg(F.sum(K.OPENED).alias("v"), F.sum(t).alias("s"), F.count(t).alias("c"))
+    # the fact is read once: it is reduced to firm x period, from which the totals and the firm base follow
+    per = R.firm_periods(fact, [K.LABEL, K.DUTY])
+    if risk is None:
+        per = materialise(per, "firm-periods")
     side = lambda on, c: F.sum(F.when(on, F.col(c)))
     totals = per.agg(
-        F.sum("v").alias("total_complaints"),
+        F.sum("v_all").alias("total_complaints"),
         F.countDistinct(K.FIRM).alias("firms"),
         F.countDistinct(K.LABEL).alias("periods"),
-        side(pre, "v").alias("pre_total"),
-        side(post, "v").alias("post_total"),
-        (side(pre, "s").cast("double") / (side(pre, "c") * 10)).alias("pre_upheld"),
-        (side(post, "s").cast("double") / (side(post, "c") * 10)).alias("post_upheld"),
+        side(pre, "v_all").alias("pre_total"),
+        side(post, "v_all").alias("post_total"),
+        (side(pre, "sy").cast("double") / (side(pre, "n") * 10)).alias("pre_upheld"),
+        (side(post, "sy").cast("double") / (side(post, "n") * 10)).alias("post_upheld"),
     )
     # danger count and top risk firm: one firm base, one ranking pass (bounded rows read back)
     if risk is None:
-        base = materialise(R.prepared_base(fact, min_total), "summary-base")
+        base = materialise(R.prepared_from_periods(per, min_total), "summary-base")
         extra = R.summary_from_base(base)
     else:
         quad = R.median_quadrant(fact, min_total, by=(K.FIRM,))

@@ -192,6 +192,11 @@ def _classify_parts(spark, sf_dir):
     return part.select("p_partkey", "p_name", classify("p_name", OM.PART_NAME_RULES, OM.PART_NAME_DEFAULT).alias("name_class"))
 
 
+def _classify_many(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    return part.select("p_partkey", classify("p_name", OM.MANY_RULES, "none").alias("name_class"))
+
+
 register("master_changes", _master, OM.SQL["master_changes"])
 register("pivot_volume", _with_labels(M.pivot_volume), OM.SQL["pivot_volume"])
 register("pivot_upheld", _with_labels(M.pivot_upheld), OM.SQL["pivot_upheld"])
@@ -210,7 +215,7 @@ register("risk_index", _on_fact(R.risk_index), OM.SQL["risk_index"])
 register("risk_top15", _on_fact(lambda f: R.risk_table(R.risk_index(f), 15)), OM.SQL["risk_top15"])
 register("type_pre_post", _on_fact(N.n9_type_pre_post), OM.SQL["type_pre_post"])
 register("category_stack", _on_fact(N.n10_category_stack, store=True, cats=OM.FIXTURE_STACK), OM.SQL["category_stack"])
-register("summary_totals", _on_fact(N.n11_summary, store=True), OM.SQL["summary_totals"])
+register("summary_totals", _on_fact(N.n11_summary), OM.SQL["summary_totals"])
 register("exec_top12", _on_fact(D.exec_top_firms), OM.SQL["exec_top12"])
 register("exec_sector_share", _on_fact(D.exec_sector_share), OM.SQL["exec_sector_share"])
 register("firm_drilldown", _on_fact(D.firm_drilldown), OM.SQL["firm_drilldown"])
@@ -224,6 +229,7 @@ register("assemble_measures", _assemble, OM.SQL["assemble_measures"])
 register("ingest_one_scan", _on_fact(_files_fact, store=True), OM.SQL["assemble_measures"])
 register("dedup_keep_first", _dedup, OM.SQL["dedup_keep_first"])
 register("classify_keywords", _classify_parts, OM.SQL["classify_keywords"])
+register("classify_many_rules", _classify_many, OM.SQL["classify_many_rules"])
 register("regime_records", _on_fact(N.regime_records), OM.SQL["regime_records"])
 register("c2_rising_upheld_chronological", _on_fact(Q.c2_rising_upheld, mode="chronological"),
          OM.SQL["c2_rising_upheld_chronological"])

@@ -15,6 +15,8 @@ min/max aggregate - two bounded rows read back and applied as literals. The orig
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +33,14 @@ def _materialise(df: DataFrame, checkpoint: bool) -> DataFrame:
     return materialise(df, "risk-base") if checkpoint else df
 
 
-def firm_periods(fact: DataFrame) -> DataFrame:
-    """Per (firm, period, type): volume of all rows, and the rated rows' volume, count and sum of tenths.
+def firm_periods(fact: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Per (firm, period, type, and ``more``): volume of all rows, and the rated rows' volume, count and sum of tenths.
 
     Fixed-width buffers only: the type depends on the firm, so it is a grouping key here (a string in a buffer would make
     the aggregate sort). A period's rows depend on that period only, so they can be stored and replaced period by period.
     """
     t = F.col(K.UPHELD_T)
-    return fact.groupBy(K.FIRM, K.ORDER, K.TYPE).agg(
+    return fact.groupBy(K.FIRM, K.ORDER, K.TYPE, *more).agg(
         F.sum(K.OPENED).alias("v_all"),
         F.sum(F.when(t.isNotNull(), F.col(K.OPENED))).alias("v_rated"),
         F.count(t).alias("n"),

@@ -134,3 +134,17 @@ def test_round_ratio_equals_rational_rounding(spark):
         assert got == [expected(n, d, dp, scale) for n, d in rows]
 
     check()
+
+
+def test_classify_by_one_pattern_equals_contains(spark, monkeypatch):
+    from riskloom.functions import rules as RU
+
+    rules = [("lv", ["lv="]), ("ab", ["bcd", "a.c"]), ("cd", ["cd", "M&S (x)"]), ("b", ["b", "cd"]), ("w", ["über", "\\q$"])]
+    texts = [None, "", "abcd", "xcdx", "a.c cd", "abc", "LV=b", "m&s (X)", "ÜBER", "\\q$", "ccd b", "line\nbcd", "none"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for some in (rules, [*rules, ("all", [""])], [("none", [])]):
+        monkeypatch.setattr(RU, "PATTERN_FROM", 10**6)
+        plain = RU.classify("x", some, "other")
+        monkeypatch.setattr(RU, "PATTERN_FROM", 0)
+        rows = df.select("x", plain.alias("want"), RU.classify("x", some, "other").alias("got")).collect()
+        assert [r.got for r in rows] == [r.want for r in rows]
