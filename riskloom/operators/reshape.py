@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import coerce_numeric
@@ -76,3 +77,36 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
     firsts = df.groupBy(*keys).agg(F.min(packed).alias("__first"))
     return firsts.select(*keys, *[F.col("__first")[c].alias(c) for c in [*order, *rest]]).select(*df.columns)
+
+
+#: More than the distance of any two bigints: a number times this plus a bigint sorts by the number first.
+_APART = Decimal(2 * 10**19)
+
+
+def place_of(df: DataFrame, order: Sequence[str]) -> Column:
+    """``order`` (a whole-number column, or an int and another) as one number of fixed width that sorts alike."""
+    kinds = [df.schema[c].dataType.simpleString() for c in order]
+    small, whole = ("tinyint", "smallint", "int"), ("tinyint", "smallint", "int", "bigint")
+    if len(order) == 1 and kinds[0] in whole:
+        return F.col(order[0])
+    if len(order) == 2 and kinds[0] in small and kinds[1] in whole:
+        first, second = F.col(order[0]).cast("decimal(10,0)"), F.col(order[1]).cast("decimal(19,0)")
+        return first * F.lit(_APART).cast("decimal(20,0)") + second
+    raise ValueError(f"no number of fixed width for the order {list(zip(order, kinds))}")
+
+
+def keep_first_placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """:func:`keep_first` by late fetch, where ``order`` is whole numbers (see :func:`place_of`) without nulls that name one row of
+    a key, such as file and sheet row.
+
+    The least place of each key is a hash aggregate with a buffer of fixed width over keys and place alone; the wide rows are
+    only fetched by a semi-join with it, never carried through aggregation buffers. It joins on keys and place, so the rows of a
+    hot key are spread over tasks. ``df`` is read twice: give it stored.
+    """
+    place, names = "__rl_place", [f"__rl_key{k}" for k in range(len(keys))]
+    placed = df.withColumn(place, place_of(df, order))
+    firsts = placed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.min(place).alias("__rl_least"))
+    same = F.col(place) == F.col("__rl_least")
+    for key, name in zip(keys, names, strict=True):
+        same &= F.col(key).eqNullSafe(F.col(name))
+    return placed.join(firsts, same, "left_semi").drop(place)

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import contract as K
-from riskloom.functions.numeric import pct_change, round_ratio, rounded_mean, rounded_mean_int, tenths_to_pct
+from riskloom.functions.numeric import pct_change, round_ratio, round_ratio_int, rounded_mean, rounded_mean_int, tenths_to_pct
 from riskloom.functions.rules import direction
+from riskloom.operators.compare import compare_sides
 from riskloom.operators.ranking import global_row_number
 from riskloom.plans import named_queries as Q
+from riskloom.session import materialise
 
 
 def exec_top_firms(fact: DataFrame, top: int = 12) -> DataFrame:
@@ -95,17 +97,48 @@ def diagonal_pairs(fact: DataFrame) -> DataFrame:
     )
 
 
+def regime_base(fact: DataFrame) -> DataFrame:
+    """Per firm, type and regime: volume of all rows and of the rated ones, sum and number of the rates (in tenths).
+
+    One grouped pass over the fact, from which all four findings follow: sums add up, and distinct firms are counted over its
+    rows. It has at most two rows for each firm and type.
+    """
+    rated = F.col(K.UPHELD_T).isNotNull()
+    return fact.groupBy(K.FIRM, K.TYPE, K.DUTY).agg(
+        F.sum(K.OPENED).alias("opened"),
+        F.sum(F.when(rated, F.col(K.OPENED))).alias("rated_opened"),
+        F.sum(K.UPHELD_T).alias("t"),
+        F.count(K.UPHELD_T).alias("n"),
+    )
+
+
 def findings_table(fact: DataFrame, min_total: int = K.MIN_TOTAL) -> DataFrame:
     """The four key findings as one table ``(finding, ord, row_json)`` in report order.
 
-    Regime summaries (one row per regime) and the top-10 list are numbered with a plain window;
-    the danger list grows with the number of firms, so it gets the numbering by slices.
+    The fact is read once (:func:`regime_base`, stored: each finding reads its columns of it). Regime summaries (one row per
+    regime) and the top-10 list are numbered with a plain window; the danger list grows with the number of firms, so it gets the
+    numbering by slices.
     """
+    base = materialise(regime_base(fact), "regime-base")
+    rated = base.filter(F.col("n") > 0)
+    tenths = F.sum("n") * F.lit(10)
+    overview = base.groupBy(K.DUTY).agg(
+        F.sum("opened").alias("total_opened"), round_ratio(F.sum("t"), tenths, dp=1).alias("avg_upheld_pct"),
+        F.countDistinct(K.FIRM).alias("unique_firms"),
+    )
+    summary = rated.groupBy(K.FIRM, K.TYPE).agg(
+        F.sum("rated_opened").alias("total_opened"), round_ratio(F.sum("t"), tenths, dp=1).alias("avg_upheld_pct")
+    ).filter(F.col("total_opened") > min_total)
+    shift = rated.groupBy(K.DUTY).agg(
+        round_ratio(F.sum("t"), tenths, dp=2).alias("avg_upheld_pct"), F.countDistinct(K.FIRM).alias("firms")
+    )
+    rates = rated.groupBy(K.FIRM, K.DUTY).agg(round_ratio_int(F.sum("t"), tenths, dp=1).alias("avg_t"))
+    sides = compare_sides(rates, [K.FIRM], {"t": "avg_t"}, require_both=["t"])
     parts = [
-        ("industry_overview", Q.k1_overview(fact), [K.DUTY], True),
-        ("danger_quadrant", Q.k2_danger_list(fact, min_total), [F.desc("avg_upheld"), K.FIRM, K.TYPE], False),
-        ("duty_uphold_shift", Q.k3_duty_shift(fact), [K.DUTY], True),
-        ("worsened_post_duty", Q.k4_worsened(fact), [F.desc("change_ppts"), K.FIRM], True),
+        ("industry_overview", overview, [K.DUTY], True),
+        ("danger_quadrant", Q.danger_list(summary), [F.desc("avg_upheld"), K.FIRM, K.TYPE], False),
+        ("duty_uphold_shift", shift, [K.DUTY], True),
+        ("worsened_post_duty", Q.worsened(sides), [F.desc("change_ppts"), K.FIRM], True),
     ]
     out = None
     for name, df, order, bounded in parts:

@@ -18,7 +18,7 @@ from riskloom import contract as K
 from riskloom.functions.numeric import idiv, round_ratio
 from riskloom.functions.rules import flag_at_least, upheld_band
 from riskloom.operators.ranking import row_number_by_entity
-from riskloom.operators.reshape import keep_first, pivot_measure
+from riskloom.operators.reshape import keep_first, keep_first_placed, pivot_measure
 from riskloom.operators.windows import add_changes
 
 MASTER_OUT = [*K.MASTER_COLUMNS, K.UPHELD_T, K.CLOSED3_T]
@@ -33,9 +33,14 @@ def master_changes(fact: DataFrame, dedup: bool = True) -> DataFrame:
 
 
 def first_rows(fact: DataFrame) -> DataFrame:
-    """Of rows with the same firm, category and period the first one, by file (a period is a file) and row of its sheet."""
-    order = [K.ORDER, *([K.ROW_POS] if K.ROW_POS in fact.columns else [])]
-    return keep_first(fact, [K.FIRM, K.CAT, K.LABEL], order)
+    """Of rows with the same firm, category and period the first one, by file (a period is a file) and row of its sheet.
+
+    Rows of an ingest carry their sheet row, which names one row of a key: the wide rows are fetched late. Rows without it are
+    ordered by their other columns instead (:func:`keep_first`)."""
+    keys = [K.FIRM, K.CAT, K.LABEL]
+    if K.ROW_POS in fact.columns:
+        return keep_first_placed(fact, keys, [K.ORDER, K.ROW_POS])
+    return keep_first(fact, keys, [K.ORDER])
 
 
 def change_rows(df: DataFrame) -> DataFrame:

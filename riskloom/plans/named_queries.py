@@ -386,7 +386,12 @@ def k1_overview(fact: DataFrame) -> DataFrame:
 
 
 def k2_danger_list(fact: DataFrame, min_total: int = K.MIN_TOTAL, scalable: bool = True) -> DataFrame:
-    wq = with_quartiles(firm_upheld_summary(fact, min_total), scalable)
+    return danger_list(firm_upheld_summary(fact, min_total), scalable)
+
+
+def danger_list(summary: DataFrame, scalable: bool = True) -> DataFrame:
+    """Firms of a summary (total_opened, avg_upheld_pct) in the top quartile of both."""
+    wq = with_quartiles(summary, scalable)
     return (
         wq.filter((F.col("volume_quartile") == 4) & (F.col("uphold_quartile") == 4))
         .select(*FT, "total_opened", F.col("avg_upheld_pct").alias("avg_upheld"))
@@ -403,7 +408,11 @@ def k3_duty_shift(fact: DataFrame) -> DataFrame:
 
 
 def k4_worsened(fact: DataFrame, min_change: float = 5.0, top: int = 10) -> DataFrame:
-    sides = firm_side_upheld(fact, by=(K.FIRM,))
+    return worsened(firm_side_upheld(fact, by=(K.FIRM,)), min_change, top)
+
+
+def worsened(sides: DataFrame, min_change: float = 5.0, top: int = 10) -> DataFrame:
+    """The firms whose uphold rate rose most, from their rates before and after the cutover (pre_t, post_t in tenths)."""
     d = F.col("post_t") - F.col("pre_t")
     return (
         sides.filter(d > int(round(min_change * 10)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskloom import contract as K
 from riskloom.functions.rules import classify, replace_chain, unify_names
 from riskloom.plans import master as M
+from riskloom.session import materialise
 from riskloom.sources import sheets as SH
 from riskloom.sources.tables import read_table
 
@@ -62,7 +63,8 @@ EVERY = {"opened": True, "closed": True, "upheld": True}
 
 def ingest_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate firms with different groups and values: the master keeps the first row of each sheet."""
-    master = M.master_changes(_assembled(spark, sf_dir, {"H1 2022": EVERY, "H2 2023": EVERY}))
+    rows = materialise(_assembled(spark, sf_dir, {"H1 2022": EVERY, "H2 2023": EVERY}), "assembled")
+    master = M.master_changes(rows)
     return master.select(K.FIRM, K.GROUP, K.CAT, K.LABEL, K.DUTY, K.OPENED, K.CLOSED, K.UPHELD, "record_id")
 
 

@@ -60,22 +60,23 @@ def summary_tables(master: DataFrame, labels: list[str] | None = None) -> dict[s
 
 def clean_stage(spark: SparkSession, sheets_dir: str, out_dir: str, manifest=K.PERIOD_MANIFEST,
                 pre_periods=K.PRE_DUTY_PERIODS, categories=K.PRODUCT_CATS, alias_map=None,
-                table: str | None = None, buckets: int = 0, csv_export: bool = False) -> str:
+                table: str | None = None, buckets: int = 0, csv_export: bool = False, bloom_ndv: int | None = None) -> str:
     """Build and store the master, then the summary tables.
 
     With ``table`` and ``buckets`` the master is also saved as a catalog table bucketed by firm -
     the layout the analyses should read at scale (per-firm aggregations and windows then need no
-    shuffle); the Parquet folder partitioned by period stays the portable export, and ``csv_export`` adds the master
+    shuffle; ``bloom_ndv`` adds bloom filters for lookups of one firm); the Parquet folder partitioned by period stays the portable export, and ``csv_export`` adds the master
     as CSV. The other stages read any of the three (:func:`read_stage_master`).
     """
-    assembled = SH.load_workbooks(spark, sheets_dir, manifest, pre_periods, categories, alias_map=alias_map)
+    # read several times (first rows, numbering): the sheets are scanned and assembled once
+    assembled = materialise(SH.load_workbooks(spark, sheets_dir, manifest, pre_periods, categories, alias_map=alias_map), "assembled")
     master_path = os.path.join(out_dir, "master")
     SK.write_master(M.master_changes(assembled), master_path)
     master = SK.read_master(spark, master_path)
     if csv_export:
         SK.write_tables({"master_csv": master}, out_dir, fmt="csv")
     if table and buckets:
-        master = SK.save_bucketed(master, table, buckets)
+        master = SK.save_bucketed(master, table, buckets, bloom_ndv=bloom_ndv)
     SK.write_tables({k: v for k, v in summary_tables(master).items() if k != "all_data"}, out_dir)
     return master_path
 

@@ -33,13 +33,18 @@ def write_master(df: DataFrame, path: str, partition_by: str | None = K.LABEL, m
 
 
 def save_bucketed(df: DataFrame, table: str, buckets: int, by: str = K.FIRM, sort_by: tuple[str, ...] = (K.FIRM, K.ORDER),
-                  path: str | None = None) -> DataFrame:
+                  path: str | None = None, bloom_ndv: int | None = None) -> DataFrame:
     """Save as a bucketed, sorted catalog table and return it read back.
 
     Rows are dealt out by the bucket hash first, so each bucket is one file. Reads of the table report
     ``HashPartitioning(by, buckets)``, which satisfies any group-by or window whose keys include ``by``.
+
+    ``bloom_ndv``: write Parquet bloom filters of ``by``, sized for so many distinct values in a row group. A lookup of one value then
+    reads one bucket (bucket pruning) and of its row groups only those that may hold it; the filters cost about 1.2 bytes a value.
     """
     w = df.repartition(buckets, by).write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(*sort_by)
+    if bloom_ndv:
+        w = w.option(f"parquet.bloom.filter.enabled#{by}", "true").option(f"parquet.bloom.filter.expected.ndv#{by}", str(bloom_ndv))
     if path:
         w = w.option("path", path)
     w.saveAsTable(table)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom import contract as K
-from riskloom.operators.reshape import keep_first, melt_measure, pivot_measure
+from riskloom.operators.reshape import keep_first, keep_first_placed, melt_measure, pivot_measure
 from riskloom.plans import master as M
 from riskloom.sources import sheets as SH
 
@@ -89,6 +89,22 @@ def test_keep_first_by_input_position_and_skew(spark):
     assert got == {"k": (1, "b"), "j": (2, "z"), "hot": (1, "1")}
 
 
+def test_keep_first_placed_equals_keep_first(spark):
+    """Null keys, a hot key, the extreme places of a bigint, an int before the place that decides first, clashing names."""
+    far = 2**63 - 1
+    rows = [(None, 1, 5, "a"), (None, 1, 4, "b"), ("k", 2, -far, "c"), ("k", 1, far, "d"), ("k", 1, far - 1, "e"), ("n", -3, 7, "f"), ("n", -2, -9, "g")]
+    rows += [("hot", i % 3, i, str(i)) for i in range(3000, 0, -1)]
+    df = spark.createDataFrame(rows, "key string, o int, pos bigint, n string").repartition(5)
+    got = keep_first_placed(df, ["key"], ["o", "pos"])
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, keep_first(df, ["key"], ["o", "pos"]).collect()))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "HashAggregate" in text
+    assert keep_first_placed(df.limit(0), ["key"], ["o", "pos"]).collect() == []
+    with pytest.raises(ValueError):
+        keep_first_placed(df, ["key"], ["n"])
+
+
 def test_master_keeps_the_first_of_duplicate_rows(spark):
     opened = sheet(spark, ["Firm Name", "Group", *CATS], [("Beta", "Z", "500", "1"), ("Beta", "A", "7", "2"), ("Beta", "Z", "9", "3")])
     closed = sheet(spark, ["Firm Name", "Group", *CATS], [("Beta", "A", "6", "2"), ("Beta", "Z", "499", "1"), ("Beta", "Z", "8", "3")])

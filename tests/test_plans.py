@@ -1,6 +1,8 @@
 """Plan checks: no Python UDFs, pruned and filtered scans, no single-partition window over the
 fact, bucketed master reads without shuffles."""
 
+import re
+
 import pytest
 
 from riskloom.plans import named_queries as Q
@@ -77,3 +79,52 @@ def test_fact_pass_of_the_risk_base_is_a_hash_aggregate(spark):
     fact = fact_rows(spark, [("A", "Bank", "x", 1, 5, 100)])
     deepest = [x for x in plan_text(risk_base(fact)).split("\n") if "Aggregate(" in x][-1]
     assert "HashAggregate" in deepest and "period_order" in deepest
+
+
+def test_duplicates_of_an_ingest_are_fetched_late(spark):
+    """No aggregate carries the wide rows: the first place of each key is found by a hash aggregate."""
+    text = plan_text(REGISTRY["ingest_duplicates"].build(spark, SF_SMALL))
+    assert "SortAggregate" not in text and "LeftSemi" in text
+
+
+def test_findings_read_the_fact_once(spark, small_fact, monkeypatch):
+    from riskloom.plans import dashboard
+
+    seen, base = [], dashboard.regime_base
+    monkeypatch.setattr(dashboard, "regime_base", lambda f: seen.append(f) or base(f))
+    text = plan_text(dashboard.findings_table(small_fact))
+    assert len(seen) == 1 and "product_category" not in text and "upheld_tenths" not in text
+
+
+def scanned_rows(df) -> tuple[str, int]:
+    """The buckets that the scan of an executed query was pruned to, and the rows that it gave."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    leaf = plan.collectLeaves().head()
+    buckets = re.search(r"SelectedBucketsCount: (\d+ out of \d+)", leaf.verboseStringWithSuffix(10_000) + leaf.toString())
+    return buckets[1] if buckets else "", leaf.metrics().apply("numOutputRows").value()
+
+
+def test_a_firm_lookup_reads_one_bucket_and_skips_row_groups_by_bloom_filter(spark, small_fact):
+    """Rows in random order within a bucket and no dictionary, so neither least and greatest values nor dictionaries can skip a row
+    group: a firm that is not there costs all rows of its bucket without bloom filters and none with them."""
+    from pyspark.sql import functions as F
+
+    from riskloom.plans.dashboard import firm_drilldown
+
+    mixed = small_fact.withColumn("mix", F.xxhash64("firm_name", "product_category", "period_order"))
+    spark.conf.set("parquet.enable.dictionary", "false")  # read by the writer, as a hadoop setting of the session
+    try:
+        for name, ndv in (("lookup_plain", None), ("lookup_bloom", 10_000)):
+            save_bucketed(mixed, name, 4, sort_by=("mix",), bloom_ndv=ndv)
+    finally:
+        spark.conf.unset("parquet.enable.dictionary")
+    firms = sorted(r[0] for r in small_fact.select("firm_name").distinct().collect())
+    firm = firms[len(firms) // 2]
+    lookup = lambda n: spark.table(n).filter(F.col("firm_name") == firm + "-absent").select("firm_name", "period_order")
+    plain, bloom = scanned_rows(lookup("lookup_plain")), scanned_rows(lookup("lookup_bloom"))
+    assert plain[0] == bloom[0] == "1 out of 4"
+    assert plain[1] > 0 and bloom[1] == 0
+    there = spark.table("lookup_bloom")
+    assert sorted(map(str, firm_drilldown(there, firm).collect())) == sorted(map(str, firm_drilldown(small_fact, firm).collect()))
