@@ -9,10 +9,12 @@ tests ask how far it is from random digits: chi-squared uniformity of the alphab
 serial correlation. Their squared z-scores add up to one distance (about chi-squared with 3 degrees of freedom for a random token).
 
 False discoveries: the null are made tokens of ordinary letters (:func:`null_shares`: the same for every corpus, of the least length of each
-band, in each encoding). A candidate's p-value is the share of them at least as random; where the corpus has ``MIN_WORDS_IN_BAND`` long
-words or more (in the band, else in all), not less than their share. Within each encoding and band the Benjamini-Hochberg step-up over the
-bins gives the largest distance at which the expected share of false findings stays under ``FDR``. Tokens that overlap a base span are not
-counted. Only encodings x bands x bins numbers reach the driver.
+band, in each encoding). A candidate's p-value is the probability that such a token is at least as random, by importance sampling: tokens
+are drawn from a mixture of letter frequencies between English and even ones and weighted back, so that the far tail is known too and few
+secrets among many candidates can be told. The corpus's own long words can only raise it: their share at least as random, drawn
+towards the null's by ``PRIOR_WORDS`` words' worth, so it moves continuously with their number. Within each encoding and band the
+Benjamini-Hochberg step-up over the bins gives the largest distance at which the expected share of false findings stays under ``FDR``.
+Tokens that overlap a base span are not counted. Only encodings x bands x bins numbers reach the driver.
 
 Defined cases: null = empty text, no span; a token that overlaps a base span is not reported again; repeated rows are scanned alike; an empty table gives no row.
 """
@@ -34,13 +36,17 @@ ASSIGN = (
 ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"  # a run that is long enough is a whole match of the unbounded pattern
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 MIN_ASSIGNED = 12
-FDR, BINS, BIN_WIDTH, MIN_WORDS_IN_BAND = 0.05, 120, 0.5, 200
-BANDS = (20, 24, 32, 48)
+FDR, BINS, BIN_WIDTH = 0.05, 120, 0.5
+#: Words of the corpus that weigh as much as the made null.
+PRIOR_WORDS = 200
+BANDS = (20, 24, 32, 40, 48)
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BASE32, BASE16 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef"
 ENCODINGS = (BASE16, BASE32, BASE64)
-#: Made tokens of the null for each encoding and band, and how often English has the letters a to z (per 10,000).
+#: Made tokens of the null for each encoding and band, how even their letters are drawn (0: as in English, 1: all alike), and how often
+#: English has the letters a to z (per 10,000).
 NULL_TOKENS = 200_000
+EVENNESS = (0.0, 0.25, 0.5, 0.75, 1.0)
 LETTERS = (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7)
 SPAN = "struct<start: int, kind: int, end: int, token: string>"
 
@@ -178,24 +184,51 @@ def digit_distances(v: np.ndarray, k: int) -> np.ndarray:
     return np.maximum(chi, 0) ** 2 + runs**2 + serial**2
 
 
-def null_tokens(rng: np.random.Generator, rows: int, size: int, alphabet: str) -> np.ndarray:
+def letter_shares(alphabet: str, evenness: float = 0.0) -> np.ndarray:
+    """Shares of the letters of ordinary words (a to f in base16): English ones to the power 1 - evenness."""
+    share = np.array(LETTERS[: 6 if alphabet == BASE16 else 26], float) ** (1 - evenness)
+    return share / share.sum()
+
+
+def first_letter(alphabet: str) -> int:
+    return alphabet.index("a" if alphabet != BASE32 else "A")
+
+
+def null_tokens(rng: np.random.Generator, rows: int, size: int, alphabet: str, evenness: float = 0.0) -> np.ndarray:
     """Digits of made ordinary words, letter by letter as often as in English: capitals in base32, a to f in base16."""
-    first = alphabet.index("a" if alphabet != BASE32 else "A")
-    share = np.array(LETTERS[: 6 if alphabet == BASE16 else 26], float)
-    return first + rng.choice(len(share), (rows, size), p=share / share.sum())
+    share = letter_shares(alphabet, evenness)
+    return first_letter(alphabet) + rng.choice(len(share), (rows, size), p=share)
+
+
+def null_weights(digits: np.ndarray, alphabet: str) -> np.ndarray:
+    """How much more likely each token is among ordinary words than in the even mixture over EVENNESS that it was drawn from."""
+    letters = digits - first_letter(alphabet)
+    logs = np.array([np.log(letter_shares(alphabet, e))[letters].sum(axis=1) for e in EVENNESS])
+    return np.exp(logs[0] - np.logaddexp.reduce(logs, axis=0)) * len(EVENNESS)
 
 
 @cache
 def null_shares() -> tuple[tuple[tuple[float, ...], ...], ...]:
-    """By encoding and band: for each bin the share of ordinary tokens that are at least as random. Never 0."""
+    """By encoding and band: for each bin the probability that an ordinary token is at least as random. Never 0.
+
+    The weights of the drawn tokens up to the bin, and the largest of them once more (as the one that was not seen), over the number
+    drawn. Before the first bin that a token reached, the tail goes on as exp(-distance / 2), like a chi-squared density."""
     rng = np.random.default_rng(20)
 
     def shares(alphabet: str, size: int) -> tuple[float, ...]:
-        counts = np.zeros(BINS, np.int64)
-        for _ in range(0, NULL_TOKENS, 20_000):
-            far = digit_distances(null_tokens(rng, 20_000, size, alphabet), len(alphabet))
-            counts += np.bincount(np.minimum(far // BIN_WIDTH, BINS - 1).astype(int), minlength=BINS)
-        return tuple(((1 + np.cumsum(counts)) / (1 + NULL_TOKENS)).tolist())
+        sums, most = np.zeros(BINS), np.zeros(BINS)
+        for evenness in EVENNESS:
+            for _ in range(0, NULL_TOKENS // len(EVENNESS), 20_000):
+                digits = null_tokens(rng, 20_000, size, alphabet, evenness)
+                bins = np.minimum(digit_distances(digits, len(alphabet)) // BIN_WIDTH, BINS - 1).astype(int)
+                weights = null_weights(digits, alphabet)
+                sums += np.bincount(bins, weights, minlength=BINS)
+                np.maximum.at(most, bins, weights)
+        reached = np.maximum.accumulate(most)
+        tail = np.minimum((np.cumsum(sums) + reached) / NULL_TOKENS, 1.0)
+        first = int(np.argmax(reached > 0))
+        beyond = np.exp(-(BIN_WIDTH / 2) * np.maximum(first - np.arange(BINS), 0))
+        return tuple((np.where(reached > 0, tail, tail[first]) * beyond).tolist())
 
     return tuple(tuple(shares(alphabet, size) for size in BANDS) for alphabet in ENCODINGS)
 
@@ -203,24 +236,19 @@ def null_shares() -> tuple[tuple[tuple[float, ...], ...], ...]:
 def thresholds(counts: dict[tuple[int, bool, int], int], null: tuple[tuple[float, ...], ...] | None = None) -> list[int]:
     """Per band the last bin whose candidates are accepted (-1: none), from counts by (band, is word, bin).
 
-    ``null``: p-values by band and bin, which the corpus's own words only raise, where there are enough. Without it the words are all
-    there is to compare with.
+    ``null``: p-values by band and bin, which the corpus's own words in the band only raise. Without it the words are all there is
+    to compare with.
     """
-    total = [0] * BINS
-    words = [[counts.get((b, True, k), 0) for k in range(BINS)] for b in range(len(BANDS))]
-    for w in words:
-        total = [a + x for a, x in zip(total, w, strict=True)]
     out = []
     for b in range(len(BANDS)):
-        own = words[b] if sum(words[b]) >= MIN_WORDS_IN_BAND else total
-        tokens = [counts.get((b, False, k), 0) for k in range(BINS)]
+        own, tokens = ([counts.get((b, word, k), 0) for k in range(BINS)] for word in (True, False))
         n_own, n, below, found, last = sum(own), sum(tokens), 0, 0, -1
         for k in range(BINS):
             below, found = below + own[k], found + tokens[k]
             p = (1 + below) / (1 + n_own)  # of a candidate in this bin
             if null is not None:
-                p = max(null[b][k], below / n_own if n_own >= MIN_WORDS_IN_BAND else 0.0)
-            if (n_own or null is not None) and found and p * n <= FDR * found:
+                p = max(null[b][k], (PRIOR_WORDS * null[b][k] + below) / (PRIOR_WORDS + n_own))
+            if found and p * n <= FDR * found:
                 last = k
         out.append(last)
     return out

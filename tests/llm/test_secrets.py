@@ -101,6 +101,44 @@ def test_null_distances_match_spark(spark):
             assert all(abs(r.d - far[r.i]) < 1e-6 for r in got if r.e == e) and any(r.e == e for r in got)
 
 
+def test_the_null_is_weighted_back_and_has_no_floor():
+    """Probabilities of the weighted tokens against plain counts where these can be counted; far below one in NULL_TOKENS beyond."""
+    rng = np.random.default_rng(7)
+    for e, b in ((1, 0), (1, 2), (2, 0), (2, 1), (2, 2)):
+        far = S.digit_distances(S.null_tokens(rng, 100_000, S.BANDS[b], S.ENCODINGS[e]), len(S.ENCODINGS[e]))
+        for k in (10, 20, 40):
+            plain, p = float((far < (k + 1) * S.BIN_WIDTH).mean()), S.null_shares()[e][b][k]
+            assert abs(p - plain) < 0.05 * plain + 5 * (plain / 100_000) ** 0.5 + 1e-4
+    for null in S.null_shares():
+        for p in null:
+            assert all(x > 0 for x in p) and list(p) == sorted(p) and p[-1] > 0.99
+    assert S.null_shares()[2][-1][5] < 1e-9
+
+
+def test_few_random_tokens_among_a_million_candidates_are_found():
+    """Twenty tokens of 40 random characters among 1,000,000 candidates that look like words."""
+    rng = np.random.default_rng(5)
+    b = S.BANDS.index(40)
+    bins = [int(d // S.BIN_WIDTH) for d in S.digit_distances(rng.integers(0, 64, (20, 40)), 64)]
+    words = np.minimum(S.digit_distances(S.null_tokens(rng, 100_000, 40, S.BASE64), 64) // S.BIN_WIDTH, S.BINS - 1).astype(int)
+    counts = {(b, False, int(k)): 10 * int(n) for k, n in enumerate(np.bincount(words, minlength=S.BINS))}
+    for k in bins:
+        counts[(b, False, k)] = counts.get((b, False, k), 0) + 1
+    last = S.thresholds(counts, S.null_shares()[2])[b]
+    found = sum(k <= last for k in bins)
+    assert found >= 15 and sum(n for (_, _, k), n in counts.items() if k <= last) - found <= 2
+
+
+def test_one_word_more_in_the_corpus_changes_no_verdict():
+    """The corpus's words weigh in continuously: no verdict hangs on whether there are 199 or 200 of them."""
+    b = S.BANDS.index(32)
+    tokens = {(b, False, k): 2 for k in range(10)}
+    last = [S.thresholds({**tokens, (b, True, 40): n}, S.null_shares()[2])[b] for n in range(0, 1000)]
+    assert min(last) >= 9 and last[199] == last[200]
+    raised = [S.thresholds({**tokens, (b, True, 3): n}, S.null_shares()[2])[b] for n in (0, 1, 5, 50, 500)]
+    assert raised == sorted(raised, reverse=True) and raised[-1] == 2
+
+
 def test_random_tokens_are_found_in_a_small_table(frame):
     """No ordinary long word in the table; digests in base spans, a token without digit, one in capitals, ordinary names."""
     rng = random.Random(11)
