@@ -40,6 +40,8 @@ FDR, BINS, BIN_WIDTH = 0.05, 120, 0.5
 #: Words of the corpus that weigh as much as the made null.
 PRIOR_WORDS = 200
 BANDS = (20, 24, 32, 40, 48)
+#: Elements of an array that are handled together, so that the work in a text with n spans grows with n ** 1.5 at most.
+BLOCK = 128
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BASE32, BASE16 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef"
 ENCODINGS = (BASE16, BASE32, BASE64)
@@ -51,24 +53,58 @@ LETTERS = (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675,
 SPAN = "struct<start: int, kind: int, end: int, token: string>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once (inside a lambda an expression is worked out for every element)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def in_blocks(items: Column) -> Column:
+    """An array (worked out already) cut into blocks of BLOCK elements; an empty array has one empty block."""
+    last = F.greatest(F.floor((F.size(items) - 1) / F.lit(BLOCK)), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running_sums(lengths: Column) -> Column:
+    """Inclusive running sums of an array of int. Appending copies the array, so it is done within blocks and over their sums."""
+    grow = lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)
+    none = F.array().cast("array<int>")
+    within = F.transform(in_blocks(lengths), lambda block: F.aggregate(block, none, grow))
+    total = lambda sums: F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0))
+
+    def joined(t: Column) -> Column:
+        return F.flatten(F.transform(t["within"], lambda sums, k: F.transform(sums, lambda x: x + F.get(t["upto"], k) - total(sums))))
+
+    def with_totals(sums: Column) -> Column:
+        return let(F.struct(sums.alias("within"), F.aggregate(F.transform(sums, total), none, grow).alias("upto")), joined)
+
+    return let(within, with_totals)
+
+
 def matches(text: Column, pattern: str, kind: int, long_enough=None) -> Column:
     """Spans of a pattern's matches in a text, leftmost and not overlapping; ``long_enough``: condition on group 2."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if long_enough else found
     pieces = F.split(text, pattern, -1)  # one more than the matches
     pairs = F.arrays_zip(pieces.alias("piece"), found.alias("match"), groups.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("token"))
-        keep = F.lit(True) if long_enough is None else long_enough(x["value"])
-        spans = F.when(x["match"].isNotNull() & keep, F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), spans.alias("spans"))
+    def spans(t: Column) -> Column:
+        def span(x: Column, k: Column) -> Column:
+            end = F.get(t["ends"], k)
+            return F.struct((end - F.length(x["match"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("token"),
+                            (F.lit(True) if long_enough is None else long_enough(x["value"])).alias("keep"))
+
+        kept = F.filter(F.transform(F.filter(t["pairs"], lambda x: x["match"].isNotNull()), span), lambda x: x["keep"])
+        return F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind", "end", "token")]))
+
+    def with_ends(t: Column) -> Column:
+        return let(F.struct(t["pairs"].alias("pairs"), running_sums(t["lengths"]).alias("ends")), spans)
+
+    def with_lengths(p: Column) -> Column:
+        lengths = F.transform(p, lambda x: F.length(x["piece"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+        return let(F.struct(p.alias("pairs"), lengths.alias("lengths")), with_ends)
 
     none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, empty, step, lambda acc: acc["spans"]))
+    return F.when(F.size(found) == 0, none).otherwise(let(pairs, with_lengths).cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -108,35 +144,34 @@ def distance(token: Column) -> Column:
         lambda t: F.struct(
             F.length(t["s"]).cast("double").alias("n"),
             t["k"].alias("k"),
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(t["s"]), F.lit(1))),
-                lambda i: F.struct(
-                    (F.instr(t["abc"], F.substring(t["s"], i, F.lit(1))) - 1).cast("double").alias("v"),
-                    (F.length(t["s"]) - F.length(F.replace(t["s"], F.substring(t["s"], i, F.lit(1)), F.lit("")))).alias("same"),
-                ),
-            ).alias("digits"),
+            # how often each character is there, squared; the one character of a token that no alphabet has is an inner =
+            F.aggregate(
+                F.split(F.concat(t["abc"], F.lit("=")), ""), F.lit(0.0),
+                lambda acc, c: acc + F.pow((F.length(t["s"]) - F.length(F.replace(t["s"], c, F.lit("")))).cast("double"), 2.0),
+            ).alias("same"),
+            F.transform(F.split(t["s"], ""), lambda c: (F.instr(t["abc"], c) - 1).cast("double")).alias("digits"),
         ),
     )
 
     def combine(t: Column) -> Column:
         n, k, digits = t["n"], t["k"], t["digits"]
         start = F.struct(
-            *[F.lit(0.0).alias(c) for c in ("same", "high", "turns", "product")], F.lit(None).cast("double").alias("last")
+            *[F.lit(0.0).alias(c) for c in ("high", "turns", "product")], F.lit(None).cast("double").alias("last")
         )
         middle = (k - 1) / 2
 
         def step(acc: Column, d: Column) -> Column:
-            known, is_high = acc["last"].isNotNull(), (d["v"] > middle).cast("double")
-            turn = known & ((d["v"] > middle) != (acc["last"] > middle))
-            product = F.when(known, (d["v"] - middle) * (acc["last"] - middle)).otherwise(0.0)
+            known, is_high = acc["last"].isNotNull(), (d > middle).cast("double")
+            turn = known & ((d > middle) != (acc["last"] > middle))
+            product = F.when(known, (d - middle) * (acc["last"] - middle)).otherwise(0.0)
             return F.struct(
-                (acc["same"] + d["same"]).alias("same"), (acc["high"] + is_high).alias("high"),
+                (acc["high"] + is_high).alias("high"),
                 (acc["turns"] + F.when(turn, 1.0).otherwise(0.0)).alias("turns"),
-                (acc["product"] + product).alias("product"), d["v"].alias("last"),
+                (acc["product"] + product).alias("product"), d.alias("last"),
             )
 
         def z_scores(acc: Column) -> Column:
-            chi = (k / n * acc["same"] - n - (k - 1)) / F.sqrt(2 * (k - 1))
+            chi = (k / n * t["same"] - n - (k - 1)) / F.sqrt(2 * (k - 1))
             low = n - acc["high"]
             mean = 2 * acc["high"] * low / n + 1
             var = (mean - 1) * (mean - 2) / (n - 1)
@@ -256,14 +291,21 @@ def thresholds(counts: dict[tuple[int, bool, int], int], null: tuple[tuple[float
 
 def free_tokens(text: Column) -> Column:
     """The tokens of a text that overlap no base span."""
-    # one struct, so that the spans are worked out once for each text
-    parts = F.array(F.struct(base_spans(text).alias("base"), matches(text, TOKEN, 3).alias("tokens")))
-    free = lambda t: F.filter(t["tokens"], lambda s: ~overlapped(s, t["base"]))
-    return F.transform(F.get(F.transform(parts, free), 0), lambda s: s["token"])
+    return F.transform(free_of(matches(text, TOKEN, 3), base_spans(text)), lambda s: s["token"])
+
 
+def free_of(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of the base spans (ordered by start): a block of these is only looked into if the span meets
+    the stretch from its first start to its last end."""
 
-def overlapped(span: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    def summed(block: Column) -> Column:
+        last = F.aggregate(block, F.lit(0), lambda acc, b: F.greatest(acc, b["end"]))
+        return F.struct(F.get(block, 0)["start"].alias("start"), last.alias("end"), block.alias("spans"))
+
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    hit = lambda s, blocks: F.exists(blocks, lambda k: meets(k, s) & F.exists(k["spans"], lambda b: meets(b, s)))
+    blocks = let(base, lambda b: F.transform(F.when(F.size(b) > 0, in_blocks(b)).otherwise(F.array().cast(f"array<array<{SPAN}>>")), summed))
+    return let(F.struct(spans.alias("spans"), blocks.alias("blocks")), lambda t: F.filter(t["spans"], lambda s: ~hit(s, t["blocks"])))
 
 
 def learn_thresholds(docs: DataFrame, text: str = "text") -> list[int]:
@@ -295,10 +337,7 @@ def find_secrets(docs: DataFrame, text: str = "text", carried: list[str] | None
         )
     names = docs.columns if carried is None else carried
     step = docs.select(*kept, base_spans(body).alias(base), tokens.alias(spans))
-    free = F.filter(
-        F.coalesce(F.col(spans), F.array().cast(f"array<{SPAN}>")),
-        lambda s: ~overlapped(s, F.col(base)),
-    )
+    free = free_of(F.coalesce(F.col(spans), F.array().cast(f"array<{SPAN}>")), F.col(base))
     return step.select(*[F.col(f"`{c}`") for c in names], F.array_sort(F.concat(F.col(base), free)).alias(spans)), spans
 
 

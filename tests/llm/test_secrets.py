@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -46,6 +47,33 @@ def test_base_spans_match_python(frame):
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == expected(TRAPS[r.doc_id]), TRAPS[r.doc_id]
 
 
+def test_a_text_with_many_spans(frame):
+    """Sixteen thousand hexadecimal runs, assignments and free tokens in one text, over many blocks, in a few seconds."""
+    rng = random.Random(9)
+    run = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    texts = [" ".join(run(16 + i % 8) for i in range(16_000)), "é".join(f"token={run(20)} x{'y' * 30}Z" for _ in range(1500))]
+    report = S.secrets_report(frame(texts + ["x" * 300_000, " ".join(["a"] * 5000)]))
+    start = time.time()
+    got = {r.doc_id: r for r in report.collect()}
+    assert time.time() - start < 20
+    for k, text in enumerate(texts):
+        assert (got[k].n_assign, got[k].n_access, got[k].n_hex, got[k].base_sha256) == expected(text)
+    assert got[0].n_hex == 16_000 and got[2].spans == got[3].spans == ""
+
+
+def test_blocks_of_base_spans_miss_no_overlap(spark):
+    """All pairs in Python against blocks, for spans of mixed lengths around the edges of blocks."""
+    rng = random.Random(2)
+    rows = []
+    for n in (0, 1, S.BLOCK - 1, S.BLOCK, S.BLOCK + 1, 3 * S.BLOCK + 5):
+        make = lambda m: sorted({(a, 0, a + rng.choice([1, 3, 60]), "t") for a in rng.sample(range(4000), m)})
+        rows.append((n, make(n), make(200)))
+    df = spark.createDataFrame(rows, f"n int, base array<{S.SPAN}>, spans array<{S.SPAN}>")
+    for r in df.select("n", "base", "spans", S.free_of(F.col("spans"), F.col("base")).alias("free")).collect():
+        wanted = [s for s in r.spans if not any(b.start < s.end and s.start < b.end for b in r.base)]
+        assert r.free == wanted
+
+
 def test_random_texts_match_python(frame):
     rng = random.Random(5)
     parts = ["password", "TOKEN", "=", ":", " ", "'", '"', "AKIA", "ABCDEFGHIJKLMN0", "0123456789abcdef", "deadbeef", "é", "\n", "xyzxyzxyzxyz", "."]
