@@ -50,10 +50,9 @@ def complaint_fact(
         "l_orderkey",
         "l_partkey",
         "l_quantity",
-        F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(F.lit(0.0)).alias("qf"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(F.lit(0.0)).alias("qu"),
-        F.year("l_shipdate").alias("year"),
-        F.when(F.month("l_shipdate") <= 6, F.lit(1)).otherwise(F.lit(2)).alias("half"),
+        (F.col("l_linestatus") == "F").alias("is_f"),
+        (F.col("l_returnflag") == "R").alias("is_r"),
+        (F.year("l_shipdate") * 2 + F.when(F.month("l_shipdate") <= 6, F.lit(0)).otherwise(F.lit(1))).alias("halves"),
     )
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
@@ -63,11 +62,11 @@ def complaint_fact(
     per_customer = (
         li.join(orders, li.l_orderkey == orders.o_orderkey)
         .join(part, li.l_partkey == part.p_partkey)
-        .groupBy("o_custkey", "p_type", "year", "half")
+        .groupBy("o_custkey", "p_type", "halves")
         .agg(
             F.sum("l_quantity").alias("q"),
-            F.sum("qf").alias("f"),
-            F.sum("qu").alias("u"),
+            F.sum(F.when(F.col("is_f"), F.col("l_quantity")).otherwise(F.lit(0.0))).alias("f"),
+            F.sum(F.when(F.col("is_r"), F.col("l_quantity")).otherwise(F.lit(0.0))).alias("u"),
         )
     )
     agg = (
@@ -78,8 +77,8 @@ def complaint_fact(
             F.col("c_mktsegment").alias(K.TYPE),
             F.col("n_name").alias(K.GROUP),
             F.col("p_type").alias(K.CAT),
-            "year",
-            "half",
+            idiv("halves", F.lit(2)).cast("int").alias("year"),
+            F.coalesce(F.col("halves") % 2 + 1, F.lit(2)).alias("half"),
             F.col("q").cast("bigint").alias("q"),
             F.col("f").cast("bigint").alias("f"),
             F.col("u").cast("bigint").alias("u"),

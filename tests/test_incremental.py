@@ -63,6 +63,29 @@ def test_a_load_of_the_last_period_writes_one_period(spark):
     assert IN.load_periods(spark, path, fact.filter(F.col(K.ORDER) == 5)) == [5]
 
 
+def test_a_first_load_stores_its_rows_aside_once_and_writes_few_files(spark, monkeypatch):
+    """The batch is not stored before, its rows are not dealt anew, and a period still has few files."""
+    stored, make = [], IN.stored_path
+    monkeypatch.setattr(IN, "materialise", lambda df, name: pytest.fail(name))
+    monkeypatch.setattr(IN, "stored_path", lambda s, n: stored.append(n) or make(s, n))
+    path = tempfile.mkdtemp(prefix="riskloom-inc-") + "/m"
+    assert IN.load_periods(spark, path, fact_rows(spark, made_rows(8))) == [1, 2, 3, 4, 5]
+    assert stored == ["load"]
+    files = [f.split(f"{K.ORDER}=")[1].split("/")[0] for f in spark.read.parquet(path).inputFiles()]
+    assert max(map(files.count, files)) <= IN.FILES
+
+
+def test_hot_firms_and_null_names_number_alike(spark, monkeypatch):
+    """Duplicates of a hot firm are reduced before they move, with the same rows and record ids; null firms come first."""
+    rows = made_rows(9)
+    fact = fact_rows(spark, [*rows, *rows[:20], (None, "t", "x", 1, 3, 5), (None, "t", "x", 2, 4, 5)])
+    want = listed(M.master_changes(fact))
+    monkeypatch.setattr(M, "HOT_FIRM", 1)
+    assert want == listed(M.master_changes(fact))
+    got = M.master_changes(fact).orderBy(F.asc_nulls_first(K.FIRM), K.CAT, K.ORDER).select("record_id", K.FIRM).collect()
+    assert [r.record_id for r in got] == list(range(1, len(rows) + 3)) and got[0][K.FIRM] is None
+
+
 def test_state_by_period_equals_the_scan(spark):
     fact = fact_rows(spark, [(*x[:4], x[4] + 1, x[5]) for x in made_rows(6)]).cache()
     path = tempfile.mkdtemp(prefix="riskloom-inc-") + "/s"
