@@ -133,3 +133,21 @@ def test_a_firm_lookup_reads_one_bucket_and_skips_row_groups_by_bloom_filter(spa
     assert plain[1] > 0 and bloom[1] == 0
     there = spark.table("lookup_bloom")
     assert sorted(map(str, firm_drilldown(there, firm).collect())) == sorted(map(str, firm_drilldown(small_fact, firm).collect()))
+
+
+def test_the_master_moves_its_wide_rows_once(spark, small_fact):
+    """Dedup, changes and record ids share one exchange by slices of firms (before: one each, and a join by firm)."""
+    from riskloom.plans import master as M
+    from riskloom.session import materialise
+
+    text = plan_text(M.master_changes(materialise(small_fact, "fact"))).split("Initial Plan")[-1]
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def test_a_csv_export_of_the_master_moves_its_wide_rows_once(spark, small_fact, monkeypatch):
+    from riskloom.plans import registry
+
+    texts, write = [], registry.SK.write_tables
+    monkeypatch.setattr(registry.SK, "write_tables", lambda t, *a, **k: texts.append(plan_text(t["master"])) or write(t, *a, **k))
+    registry._master_csv(small_fact.cache())
+    assert texts[0].split("InMemoryTableScan")[0].count("Exchange hashpartitioning") == 1
