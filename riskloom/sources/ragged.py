@@ -26,6 +26,8 @@ from riskloom.functions.rules import harmonised_name
 
 #: Part files of a sheet are numbered in front of the position in a file.
 PART_BITS = 40
+#: Firm types of the opened sheets up to which a type is carried as its rank, so that grouped values have a fixed width.
+MOST_TYPES = 1000
 
 
 class Sheet(NamedTuple):
@@ -114,20 +116,18 @@ def layouts(heads: Iterable, sheets: Sequence[Sheet], categories: Sequence[str],
 
 
 def read_sheets(spark: SparkSession, sheets: Sequence[Sheet], categories: Sequence[str] = K.PRODUCT_CATS,
-                rules=K.HEADER_RULES) -> tuple[DataFrame, bool, bool]:
+                rules=K.HEADER_RULES) -> tuple[DataFrame, bool, list[str] | bool]:
     """All values of all sheets as rows (source, firm_name, group, category, measure, value, pos, given_type, has_group),
-    whether some sheet has no group, and whether an opened sheet carries firm types."""
+    whether some sheet has no group, and the firm types of the opened sheets in order (True: more than MOST_TYPES, False: no sheet
+    carries any)."""
     paths = sorted({s.path for s in sheets})
     lines = scan_lines(spark, paths)
     first = lines.where(F.col("block_start") == 0).groupBy("path").agg(F.min_by("line", "pos").alias("line"), F.min("pos").alias("head"))
     known, width = layouts(first.collect(), sheets, categories, rules)  # a row a file
     if not known:
         raise ValueError("no readable 'opened' sheet in any source: nothing to assemble")
-    layout = spark.createDataFrame([tuple(x) for x in known], LAYOUT).withColumnRenamed("path", "of")
-    rows = lines.join(F.broadcast(layout), F.col("path") == F.col("of"))
-    rows = rows.where((F.col("pos") > F.col("head")) & (F.trim("line") != ""))
-    fields = F.from_csv("line", ", ".join(f"c{k} string" for k in range(width)))
-    rows = rows.withColumn("csv", fields).withColumn("fields", F.array(*[F.col(f"csv.c{k}") for k in range(width)]))
+    typed = [x for x in known if x.measure == "opened" and x.type_at is not None]
+    rows = _with_fields(lines, known, width)
     field = lambda at: F.get("fields", F.col(at))
     values = rows.select(
         "source", field("firm_at").alias("firm_name"), field("group_at").alias("group"), "measure",
@@ -139,4 +139,23 @@ def read_sheets(spark: SparkSession, sheets: Sequence[Sheet], categories: Sequen
         "source", "firm_name", "group", F.col("cell.category").alias(K.CAT), "measure",
         coerce_numeric(F.get("fields", F.col("cell.at"))).alias("value"), "pos", "given_type", "has_group",
     ).where(F.col("value").isNotNull())
-    return values, any(x.group_at is None for x in known), any(x.type_at is not None for x in known if x.measure == "opened")
+    return values, any(x.group_at is None for x in known), _given_types(spark, sheets, typed, width) if typed else False
+
+
+def _with_fields(lines: DataFrame, known: Sequence[Layout], width: int) -> DataFrame:
+    """The lines behind the header of the files of ``known``, with their layout and their fields."""
+    layout = lines.sparkSession.createDataFrame([tuple(x) for x in known], LAYOUT).withColumnRenamed("path", "of").coalesce(1)
+    rows = lines.join(F.broadcast(layout), F.col("path") == F.col("of"))
+    rows = rows.where((F.col("pos") > F.col("head")) & (F.trim("line") != ""))
+    fields = F.from_csv("line", ", ".join(f"c{k} string" for k in range(width)))
+    # a generator of one row: filters on fields stay above it, where the line is not parsed anew for each use of a field
+    rows = rows.select("*", F.explode(F.array(fields)).alias("csv"))
+    return rows.withColumn("fields", F.array(*[F.col(f"csv.c{k}") for k in range(width)]))
+
+
+def _given_types(spark: SparkSession, sheets: Sequence[Sheet], typed: Sequence[Layout], width: int) -> list[str] | bool:
+    """The firm types in the opened sheets, in order, or True if there are more than MOST_TYPES. Reads those sheets only."""
+    opened = sorted({s.path for s in sheets if s.measure == "opened"})
+    rows = _with_fields(scan_lines(spark, opened), typed, width)
+    found = rows.select(F.get("fields", F.col("type_at")).alias("t")).where("t is not null").distinct().limit(MOST_TYPES + 1).collect()
+    return sorted(r["t"] for r in found) if len(found) <= MOST_TYPES else True

@@ -198,7 +198,7 @@ def assemble_stacked(
     rows: DataFrame,
     manifest: DataFrame,
     loose: bool,
-    typed: bool,
+    typed: Sequence[str] | bool,
     rules=K.FIRM_TYPE_RULES,
     default_type: str = K.FIRM_TYPE_DEFAULT,
     alias_map: Mapping[str, str] | None = None,
@@ -206,7 +206,9 @@ def assemble_stacked(
     """:func:`assemble_measures` of the values of :func:`riskloom.sources.ragged.read_sheets`, without reading them twice.
 
     ``loose``: some sheets have no group. Their values are grouped with the others under a mark of their own and reach the
-    groups of their firm by a window over (source, firm, category), which holds a firm's groups only."""
+    groups of their firm by a window over (source, firm, category), which holds a firm's groups only. ``typed``: the firm types of
+    the opened sheets in order (or whether there are any). Given as a list, the least type of a group is its least rank there: all
+    grouped values then have a fixed width, and no task sorts its rows."""
     opened = F.col("measure") == "opened"
     group = F.when(opened & ~F.col("has_group"), F.lit("")).otherwise(F.col("group")).alias("group")
     of = lambda measure, x: F.when(F.col("measure") == measure, F.col(x))
@@ -214,7 +216,10 @@ def assemble_stacked(
                         (~opened & ~F.col("has_group")).alias("loose"))
     named = named.filter(F.col("firm_name").isNotNull() & (F.col("firm_name") != "") & (F.col("firm_name") != "nan"))
     keys = ["source", "firm_name", "group", K.CAT, *(["loose"] if loose else [])]
-    base = named.groupBy(*keys).agg(
+    ranked = not isinstance(typed, bool)
+    ranks = F.create_map(*[F.lit(x) for k, t in enumerate(typed) for x in (t, k)]) if ranked and typed else None
+    kind = F.col("given_type") if not ranked else F.lit(None).cast("int") if ranks is None else F.element_at(ranks, F.col("given_type"))
+    base = named.withColumn("given_type", kind).groupBy(*keys).agg(
         *[F.min_by(of(m, "value"), of(m, "pos")).alias(v) for m, v in MEASURE_VALUE.items()],
         F.min(of("opened", "pos")).alias(K.ROW_POS), F.min("given_type").alias("given_type"),
     )
@@ -225,7 +230,9 @@ def assemble_stacked(
         base = base.filter(~F.col("loose"))
     base = base.filter(F.col(K.ROW_POS).isNotNull())
     base = base.withColumn("complaints_opened", F.coalesce(F.col("complaints_opened"), F.lit(0.0)).cast("bigint"))
-    base = base.withColumn(K.TYPE, F.col("given_type")) if typed else base
+    if ranked:
+        base = base.withColumn("given_type", F.get(F.array(*[F.lit(t) for t in typed]).cast("array<string>"), F.col("given_type")))
+    base = base.withColumn(K.TYPE, F.col("given_type")) if typed is not False else base
     return _master_rows(base, manifest, "source", rules, default_type, alias_map)
 
 
@@ -292,15 +299,17 @@ def fixture_sheets(fact: DataFrame, categories: Sequence[str], suppressed: str =
     ``materialise`` stores the pivot once (the stand-in for writing the sheet files), so the
     four sheets are reads of stored data rather than four recomputations of the pivot.
     """
-    wide = (
-        fact.groupBy(F.col(K.LABEL).alias("source"), K.FIRM, K.GROUP, K.TYPE)
-        .pivot(K.CAT, list(categories))
-        .agg(
-            F.first(F.col(K.OPENED).cast("string")).alias("opened"),
-            F.first(F.col(K.CLOSED).cast("bigint").cast("string")).alias("closed"),
-            F.first(F.coalesce((F.col(K.UPHELD_T) / F.lit(1000.0)).cast("string"), F.lit(suppressed))).alias("upheld"),
-            F.first(F.coalesce((F.col(K.CLOSED3_T) / F.lit(1000.0)).cast("string"), F.lit(suppressed))).alias("threeday"),
-        )
+    none = F.lit(float("nan"))  # a missing rate, apart from an absent row: numbers have a fixed width, texts would be sorted to group
+    cells = {
+        "opened": F.col(K.OPENED).cast("bigint"), "closed": F.col(K.CLOSED).cast("bigint"),
+        "upheld": F.coalesce(F.col(K.UPHELD_T) / F.lit(1000.0), none), "threeday": F.coalesce(F.col(K.CLOSED3_T) / F.lit(1000.0), none),
+    }
+    firsts = fact.groupBy(F.col(K.LABEL).alias("source"), K.FIRM, K.GROUP, K.TYPE).agg(
+        *[F.first(F.when(F.col(K.CAT).eqNullSafe(F.lit(c)), x), ignorenulls=True).alias(f"{c}_{m}") for c in categories for m, x in cells.items()]
+    )
+    shown = lambda x, m: x.cast("string") if m in ("opened", "closed") else F.when(F.isnan(x), suppressed).otherwise(x.cast("string"))
+    wide = firsts.select(
+        "source", K.FIRM, K.GROUP, K.TYPE, *[shown(F.col(f"`{c}_{m}`"), m).alias(f"{c}_{m}") for c in categories for m in cells]
     )
     if materialise:
         from riskloom.session import materialise as store

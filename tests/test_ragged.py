@@ -109,3 +109,26 @@ def test_bad_headers(spark, tmp_path):
     with pytest.warns(UserWarning, match="without firm or category"):
         rows, _, _ = RG.read_sheets(spark, [RG.Sheet("s", "opened", path("2 Closed")), RG.Sheet("s", "closed", path("empty"))], CATS)
     assert rows.count() == 1
+
+
+def test_a_line_is_parsed_once_and_types_need_no_sort(spark, tmp_path):
+    """Filters on names and values don't parse the line again, and firm types are grouped by rank: the least type of a group."""
+    a = CATS[0]
+    folder = write(str(tmp_path), "typed", {
+        "1 Opened": [["Firm Name", "Group", "firm_type", a], ["F", "G", "b", "1"], ["F", "G", "a", "2"], ["H", "G", "", "3"], ["nan", "G", "a", "4"]],
+        "2 Closed": [["Firm Name", "Group", a], [" F ", "G", "7"]],
+    })
+    sheets = [RG.Sheet("H1 2022", m, os.path.join(folder, SHEETS[m] + ".csv")) for m in ("opened", "closed")]
+    rows, loose, typed = RG.read_sheets(spark, sheets, CATS)
+    assert typed == ["a", "b"]
+    got = SH.assemble_stacked(rows, SH.manifest_df(spark), loose, typed)
+    assert {(r.firm_name, r.firm_type, r.complaints_opened, r.complaints_closed) for r in got.collect()} == {("F", "a", 1, 7.0), ("H", None, 3, None)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    by_text = SH.assemble_stacked(rows, SH.manifest_df(spark), loose, True)
+    assert sorted(map(str, by_text.collect())) == sorted(map(str, got.collect()))
+
+
+def test_the_fixture_pivot_is_a_hash_aggregate(spark, small_fact):
+    sheet = SH.fixture_sheets(small_fact, CATS)["upheld"]
+    assert "SortAggregate" not in sheet._jdf.queryExecution().executedPlan().toString()
