@@ -21,6 +21,8 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,9 @@ _TOKENIZERS: dict = {}  # of this worker process, so that its tasks share the ca
 class ChunkTokenizer:
     """Ids (little-endian unsigned 32-bit) of texts, by a cache of white-space-separated chunks.
 
-    Chunks that are not in the cache lose punctuation behind an ASCII letter (the pre-tokenizer cuts there too), and words of
-    letters only, which are one pre-token each, are encoded in one call whose ids are dealt out by pre-token. The first
+    Arrow splits a slice of texts and finds its distinct chunks, so the cache is asked once for each of them; ids are laid out by numpy.
+    Chunks that are not in the cache lose punctuation behind an ASCII letter (the pre-tokenizer cuts there too). Words of letters only are
+    one pre-token each: those of a-z go to the tokenizer's model, others in one call whose ids are dealt out by pre-token. The first
     CACHE_CHUNKS chunks and their parts stay cached, later ones for one slice of texts only.
     """
 
@@ -60,7 +63,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     def each(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text by a call for itself."""
@@ -79,20 +82,31 @@ class ChunkTokenizer:
         ends = (4 * ends).tolist()
         return [ids[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+    def alone(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of the letters a-z only: normaliser and pre-tokenizer leave these as they are, so the model gets them at once."""
+        tokenize, flat, ends = self.tokenizer.model.tokenize, [], []
+        for w in words:
+            flat += [t.id for t in tokenize(w.decode())]
+            ends.append(4 * len(flat))
+        ids = np.array(flat, "<u4").tobytes()
+        return [ids[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that are not in the cache, and of the parts of those that are cut."""
-        known, cut = self.known, []
+        known, cut, new = self.known, [], set()
         for c in chunks:
-            core = c.rstrip(self.MARKS)
-            if len(core) < len(c) and core and 97 <= core[-1] <= 122:
-                cut.append((c, core, c[len(core) :]))
-        new = chunks.difference(c for c, _, _ in cut)
+            if not c.isalpha():
+                core = c.rstrip(self.MARKS)
+                if len(core) < len(c) and core and 97 <= core[-1] <= 122:
+                    cut.append((c, core, c[len(core) :]))
+                    continue
+            new.add(c)
         new.update(w for _, *parts in cut for w in parts if w not in known)
-        letters, others = [], []
+        plain, letters, others = [], [], []
         for w in new:
-            (letters if w.isalpha() or w.decode("utf-8", "replace").isalpha() else others).append(w)
+            (plain if w.isalpha() else letters if w.decode("utf-8", "replace").isalpha() else others).append(w)
         got: dict[bytes, bytes] = {}
-        for encode, part in ((self.together, letters), (self.each, others)):
+        for encode, part in ((self.alone, plain), (self.together, letters), (self.each, others)):
             for at in range(0, len(part), 20_000):
                 some = part[at : at + 20_000]
                 got.update(zip(some, encode(some), strict=True))
@@ -102,22 +116,47 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         whole = [b"<|" in t for t in texts]
-        chunks = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
+        lowered = pc.ascii_lower(pa.array([b"" if w else t for t, w in zip(texts, whole, strict=True)], pa.binary()).view(pa.string()))
+        lists = pc.ascii_split_whitespace(lowered)  # gives empty chunks where blanks lead or trail
+        coded = lists.values.dictionary_encode()
+        chunks = distinct_chunks(coded.dictionary)
         known, fresh = self.known, {}
-        missing = set().union(*chunks).difference(known)
+        missing = [c for c in chunks if c not in known]
         if missing:
             fresh = self.learn(missing)
             known.update(fresh)
-        out = [
-            self.each([t])[0] if w else b"".join(map(known.__getitem__, cs))
-            for t, cs, w in zip(texts, chunks, whole, strict=True)
-        ]
+        ids, ends = laid_out([known[c] for c in chunks], np.asarray(coded.indices))
+        ends = (4 * ends[np.asarray(lists.offsets)]).tolist()
+        out = [self.each([t])[0] if w else ids[i:j] for t, w, i, j in zip(texts, whole, ends[:-1], ends[1:], strict=True)]
         if len(known) > CACHE_CHUNKS:
             for c in fresh:
                 del known[c]
         return out
 
 
+def distinct_chunks(values: pa.Array) -> list[bytes]:
+    """Distinct strings without white space as bytes (splitting their join is faster than converting each)."""
+    if not len(values):
+        return []
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(values)], values.cast(pa.binary())), b" ")
+    out = joined[0].as_py().split()
+    empty = pc.index(values, "").as_py()
+    if empty >= 0:
+        out.insert(empty, b"")
+    return out
+
+
+def laid_out(coded: list[bytes], order: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids ``coded[k]`` for each k of ``order``, one after the other, and the number of ids before each place and at the end."""
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    starts = np.cumsum(sizes) - sizes
+    counts = sizes[order]
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+    at = np.repeat(starts[order] - ends[:-1], counts)
+    at += np.arange(len(at))
+    return np.frombuffer(b"".join(coded), "<u4")[at].tobytes(), ends
+
+
 def pieces_of(ids: bytes, capacity: int) -> list[dict]:
     """The pieces of one document's ids (bytes) with the end token put behind."""
     ids += END_ID.to_bytes(4, "little")

@@ -26,17 +26,20 @@ MASTER_OUT = [*K.MASTER_COLUMNS, K.UPHELD_T, K.CLOSED3_T]
 
 #: Rows of one firm from which duplicates are reduced where they are read, before any row moves.
 HOT_FIRM = 1_000_000
+#: Rows of a slice of firms, whatever the number of shuffle partitions, so that a task sorts the wide rows of one slice in memory. Beyond
+#: MOST_SLICES slices (whose boundaries are literals) slices grow instead.
+SLICE_ROWS, MOST_SLICES = 250_000, 2_000
 _SLICE = "__rl_firms"
 _ROW_KEYS = [K.FIRM, K.CAT, K.LABEL]
 
 
 def master_changes(fact: DataFrame, dedup: bool = True) -> DataFrame:
-    """The master of ``fact``, which is read three times: give it stored or cheap."""
+    """The master of ``fact``, which is read four times: give it stored or cheap."""
     rows = fact.groupBy(*_ROW_KEYS).agg(F.count(F.lit(1)).alias("n")) if dedup else fact.select(*_ROW_KEYS, F.lit(1).alias("n"))
     firm_slice, firsts, hottest = firm_slices(fact, rows)
     late = dedup and (K.ROW_POS in fact.columns or hottest > HOT_FIRM)
     df = reduced_rows(fact) if late else fact
-    dealt = df.withColumn(_SLICE, firm_slice).repartition(F.col(_SLICE))
+    dealt = _dealt(df, firm_slice, len(firsts))
     if dedup and not late:
         dealt = keep_first(dealt, [_SLICE, *_ROW_KEYS], [K.ORDER])
     return _numbered(change_rows(dealt, within=[_SLICE]), firsts)
@@ -59,8 +62,12 @@ def first_rows(fact: DataFrame) -> DataFrame:
     firm move nothing."""
     if K.ROW_POS in fact.columns:
         return reduced_rows(fact)
-    hottest = fact.groupBy(K.FIRM).count().agg(F.max("count")).first()[0] or 0
-    return reduced_rows(fact if hottest > HOT_FIRM else fact.repartition(F.col(K.FIRM)))
+    hottest, rows = fact.groupBy(K.FIRM).count().agg(F.max("count"), F.sum("count")).first()
+    if (hottest or 0) > HOT_FIRM:
+        return reduced_rows(fact)
+    parts = _wanted(fact, rows or 0)
+    more = [parts] if parts > slice_count(fact, None) else []  # without a number AQE may join small parts
+    return reduced_rows(fact.repartition(*more, F.col(K.FIRM)))
 
 
 def change_rows(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +86,7 @@ def firm_slices(df: DataFrame, rows: DataFrame) -> tuple[Column, list[int], int]
     ``rows`` holds a row for each row of the master, and in ``n`` how many rows of ``df`` became that one. Boundaries are the firms of
     sampled rows, so slices have about as many rows each; a sum for each slice comes to the driver."""
     sampled = [SortKey(c) for c in (K.FIRM, K.CAT, K.LABEL)]
-    bounds = boundaries(df.select(*_ROW_KEYS), sampled, slice_count(df, None))
+    bounds = boundaries(df.select(*_ROW_KEYS), sampled, _wanted(df, df.count()))
     firms = df.select(K.FIRM)
     cuts = sorted({r[0] for r in bounds if r[0] is not None})
     firm_slice = slice_of(firms, [SortKey(K.FIRM)], [(c,) for c in cuts])
@@ -92,6 +99,19 @@ def firm_slices(df: DataFrame, rows: DataFrame) -> tuple[Column, list[int], int]
     return firm_slice, firsts, max((r["given"] for r in sums), default=0)
 
 
+def _wanted(df: DataFrame, rows: int) -> int:
+    """Into how many parts ``rows`` wide rows go."""
+    return max(slice_count(df, None), min(MOST_SLICES, -(-rows // SLICE_ROWS)))
+
+
+def _dealt(df: DataFrame, firm_slice: Column, slices: int) -> DataFrame:
+    """``df`` distributed by slice of firms; more slices than shuffle partitions get a task each."""
+    sliced = df.withColumn(_SLICE, firm_slice)
+    if slices <= slice_count(df, None):
+        return sliced.repartition(F.col(_SLICE))
+    return sliced.repartitionById(slices, F.col(_SLICE))
+
+
 def _numbered(changes: DataFrame, firsts: Sequence[int]) -> DataFrame:
     """``changes``, distributed by slice of firms, with record ids."""
     local = F.row_number().over(Window.partitionBy(_SLICE).orderBy(K.FIRM, K.CAT, K.ORDER))
@@ -102,7 +122,7 @@ def _numbered(changes: DataFrame, firsts: Sequence[int]) -> DataFrame:
 def numbered(changes: DataFrame) -> DataFrame:
     """Stored ``changes`` (a row for each row of the master) with record ids."""
     firm_slice, firsts, _ = firm_slices(changes, changes.select(*_ROW_KEYS, F.lit(1).alias("n")))
-    return _numbered(changes.withColumn(_SLICE, firm_slice).repartition(F.col(_SLICE)), firsts)
+    return _numbered(_dealt(changes, firm_slice, len(firsts)), firsts)
 
 
 def half_even_mean_tenths(x: str) -> F.Column:

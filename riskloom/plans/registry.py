@@ -165,7 +165,7 @@ def _sector_sketches(fact):
 
 def _master_csv(fact):
     spark, path = fact.sparkSession, stored_path(fact.sparkSession, "master-csv")
-    SK.write_tables({"master": M.master_changes(fact)}, path, fmt="csv")
+    SK.write_tables({"master": M.master_changes(fact)}, path, fmt="csv", compression="gzip")
     return SK.read_master(spark, f"{path}/master", fmt="csv")
 
 

@@ -84,12 +84,15 @@ def register_view(df: DataFrame, name: str = "complaints") -> DataFrame:
     return df
 
 
-def write_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write several named result tables (the multi-sheet export), one folder each."""
+def write_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "parquet", compression: str | None = None) -> dict[str, str]:
+    """Write several named result tables (the multi-sheet export), one folder each.
+
+    ``compression``: codec of the files, e.g. ``gzip`` for a large CSV (default: the format's own)."""
     out = {}
     for name, df in tables.items():
         path = os.path.join(base, name)
-        df.write.mode("overwrite").format(fmt).option("header", True).save(path)
+        writer = df.write.mode("overwrite").format(fmt).option("header", True)
+        (writer.option("compression", compression) if compression else writer).save(path)
         out[name] = path
     return out
 

@@ -89,3 +89,27 @@ def test_a_full_cache_changes_no_id(frame, monkeypatch):
         for part in (texts[:20], texts[20:], texts[:5]):
             want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
             assert cached.encode([t.encode() for t in part]) == want
+
+
+def test_a_repeated_chunk_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    cached = P.ChunkTokenizer(P.vocabulary_path())
+    cached.known = Counted(cached.known)
+    once, many = cached.encode([b"Word"]), cached.encode([b"word " * 1000, b"", b" word"])
+    assert many == [once[0] * 1000, b"", once[0]]
+    assert Counted.asked < 10
+
+
+def test_white_space_and_broken_utf8_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.vocabulary_path())
+    texts = [b" \t\x0b\x0c\r\n", b"\n a\x1cb\x0bC. \x0c", b"x\xff\xfey abc", "a\u00a0b\u2003c \u0085".encode(), b"ABC abc, 'll ll's", b"aaaa" * 5000]
+    want = [np.array(tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert P.ChunkTokenizer(P.vocabulary_path()).encode(texts) == want

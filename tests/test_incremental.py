@@ -86,6 +86,17 @@ def test_hot_firms_and_null_names_number_alike(spark, monkeypatch):
     assert [r.record_id for r in got] == list(range(1, len(rows) + 3)) and got[0][K.FIRM] is None
 
 
+def test_parts_of_a_load_follow_its_rows(spark, monkeypatch):
+    """Rows of a load are reduced in parts of bounded size, however few shuffle partitions there are."""
+    fact = fact_rows(spark, [*made_rows(4), *made_rows(4)[:9], (None, "t", "x", 1, 3, 5)]).cache()
+    want = listed(M.master_changes(fact))
+    monkeypatch.setattr(M, "SLICE_ROWS", 2)
+    assert M.first_rows(fact).rdd.getNumPartitions() > 8
+    path = tempfile.mkdtemp(prefix="riskloom-inc-") + "/m"
+    IN.load_periods(spark, path, fact)
+    assert listed(IN.read_loaded(spark, path)) == listed(M.master_changes(fact)) == want
+
+
 def test_state_by_period_equals_the_scan(spark):
     fact = fact_rows(spark, [(*x[:4], x[4] + 1, x[5]) for x in made_rows(6)]).cache()
     path = tempfile.mkdtemp(prefix="riskloom-inc-") + "/s"

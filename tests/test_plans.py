@@ -151,3 +151,27 @@ def test_a_csv_export_of_the_master_moves_its_wide_rows_once(spark, small_fact,
     monkeypatch.setattr(registry.SK, "write_tables", lambda t, *a, **k: texts.append(plan_text(t["master"])) or write(t, *a, **k))
     registry._master_csv(small_fact.cache())
     assert texts[0].split("InMemoryTableScan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_slices_of_the_master_follow_its_rows(spark, monkeypatch):
+    """A task sorts one slice of bounded size, however few shuffle partitions there are (before: as many slices as these)."""
+    from riskloom.plans import master as M
+    from tests.conftest import fact_rows
+
+    rows = [(f"f{k // 6:03}", "t", f"c{k % 3}", 1 + k % 2, k, k) for k in range(2400)]
+    fact = fact_rows(spark, [*rows, *rows[::7]]).cache()
+    want = sorted(map(str, M.master_changes(fact).collect()))
+    assert len(want) == len(rows)
+    monkeypatch.setattr(M, "SLICE_ROWS", 100)
+    many = M.master_changes(fact)
+    text = plan_text(many).split("InMemoryTableScan")[0]
+    assert text.count("Exchange") == 1
+    sizes = [n for n in many.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) > 2 * 8 and max(sizes) <= 300 and sum(sizes) == len(rows)
+    assert sorted(map(str, many.collect())) == want
+
+
+def test_a_csv_export_of_the_master_is_compressed(spark, small_fact):
+    from riskloom.plans import registry
+
+    assert all(f.endswith(".csv.gz") for f in registry._master_csv(small_fact.cache()).inputFiles())
